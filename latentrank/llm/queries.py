@@ -7,19 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+PREDICTED_FROM = 0.7
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=PREDICTED_FROM)
+
+
 def op8_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_codec import encode_decode
 
     return encode_decode(table(spark, sf_dir, "documents"), keep=())
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digest, find_personal_data
+
+    return digest(find_personal_data(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_quality_rules": op5_quality_rules,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_sentencepiece_codec": op8_sentencepiece_codec,
+    "op10_personal_data": op10_personal_data,
 }
 
 SQL: dict[str, str] = {}

@@ -97,7 +97,7 @@ class Words:
         self.start = np.flatnonzero(ink & ~before)
         after = np.empty(n, bool)
         after[-1] = False
-        after[:-1] = before[1:] & ink[:-1]
+        after[:-1] = before[1:] & ink[1:]
         self.end = np.flatnonzero(ink & ~after) + 1
         self.first = np.searchsorted(self.start, offsets)
         if hashes:
