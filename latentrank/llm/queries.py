@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat_format
+
 PREDICTED_FROM = 0.7
 
 
@@ -14,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import format_windows, read_back
+
+    said = "\\### Assistant: </turn> ok"
+    more = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return read_back(format_windows(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
@@ -32,6 +42,12 @@ def op8_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), keep=())
 
 
+def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash_dedup import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import digest, find_personal_data
 
@@ -39,10 +55,12 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_chat_format": op4_chat_format,
     "op5_quality_rules": op5_quality_rules,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_sentencepiece_codec": op8_sentencepiece_codec,
+    "op9_simhash_groups": op9_simhash_groups,
     "op10_personal_data": op10_personal_data,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_chat_format": chat_format.SQL}
