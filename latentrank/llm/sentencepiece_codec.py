@@ -115,6 +115,12 @@ class ChunkTable:
                 other.pop(c, None)
 
 
+def _id_lists(joined: list[str]) -> pa.Array:
+    rows = [np.fromstring(x, np.int32, sep=",") if x else np.zeros(0, np.int32) for x in joined]
+    offsets = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*rows, np.zeros(0, np.int32)]), pa.int32()))
+
+
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, keep: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
     """Ids and decoded text of every document, in full.
 
@@ -138,7 +144,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 n, ids_sha, text_sha, ids, texts = (list(x) for x in zip(*rows))
                 columns = [part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
                 if "ids" in keep:
-                    columns.append(pa.array([[int(i) for i in x.split(",")] if x else [] for x in ids], pa.list_(pa.int32())))
+                    columns.append(_id_lists(ids))
                 if "decoded" in keep:
                     columns.append(pa.array(texts, pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", *(k for k in ("ids", "decoded") if k in keep)])

@@ -80,7 +80,8 @@ class Words:
     ``first[i] : first[i + 1]`` are the words of text i.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, seed: int = 1, hashes: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, seed: int = 1, hashes: bool = True, gap: np.ndarray | None = None):
+        """``gap``: 256 flags of bytes that part words, white space if not given."""
         self.data, self.offsets = data, offsets
         n = len(data)
         if n == 0:
@@ -88,7 +89,7 @@ class Words:
             self.first = np.zeros(len(offsets), np.int64)
             self.hash = np.zeros(0, U64)
             return
-        ink = ~separators()[data]
+        ink = ~(separators() if gap is None else gap)[data]
         before = np.empty(n, bool)
         before[0] = False
         before[1:] = ink[:-1]
