@@ -3,7 +3,7 @@
 A rolling hash runs over the hashes of two lines; a chunk begins at each line
 whose rolling hash is a local minimum.  Boundaries depend on two lines to
 either side only, so inserted or removed lines shift no boundary further off,
-and chunks have two lines at least (but for a text's last).  A chunk
+and chunks have two lines at least, but for texts of one line.  A chunk
 of several lines is removed where an equal chunk comes earlier: in a document
 with a smaller id, or earlier in the same document.  Equality is of bytes.
 
@@ -59,6 +59,8 @@ class Chunks:
         low[1:] = inner & (roll[1:] < roll[:-1])
         low[2:] &= inner[:-1]  # not at a text's second line
         low[1:2] = False
+        low[:-1] &= inner  # nor at its last line
+        low[-1:] = False
         after = np.full(n, U64((1 << 64) - 1))
         after[:-1] = np.where(inner, roll[1:], after[:-1]) if n else after[:-1]
         self.line = np.flatnonzero(cut | (low & (roll < after)))

@@ -43,6 +43,4 @@ def test_planted_cases(spark, tmp_path):
 
     whole = {r.doc_id: r.n_tokens for r in encode_decode(new).collect()}
     assert all(left.get(i) == whole[i] for i, _ in clean)
-    # of an exact copy no line is left; texts without words are one group
-    assert sum(i in left and left[i] > 0 for i, _ in copies) == 0
-    assert not any(i in left for i, _ in [*leaked, *junk])
+    assert not any(i in left for i, _ in [*copies, *leaked, *junk])
