@@ -1,14 +1,743 @@
-"""Named queries over the driver's tables, each with DuckDB SQL where SQL can say it."""
+"""Named queries over the driver's tables, each with DuckDB SQL where SQL can say it.
+
+Inputs: documents; their embeddings (``vec_id`` is the document's id); blocks
+are sources; the holdout is every fifth score of ids, a mask over whole tables.
+Judgements are planted: a fixed direction orders documents, close pairs tie, and
+one judgement in sixteen is turned by a hash.
+"""
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..functions.hashing import coin, draw, with_rank
+from ..operators import annotate, embeddings, layout, model, pairs, score, validate
+from ..sources import cache, datasets, providers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+SEED = 42
+V = [((37 * i) % 64) / 32 - 1 for i in range(1, 65)]
+#: A model to score with, and replicates of it, for queries that need none fitted.
+BETA = [round(8 * v, 6) for v in V]
+REPLICATES = [[round(b * (1 + 0.02 * r) + 0.01 * ((r * 7 + i) % 5), 6) for i, b in enumerate(BETA)] for r in range(-4, 5)]
+SIGMA = [round(0.01 + 0.001 * (i % 7), 6) for i in range(64)]
+SYSTEM = annotate.system_prompt("Which text is more formal?")
+DIMS = 64
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(repr(float(v)) for v in values) + "]::DOUBLE[]"
+
+
+def _table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    return d.withColumn("holdout", F.floor(F.col("doc_id") / 20) % 5 == 0)
+
+
+def _emb(spark, sf_dir):
+    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+
+
+def _own(spark, sf_dir):
+    """Documents that have an embedding."""
+    return _docs(spark, sf_dir).join(_emb(spark, sf_dir).select("doc_id"), "doc_id")
+
+
+def _judged(spark, sf_dir):
+    """All pairs within source and split, with planted winners."""
+    d = _own(spark, sf_dir).withColumn("split", F.when(F.col("holdout"), "test").otherwise("train")).withColumn("block", F.col("source"))
+    p = pairs.swap_slots(pairs.all_pairs(d, ["split", "block"]), SEED)
+    latent = _emb(spark, sf_dir).select("doc_id", F.round(S.dot(F.col("embedding"), S.literal(V)), 9).alias("score"))
+    for side in ("a", "b"):
+        p = p.join(latent.select(F.col("doc_id").alias(f"doc_id_{side}"), F.col("score").alias(f"s{side}")), f"doc_id_{side}")
+    gap = F.col("sa") - F.col("sb")
+    turned = draw(SEED, "noise", "doc_id_a", "doc_id_b").startswith("0")
+    winner = F.when(F.abs(gap) < 0.05, "tie").when((gap > 0) != turned, "A").otherwise("B")
+    return p.select("doc_id_a", "doc_id_b", "split", "block", winner.alias("winner"))
+
+
+def _stored(df):
+    """Written once for the jobs of a fit."""
+    return cache.saved(df)
+
+
+E = "e AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v FROM embeddings)"
+D = "d AS (SELECT d.*, (floor(d.doc_id / 20)::BIGINT % 5) = 0 AS holdout, CASE WHEN (floor(d.doc_id / 20)::BIGINT % 5) = 0 THEN 'test' ELSE 'train' END AS split FROM documents d WHERE d.doc_id IN (SELECT doc_id FROM e))"
+
+
+def _draw(role, *keys):
+    return f"md5(concat_ws('_', '{SEED}', '{role}', {', '.join(keys)}))"
+
+
+SWAPPED = f"""p AS (SELECT split, block, CASE WHEN {_draw('swap', 'lo', 'hi')} < '8' THEN hi ELSE lo END AS doc_id_a, CASE WHEN {_draw('swap', 'lo', 'hi')} < '8' THEN lo ELSE hi END AS doc_id_b
+  FROM (SELECT a.split, a.source AS block, a.doc_id AS lo, b.doc_id AS hi FROM d a JOIN d b ON a.split = b.split AND a.source = b.source AND a.doc_id < b.doc_id))"""
+LATENT = f"l AS (SELECT doc_id, round(list_dot_product(v, {_list(V)}), 9) AS s FROM e)"
+JUDGED = f"""{E}, {D}, {SWAPPED}, {LATENT},
+j AS (SELECT p.*, CASE WHEN abs(a.s - b.s) < 0.05 THEN 'tie' WHEN (a.s > b.s) != starts_with({_draw('noise', 'doc_id_a', 'doc_id_b')}, '0') THEN 'A' ELSE 'B' END AS winner
+  FROM p JOIN l a ON a.doc_id = doc_id_a JOIN l b ON b.doc_id = doc_id_b)"""
+SCORES = f"s AS (SELECT doc_id, list_dot_product(v, {_list(BETA)}) AS score FROM e)"
+PROBS = f"""{JUDGED}, {SCORES},
+r AS (SELECT j.*, round(1 / (1 + exp(-(a.score - b.score))), 9) AS prob FROM j JOIN s a ON a.doc_id = doc_id_a JOIN s b ON b.doc_id = doc_id_b WHERE split = 'test' AND winner IS DISTINCT FROM 'tie')"""
+
+
+# --- pairs -----------------------------------------------------------------
+
+
+@query(f"WITH {E}, {D} SELECT a.doc_id AS lo, b.doc_id AS hi FROM d a JOIN d b ON a.doc_id < b.doc_id")
+def all_pairs(spark, sf_dir):
+    return pairs.all_pairs(_own(spark, sf_dir), [], 4)
+
+
+@query("SELECT a.source AS block, a.doc_id AS lo, b.doc_id AS hi FROM documents a JOIN documents b ON a.source = b.source AND a.doc_id < b.doc_id")
+def block_pairs(spark, sf_dir):
+    return pairs.all_pairs(_docs(spark, sf_dir).withColumn("block", F.col("source")), ["block"])
+
+
+@query(f"WITH {E}, {D} SELECT a.split, a.doc_id AS lo, b.doc_id AS hi FROM d a JOIN d b ON a.split = b.split AND a.doc_id < b.doc_id")
+def split_pairs_holdout(spark, sf_dir):
+    return pairs.all_pairs(pairs.split_documents(_own(spark, sf_dir), holdout="holdout"), ["split"], 3)
+
+
+@query(f"SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {_draw('split', 'doc_id')}, doc_id) <= floor(0.8 * (SELECT count(*) FROM documents)) THEN 'train' ELSE 'test' END AS split FROM documents")
+def split_docs_prop(spark, sf_dir):
+    return pairs.split_documents(_docs(spark, sf_dir), prop=0.8, seed=SEED).select("doc_id", "split")
+
+
+@query(f"WITH {E}, {D} SELECT split, count(*) AS n_docs, (count(*) * (count(*) - 1) // 2)::BIGINT AS n_possible FROM d GROUP BY split")
+def group_sizes(spark, sf_dir):
+    return pairs.group_sizes(pairs.split_documents(_own(spark, sf_dir), holdout="holdout"), ["split"])
+
+
+def _targets_sql(n):
+    return f"""sizes AS (SELECT lang AS block, count(*) AS n_docs, (count(*) * (count(*) - 1) // 2)::BIGINT AS n_possible FROM d GROUP BY lang HAVING count(*) > 1),
+    shares AS (SELECT *, sum(n_possible) OVER () AS total, least({n}, sum(n_possible) OVER ()) AS budget FROM sizes),
+    floors AS (SELECT *, (n_possible::HUGEINT * budget // total)::BIGINT AS base, n_possible::HUGEINT * budget % total AS frac FROM shares),
+    targets AS (SELECT block, n_docs, n_possible, (base + (row_number() OVER (ORDER BY frac DESC, {_draw('alloc', 'block')}, block) <= budget - sum(base) OVER ())::INT)::BIGINT AS target FROM floors)"""
+
+
+@query(f"WITH d AS (SELECT * FROM documents), {_targets_sql(1001)} SELECT * FROM targets")
+def alloc_targets(spark, sf_dir):
+    d = _docs(spark, sf_dir).withColumn("block", F.col("lang"))
+    return pairs.allocate(pairs.group_sizes(d, ["block"]), 1001, SEED).select("block", "n_docs", "n_possible", "target")
+
+
+def _all_of(d, share):
+    """A budget of a share of all pairs within languages."""
+    return int(pairs.group_sizes(d, ["block"]).agg(F.sum("n_possible")).first()[0] * share)
+
+
+@query(f"WITH {E}, {D} SELECT lo, hi FROM (SELECT a.doc_id AS lo, b.doc_id AS hi, row_number() OVER (ORDER BY {_draw('pair', 'a.doc_id', 'b.doc_id')}, a.doc_id, b.doc_id) AS r, count(*) OVER () AS n FROM d a JOIN d b ON a.doc_id < b.doc_id) WHERE r <= 3 * n // 4")
+def sample_pairs(spark, sf_dir):
+    d = _own(spark, sf_dir)
+    t = pairs.group_sizes(d.withColumn("block", F.lit("all")), ["block"]).withColumn("target", F.floor(3 * F.col("n_possible") / 4))
+    return pairs.sample_pairs(d.withColumn("block", F.lit("all")), t, ["block"], SEED).select("lo", "hi")
+
+
+@query(
+    f"""WITH {E}, {D}, {_targets_sql('(SELECT sum(c * (c - 1) // 2) * 2 // 3 FROM (SELECT count(*) AS c FROM d GROUP BY lang))')},
+    ranked AS (SELECT a.lang AS block, a.doc_id AS lo, b.doc_id AS hi, row_number() OVER (PARTITION BY a.lang ORDER BY {_draw('pair', 'a.doc_id', 'b.doc_id')}, a.doc_id, b.doc_id) AS r FROM d a JOIN d b ON a.lang = b.lang AND a.doc_id < b.doc_id)
+    SELECT block, lo, hi FROM ranked JOIN targets USING (block) WHERE r <= target"""
+)
+def sample_pairs_blocked(spark, sf_dir):
+    d = _own(spark, sf_dir).withColumn("block", F.col("lang"))
+    sizes = pairs.group_sizes(d, ["block"])
+    total = sizes.agg(F.sum("n_possible")).first()[0]
+    return pairs.sample_pairs(d, pairs.allocate(sizes, total * 2 // 3, SEED), ["block"], SEED)
+
+
+@query()
+def sample_pairs_sparse(spark, sf_dir):
+    """Far fewer pairs than possible: drawn by index, never listed."""
+    return pairs.generate_comparisons(_docs(spark, sf_dir).select("doc_id", "text"), n_train=2000, seed=SEED).select("doc_id_a", "doc_id_b")
+
+
+@query(f"WITH {E}, {D}, {SWAPPED} SELECT doc_id_a, doc_id_b, split, block FROM p")
+def swap_slots(spark, sf_dir):
+    d = pairs.split_documents(_own(spark, sf_dir), holdout="holdout").withColumn("block", F.col("source"))
+    return pairs.swap_slots(pairs.all_pairs(d, ["split", "block"]), SEED).select("doc_id_a", "doc_id_b", "split", "block")
+
+
+@query(f"WITH {E}, {D}, {SWAPPED} SELECT doc_id_a, doc_id_b, md5(a.text) AS hash_a, md5(b.text) AS hash_b, split, block FROM p JOIN documents a ON a.doc_id = doc_id_a JOIN documents b ON b.doc_id = doc_id_b")
+def pairs_with_text(spark, sf_dir):
+    d = _own(spark, sf_dir)
+    got = pairs.generate_comparisons(d, None, None, holdout="holdout", blocks="source", seed=SEED)
+    return got.select("doc_id_a", "doc_id_b", F.md5("text_a").alias("hash_a"), F.md5("text_b").alias("hash_b"), "split", "block")
+
+
+@query("SELECT concat_ws('_', lang, n_chars) AS block, count(*) AS n_docs FROM documents GROUP BY 1 HAVING count(*) < 2")
+def small_blocks(spark, sf_dir):
+    return pairs.small_blocks(_docs(spark, sf_dir).withColumn("block", F.concat_ws("_", "lang", "n_chars")))
+
+
+@query(f"SELECT doc_id, ((row_number() OVER (ORDER BY {_draw('fold', 'doc_id')}, doc_id) - 1) % 10)::INTEGER AS fold FROM documents")
+def fold_assign(spark, sf_dir):
+    r = with_rank(_docs(spark, sf_dir).select("doc_id").withColumn("h", draw(SEED, "fold", "doc_id")), [], "h", ["doc_id"])
+    return r.select("doc_id", ((F.col("rank") - 1) % 10).cast("int").alias("fold"))
+
+
+@query("SELECT doc_id, ceil(row_number() OVER (ORDER BY doc_id) / 20)::BIGINT AS chunk FROM documents")
+def chunk_assign(spark, sf_dir):
+    r = with_rank(_docs(spark, sf_dir).select("doc_id").withColumn("h", F.lpad(F.hex("doc_id"), 16, "0")), [], "h", ["doc_id"])
+    return r.select("doc_id", F.ceil(F.col("rank") / 20).alias("chunk"))
+
+
+@query(f"SELECT doc_id, {_draw('swap', 'doc_id')} < '8' AS heads FROM documents")
+def coin_flips(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", coin(draw(SEED, "swap", "doc_id")).alias("heads"))
+
+
+# --- prompts, answers, costs, caches ------------------------------------------
+
+BLOCK = f"{E}, {D}, {SWAPPED}, c AS (SELECT p.*, a.text AS text_a, b.text AS text_b FROM p JOIN documents a ON a.doc_id = doc_id_a JOIN documents b ON b.doc_id = doc_id_b)"
+
+
+def _comparisons(spark, sf_dir):
+    return pairs.generate_comparisons(_own(spark, sf_dir), None, None, holdout="holdout", blocks="source", seed=SEED)
+
+
+@query(f"WITH {BLOCK} SELECT doc_id_a, doc_id_b, md5('Block ' || block || chr(10) || 'A: ' || text_a || chr(10) || 'B: ' || text_b) AS prompt_md5, length(text_a) + length(text_b) + length(block) + 14 AS prompt_chars FROM c")
+def prompts(spark, sf_dir):
+    c = _comparisons(spark, sf_dir)
+    c = c.withColumn("prompt", S.interpolate("Block {{block}}\nA: {{text_a}}\nB: {{ text_b }}", c.columns))
+    return c.select("doc_id_a", "doc_id_b", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("bigint").alias("prompt_chars"))
+
+
+@query("SELECT doc_id, md5(concat(concat_ws(chr(10), text, lang, source), chr(10))) AS cache_key FROM documents")
+def prompt_hash(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", S.prompt_hash_column(F.col("text"), F.col("lang"), F.col("source")).alias("cache_key"))
+
+
+RESPONSES = ["A", " B", "tie", "Tie\n", "\tTIE ", "a", "neither", None, "B\r\n"]
+_ANSWER = "[" + ", ".join("NULL" if r is None else "'" + r.replace("\n", "'||chr(10)||'").replace("\t", "'||chr(9)||'").replace("\r", "'||chr(13)||'") + "'" for r in RESPONSES) + "][(doc_id % 9)::INT + 1]"
+
+
+@query(
+    f"""WITH a AS (SELECT doc_id, {_ANSWER} AS response FROM documents), t AS (SELECT doc_id, trim(response, ' ' || chr(9) || chr(10) || chr(13)) AS x FROM a),
+    c AS (SELECT doc_id, CASE WHEN lower(x) = 'tie' THEN 'tie' ELSE x END AS winner FROM t)
+    SELECT doc_id, winner, NOT coalesce(winner IN ('A', 'B', 'tie'), false) AS invalid, NOT coalesce(winner IN ('A', 'B'), false) AS invalid_without_ties FROM c"""
+)
+def clean_responses(spark, sf_dir):
+    """Answers of every kind, cleaned and checked."""
+    raw = F.element_at(F.array(*[F.lit(r) for r in RESPONSES]), (F.col("doc_id") % 9).cast("int") + 1)
+    c = _docs(spark, sf_dir).select("doc_id", S.clean_response(raw).alias("winner"))
+    return c.select("doc_id", "winner", S.invalid_response(F.col("winner")).alias("invalid"), S.invalid_response(F.col("winner"), False).alias("invalid_without_ties"))
+
+
+@query(f"WITH {BLOCK} SELECT count(*) AS n, round((sum(length(text_a) + length(text_b) + 7) + count(*) * {len(SYSTEM)}) / 4 / 1e6 * 0.75 + count(*) / 1e6 * 4.5, 9) AS cost FROM c")
+def cost_estimate_text(spark, sf_dir):
+    c = _comparisons(spark, sf_dir)
+    return annotate.cost_estimate(c.withColumn("prompt", S.interpolate(annotate.PROMPT, c.columns)), SYSTEM).select("n", F.round("cost", 9).alias("cost"))
+
+
+@query(f"WITH {E}, {D}, {SWAPPED} SELECT count(*) AS n, round((count(*) * (3000 + {len(SYSTEM)} / 4.0) / 1e6 * 0.75 + count(*) / 1e6 * 4.5) / 2, 9) AS cost FROM p")
+def cost_estimate_image(spark, sf_dir):
+    c = _comparisons(spark, sf_dir).withColumn("prompt", F.col("text_a"))
+    return annotate.cost_estimate(c, SYSTEM, batch=True, images=True).select("n", F.round("cost", 9).alias("cost"))
+
+
+CACHED = f"cached AS (SELECT text_a, text_b, min(CASE WHEN doc_id_a < doc_id_b THEN 'A' ELSE 'B' END) AS winner FROM c WHERE {_draw('cached', 'doc_id_a', 'doc_id_b')} < '6' GROUP BY text_a, text_b)"
+
+
+def _cached(c):
+    return c.where(draw(SEED, "cached", "doc_id_a", "doc_id_b") < "6").groupBy("text_a", "text_b").agg(F.min(F.when(F.col("doc_id_a") < F.col("doc_id_b"), "A").otherwise("B")).alias("winner"))
+
+
+@query(f"WITH {BLOCK}, {CACHED} SELECT doc_id_a, doc_id_b, winner FROM c LEFT JOIN cached USING (text_a, text_b)")
+def cache_probe(spark, sf_dir):
+    c = _comparisons(spark, sf_dir)
+    return annotate.probe(c, _cached(c)).select("doc_id_a", "doc_id_b", "winner")
+
+
+@query(
+    f"""WITH {BLOCK}, {CACHED}, fresh AS (SELECT text_a, text_b, min(CASE WHEN split = 'test' THEN 'tie' END) AS winner FROM c GROUP BY text_a, text_b),
+    m AS (SELECT *, row_number() OVER (PARTITION BY text_a, text_b ORDER BY f) AS r FROM (SELECT *, 0 AS f FROM fresh WHERE winner IS NOT NULL UNION ALL SELECT *, 1 FROM cached))
+    SELECT md5(text_a) AS hash_a, md5(text_b) AS hash_b, winner FROM m WHERE r = 1"""
+)
+def cache_merge(spark, sf_dir):
+    """This run's rows before the cache's, one for each ordered pair of texts."""
+    c = _comparisons(spark, sf_dir)
+    fresh = c.groupBy("text_a", "text_b").agg(F.min(F.when(F.col("split") == "test", "tie")).alias("winner")).where("winner IS NOT NULL")
+    return annotate.merge(fresh, _cached(c)).select(F.md5("text_a").alias("hash_a"), F.md5("text_b").alias("hash_b"), "winner")
+
+
+KNOWN = "known AS (SELECT DISTINCT text FROM documents JOIN labels USING (doc_id))"
+
+
+def _known(spark, sf_dir):
+    return _docs(spark, sf_dir).join(_table(spark, sf_dir, "labels"), "doc_id").select("text").distinct()
+
+
+@query(f"WITH {KNOWN} SELECT doc_id FROM documents WHERE text NOT IN (SELECT text FROM known)")
+def embedding_misses(spark, sf_dir):
+    return embeddings.misses(_docs(spark, sf_dir), _known(spark, sf_dir)).select("doc_id")
+
+
+@query(f"WITH {KNOWN} SELECT doc_id FROM documents WHERE text IN (SELECT text FROM known)")
+def embedding_hits(spark, sf_dir):
+    return embeddings.hits(_docs(spark, sf_dir), _known(spark, sf_dir)).select("doc_id")
+
+
+@query("SELECT d.doc_id, g.least AS found FROM documents d JOIN (SELECT text, min(doc_id) AS least FROM documents GROUP BY text) g USING (text)")
+def embedding_gather(spark, sf_dir):
+    """Documents with equal texts get one embedding."""
+    d = _docs(spark, sf_dir)
+    vectors = d.groupBy("text").agg(F.array(F.min("doc_id").cast("double")).alias("embedding"))
+    return embeddings.gather(d, vectors).select("doc_id", F.col("embedding")[0].cast("bigint").alias("found"))
+
+
+@query("SELECT page_id, md5('data:image/png;base64,' || to_base64(encode(html))) AS uri_md5 FROM pages")
+def image_uri(spark, sf_dir):
+    p = _table(spark, sf_dir, "pages")
+    files = p.select(F.concat("page_id", F.lit(".png")).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    got = providers.image_uris(files)
+    return got.select(F.substring_index("path", ".", 1).cast("bigint").alias("page_id"), F.md5("uri").alias("uri_md5"))
+
+
+@query("SELECT vec_id, idx::INTEGER AS idx, round(embedding[idx + 1]::DOUBLE, 6) AS value FROM embeddings, generate_series(0, 63) g(idx)")
+def json_response(spark, sf_dir):
+    """Vectors written as a service's JSON and read back."""
+    e = _table(spark, sf_dir, "embeddings")
+    body = F.to_json(F.struct(F.array(F.struct(F.col("embedding").cast("array<double>").alias("embedding"), F.lit(0).alias("index"))).alias("data")))
+    return e.select("vec_id", providers.parse_embedding_response(body)[0]["embedding"].alias("v")).select("vec_id", F.posexplode("v").alias("idx", "x")).select("vec_id", "idx", F.round("x", 6).alias("value"))
+
+
+@query(f"WITH {JUDGED} SELECT split, count(*) AS n_total, count(*) FILTER (winner = 'tie') AS n_ties FROM j GROUP BY split")
+def winner_counts(spark, sf_dir):
+    return _judged(spark, sf_dir).groupBy("split").agg(F.count("*").alias("n_total"), F.count_if(F.col("winner") == "tie").alias("n_ties"))
+
+
+@query(
+    """WITH p AS (SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, a.source AS block FROM documents a JOIN documents b ON a.source = b.source AND a.doc_id < b.doc_id)
+    SELECT p.*, CASE WHEN x.quality > y.quality THEN 'A' WHEN x.quality < y.quality THEN 'B' WHEN x.quality = y.quality THEN 'tie' END AS winner FROM p LEFT JOIN labels x ON x.doc_id = doc_id_a LEFT JOIN labels y ON y.doc_id = doc_id_b"""
+)
+def label_winners(spark, sf_dir):
+    """Judgements from labels per document; null where either is missing."""
+    p = pairs.all_pairs(_docs(spark, sf_dir).withColumn("block", F.col("source")), ["block"]).select(F.col("lo").alias("doc_id_a"), F.col("hi").alias("doc_id_b"), "block")
+    return providers.TableAnnotator(_table(spark, sf_dir, "labels"), value_col="quality").annotate(p).select("doc_id_a", "doc_id_b", "block", "winner")
+
+
+@query(SQL["label_winners"].replace("WITH p AS", "SELECT * FROM (WITH p AS") + ") WHERE winner IS DISTINCT FROM 'tie'")
+def drop_ties(spark, sf_dir):
+    """Ties go, rows without a winner stay."""
+    return model.usable(label_winners(spark, sf_dir), None)
+
+
+# --- models ----------------------------------------------------------------
+
+
+@query(f"WITH {JUDGED} SELECT doc_id_a, doc_id_b, CASE winner WHEN 'A' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y, round(list_sum(list_transform(generate_series(1, 64), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i]))), 6) AS square, round(a.v[1] - b.v[1], 6) AS first FROM j JOIN e a ON a.doc_id = doc_id_a JOIN e b ON b.doc_id = doc_id_b WHERE split = 'train' AND winner != 'tie'")
+def train_design(spark, sf_dir):
+    x = model.embedding_differences(model.usable(_judged(spark, sf_dir), "train"), _emb(spark, sf_dir))
+    return x.select("doc_id_a", "doc_id_b", "y", F.round(S.dot(F.col("x"), F.col("x")), 6).alias("square"), F.round(F.col("x")[0], 6).alias("first"))
+
+
+@query(
+    f"""WITH {JUDGED}, x AS (SELECT list_transform(generate_series(1, 64), lambda i: a.v[i] - b.v[i]) AS x FROM j JOIN e a ON a.doc_id = doc_id_a JOIN e b ON b.doc_id = doc_id_b WHERE split = 'train' AND winner != 'tie'),
+    w AS (SELECT x, 1 / (1 + exp(-list_dot_product(x, {_list(V)}))) AS p FROM x)
+    SELECT i::INTEGER AS i, k::INTEGER AS k, round(sum(p * (1 - p) * x[i + 1] * x[k + 1]), 5) + 0 AS value FROM w, generate_series(0, 63) a(i), generate_series(0, 63) b(k) GROUP BY 1, 2"""
+)
+def gram_matrix(spark, sf_dir):
+    """Weighted sums of products at fixed coefficients: p x p numbers."""
+    x = model.embedding_differences(model.usable(_judged(spark, sf_dir), "train"), _emb(spark, sf_dir))
+    g = model.gram(x, 0.0, np.array(V))
+    rows = [(i, k, float(g[i, k])) for i in range(DIMS) for k in range(DIMS)]
+    return spark.createDataFrame(rows, "i int, k int, value double").select("i", "k", (F.round("value", 5) + 0).alias("value"))
+
+
+@query(f"WITH {E}, {SCORES} SELECT doc_id, round(score, 6) AS score FROM s")
+def score_linear(spark, sf_dir):
+    return score.score_linear(_emb(spark, sf_dir), BETA).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(SQL["score_linear"])
+def stream_scores(spark, sf_dir):
+    """The same scores from a stream."""
+    from ..streaming.scoring import score_stream
+
+    folder = cache.shared_folder(spark)
+    import uuid
+
+    at = f"{folder}/latentrank-stream-{uuid.uuid4().hex}"
+    raw = spark.readStream.schema(_table(spark, sf_dir, "embeddings").schema).parquet(f"{sf_dir}/embeddings.parquet*")
+    stream = raw.select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    score_stream(stream, model.ScaleModel("ridge", np.array(BETA)), f"{at}/out", f"{at}/check").awaitTermination()
+    cache._written.append((spark, at))
+    return spark.read.schema("doc_id bigint, score double").parquet(f"{at}/out").select("doc_id", F.round("score", 6).alias("score"))
+
+
+Z = S.normal_quantile(0.975)
+
+
+@query(f"WITH {E}, {SCORES}, q AS (SELECT doc_id, sqrt(list_dot_product(list_transform(generate_series(1, 64), lambda i: v[i] * v[i]), {_list(SIGMA)})) AS se FROM e) SELECT doc_id, round(score, 6) AS score, round(score - {Z!r} * se, 6) AS lower, round(score + {Z!r} * se, 6) AS upper FROM s JOIN q USING (doc_id)")
+def score_laplace_diag(spark, sf_dir):
+    m = model.ScaleModel("ridge", np.array(BETA), sigma_post=np.diag(SIGMA))
+    return score.laplace(_emb(spark, sf_dir), m).select("doc_id", *[F.round(c, 6).alias(c) for c in ("score", "lower", "upper")])
+
+
+@query(
+    f"""WITH {E}, b AS (SELECT unnest([{', '.join(_list(r) for r in REPLICATES)}]) AS beta), x AS (SELECT doc_id, list_dot_product(v, beta) AS s FROM e, b)
+    SELECT doc_id, round(quantile_cont(s, 0.025), 6) AS lower, round(quantile_cont(s, 0.975), 6) AS upper FROM x GROUP BY doc_id"""
+)
+def bootstrap_quantiles(spark, sf_dir):
+    got = score.bootstrap(_emb(spark, sf_dir), model.ScaleModel("ridge", np.array(BETA)), np.array(REPLICATES))
+    return got.select("doc_id", F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"))
+
+
+@query(f"SELECT r, {_draw('boot', 'r', 'i')} < '8' AS heads, count(*) AS n FROM generate_series(0, 9) a(r), (SELECT doc_id AS i FROM documents) GROUP BY 1, 2")
+def bootstrap_draws(spark, sf_dir):
+    """Draws per replicate by hash: the same under any partitioning."""
+    d = _docs(spark, sf_dir).select(F.col("doc_id").alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(9).cast("bigint"))).alias("r"))
+    return d.groupBy("r", coin(draw(SEED, "boot", "r", "i")).alias("heads")).agg(F.count("*").alias("n"))
+
+
+# --- validation --------------------------------------------------------------
+
+
+def _probabilities(spark, sf_dir):
+    rows = model.usable(_judged(spark, sf_dir), "test")
+    return validate.pair_probabilities(score.score_linear(_emb(spark, sf_dir), BETA), rows).withColumn("prob", F.round("prob", 9)).withColumn("predicted", F.when(F.col("prob") > 0.5, "A").otherwise("B"))
+
+
+@query(f"WITH {PROBS} SELECT doc_id_a, doc_id_b, round(prob, 6) AS prob, CASE WHEN prob > 0.5 THEN 'A' ELSE 'B' END AS predicted FROM r")
+def win_probability(spark, sf_dir):
+    return _probabilities(spark, sf_dir).select("doc_id_a", "doc_id_b", F.round("prob", 6).alias("prob"), "predicted")
+
+
+_ACC = f"""n AS (SELECT count(*) AS n_pairs, count(*) FILTER (winner = CASE WHEN prob > 0.5 THEN 'A' ELSE 'B' END) AS n_correct FROM r),
+t AS (SELECT *, n_pairs + {Z!r} * {Z!r} AS nt, (n_correct + {Z!r} * {Z!r} / 2) / (n_pairs + {Z!r} * {Z!r}) AS pt FROM n)"""
+
+
+@query(f"WITH {PROBS}, {_ACC} SELECT n_pairs, n_correct, round(n_correct / n_pairs, 9) AS accuracy, round(greatest(0, pt - {Z!r} * sqrt(pt * (1 - pt) / nt)), 9) AS accuracy_lower, round(least(1, pt + {Z!r} * sqrt(pt * (1 - pt) / nt)), 9) AS accuracy_upper FROM t")
+def validation_accuracy(spark, sf_dir):
+    got = validate.accuracy(_probabilities(spark, sf_dir))
+    return got.select("n_pairs", "n_correct", *[F.round(c, 9).alias(c) for c in ("accuracy", "accuracy_lower", "accuracy_upper")])
+
+
+@query(
+    f"""WITH n AS (SELECT source, count(*) AS n, count(*) FILTER (lang = 'en') AS x FROM documents GROUP BY source), t AS (SELECT *, n + {Z!r} * {Z!r} AS nt, (x + {Z!r} * {Z!r} / 2) / (n + {Z!r} * {Z!r}) AS pt FROM n)
+    SELECT source, round(greatest(0, pt - {Z!r} * sqrt(pt * (1 - pt) / nt)), 9) AS lower, round(least(1, pt + {Z!r} * sqrt(pt * (1 - pt) / nt)), 9) AS upper FROM t"""
+)
+def agresti_coull(spark, sf_dir):
+    g = _docs(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == "en").alias("x"))
+    low, high = S.agresti_coull(F.col("x"), F.col("n"))
+    return g.select("source", F.round(low, 9).alias("lower"), F.round(high, 9).alias("upper"))
+
+
+FOLDED = f"""{PROBS}, f AS (SELECT doc_id_a, doc_id_b, CASE WHEN prob < 0.5 THEN 1 - prob ELSE prob END AS prob, CASE WHEN prob < 0.5 THEN 1 - (winner = 'A')::INT ELSE (winner = 'A')::INT END::DOUBLE AS result FROM r)"""
+
+
+@query(f"WITH {FOLDED} SELECT round(prob, 6) AS prob, result, count(*) AS n FROM f GROUP BY 1, 2")
+def calibration_fold(spark, sf_dir):
+    c = validate.calibration(_probabilities(spark, sf_dir))
+    return c.groupBy(F.round("prob", 6).alias("prob"), "result").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {FOLDED} SELECT greatest(1, ceil((prob - 0.5) * 20))::INTEGER AS bin, round(avg(prob), 6) AS mean_pred, round(avg(result), 6) AS obs_prop, count(*) AS n FROM f GROUP BY 1")
+def calibration_bins(spark, sf_dir):
+    b = validate.reliability_bins(validate.calibration(_probabilities(spark, sf_dir)))
+    return b.select("bin", F.round("mean_pred", 6).alias("mean_pred"), F.round("obs_prop", 6).alias("obs_prop"), "n")
+
+
+@query(f"WITH {E}, {SCORES}, {LATENT} SELECT round(corr(score, l.s), 6) AS correlation, count(*) AS n FROM s JOIN l USING (doc_id)")
+def score_correlation(spark, sf_dir):
+    e = _emb(spark, sf_dir)
+    both = e.select(S.dot(F.col("embedding"), S.literal(BETA)).alias("a"), F.round(S.dot(F.col("embedding"), S.literal(V)), 9).alias("b"))
+    return both.agg(F.round(F.corr("a", "b"), 6).alias("correlation"), F.count("*").alias("n"))
+
+
+@query(f"WITH {E}, {SCORES} SELECT lang, round(min(score), 6) AS q0, round(quantile_cont(score, 0.25), 6) AS q1, round(quantile_cont(score, 0.5), 6) AS q2, round(quantile_cont(score, 0.75), 6) AS q3, round(max(score), 6) AS q4 FROM documents JOIN s USING (doc_id) GROUP BY lang")
+def score_boxplot(spark, sf_dir):
+    d = _docs(spark, sf_dir).join(score.score_linear(_emb(spark, sf_dir), BETA), "doc_id")
+    q = d.groupBy("lang").agg(F.percentile("score", F.array(*[F.lit(i / 4) for i in range(5)])).alias("q"))
+    return q.select("lang", *[F.round(F.col("q")[i], 6).alias(f"q{i}") for i in range(5)])
+
+
+# --- page layout and captions -----------------------------------------------
+
+# pages of laid-out lines: user_id stands for the page, value and time for places
+ENTRIES = "en AS (SELECT user_id AS page, event_id AS entry_id, CASE WHEN event_type < 'm' THEN 'L' ELSE 'R' END AS col, (epoch_us(ts) // 1000000 % 2000)::DOUBLE AS y0 FROM events)"
+BOXES = "bx AS (SELECT o_custkey % 50 AS page, o_orderkey AS box_id, CASE WHEN o_orderstatus = 'F' THEN 'L' ELSE 'R' END AS col, (floor(o_totalprice)::BIGINT % 2000)::DOUBLE AS y1 FROM orders)"
+
+
+def _seconds():
+    """Whole seconds of ``ts`` since 1970, without a time zone."""
+    return F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
+
+
+def _entries(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("page"), F.col("event_id").alias("entry_id"), F.when(F.col("event_type") < "m", "L").otherwise("R").alias("col"), (_seconds() % 2000).cast("double").alias("y0"))
+
+
+def _boxes(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders")
+    return o.select((F.col("o_custkey") % 50).alias("page"), F.col("o_orderkey").alias("box_id"), F.when(F.col("o_orderstatus") == "F", "L").otherwise("R").alias("col"), (F.floor("o_totalprice").cast("bigint") % 2000).cast("double").alias("y1"))
+
+
+_ABOVE = f"{ENTRIES}, {BOXES}, m AS (SELECT page, entry_id, box_id, y0 - y1 AS gap, row_number() OVER (PARTITION BY page, entry_id ORDER BY y0 - y1, box_id) AS r FROM en JOIN bx USING (page, col) WHERE y0 - y1 BETWEEN -10 AND 250)"
+
+
+@query(f"WITH {_ABOVE} SELECT page, entry_id, box_id, gap FROM m WHERE r = 1")
+def nearest_above_match(spark, sf_dir):
+    return layout.nearest_above(_entries(spark, sf_dir), _boxes(spark, sf_dir))
+
+
+@query(f"WITH {_ABOVE} SELECT (SELECT count(*) FROM en) - (SELECT count(*) FROM m WHERE r = 1) AS entries, (SELECT count(*) FROM bx) - (SELECT count(DISTINCT box_id) FROM m WHERE r = 1) AS boxes")
+def unmatched_counts(spark, sf_dir):
+    e, b = _entries(spark, sf_dir), _boxes(spark, sf_dir)
+    m = layout.nearest_above(e, b)
+    return layout.unmatched(e, m, "entry_id").toDF("entries").crossJoin(layout.unmatched(b, m, "box_id").toDF("boxes"))
+
+
+LINES = "ln AS (SELECT user_id AS page, event_id AS line_id, event_type AS text, (value::DECIMAL(18,2) % 60)::DOUBLE AS x0, (epoch_us(ts) // 1000000 % 3000)::DOUBLE AS y0, (epoch_us(ts) // 1000000 % 3000)::DOUBLE + 10 AS y1, event_type < 'm' AS bold FROM events)"
+
+
+def _lines(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    y = (_seconds() % 3000).cast("double")
+    return e.select(F.col("user_id").alias("page"), F.col("event_id").alias("line_id"), F.col("event_type").alias("text"), (F.col("value").cast("decimal(18,2)") % 60).cast("double").alias("x0"), y.alias("y0"), (y + 10).alias("y1"), (F.col("event_type") < "m").alias("bold"))
+
+
+@query(
+    f"""WITH {LINES}, m AS (SELECT a.page, a.line_id, b.line_id AS next_id, row_number() OVER (PARTITION BY a.page, a.line_id ORDER BY b.y0, b.line_id) AS r
+    FROM ln a JOIN ln b ON a.page = b.page AND a.line_id != b.line_id AND NOT b.bold AND b.y0 > a.y0 - 1 AND b.y0 - a.y1 <= 20 AND abs(b.x0 - a.x0) <= 30) SELECT page, line_id, next_id FROM m WHERE r = 1"""
+)
+def next_line_match(spark, sf_dir):
+    return layout.next_within(_lines(spark, sf_dir))
+
+
+@query(
+    f"""WITH {ENTRIES}, {BOXES}, m AS (SELECT en.page, entry_id, box_id::VARCHAR AS label, row_number() OVER (PARTITION BY en.page, entry_id ORDER BY en.col = bx.col DESC, y1 DESC, box_id::VARCHAR DESC) AS r FROM en JOIN bx ON en.page = bx.page AND y1 <= y0 + 1)
+    SELECT page, entry_id, label FROM m WHERE r = 1"""
+)
+def label_above_match(spark, sf_dir):
+    return layout.label_above(_entries(spark, sf_dir), _boxes(spark, sf_dir).withColumn("label", F.col("box_id").cast("string")))
+
+
+@query(
+    f"""WITH {LINES}, g AS (SELECT *, coalesce(y0 - lag(y1) OVER w >= -8 AND y0 - lag(y1) OVER w < 20 AND abs(x0 - lag(x0) OVER w) < 30, false) AS goes_on FROM ln WINDOW w AS (PARTITION BY page ORDER BY y0, x0, line_id)),
+    r AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY page ORDER BY y0, x0, line_id ROWS UNBOUNDED PRECEDING) AS run FROM g)
+    SELECT page, first(line_id ORDER BY y0, x0, line_id) AS line_id, string_agg(text, ' ' ORDER BY y0, x0, line_id) AS text, first(x0 ORDER BY y0, x0, line_id) AS x0, min(y0) AS y0, max(y1) AS y1, count(*) AS n_lines FROM r GROUP BY page, run"""
+)
+def wrapped_lines(spark, sf_dir):
+    return layout.merge_wrapped(_lines(spark, sf_dir))
+
+
+@query(
+    """WITH v AS (SELECT user_id AS page, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, value FROM events), h AS (SELECT page, i, i - row_number() OVER (PARTITION BY page ORDER BY i) AS island FROM v WHERE value > 50)
+    SELECT page, min(i) AS start, max(i) + 1 AS stop FROM h GROUP BY page, island HAVING count(*) >= 2"""
+)
+def runs_islands(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").withColumn("page", F.col("user_id"))
+    v = e.select("page", F.row_number().over(Window.partitionBy("page").orderBy("ts", "event_id")).cast("bigint").alias("i"), "value")
+    return layout.value_runs(v, 50, 2)
+
+
+@query(
+    """WITH s AS (SELECT l_orderkey % 97 AS page, l_orderkey AS line_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS i, l_returnflag || l_linestatus AS text, l_returnflag = 'N' AS bold, l_quantity AS x0, l_quantity + l_tax AS x1 FROM lineitem),
+    c AS (SELECT *, CASE WHEN lag(bold) OVER w IS DISTINCT FROM bold THEN 1 ELSE 0 END AS changed FROM s WINDOW w AS (PARTITION BY page, line_id ORDER BY i)),
+    r AS (SELECT *, sum(changed) OVER (PARTITION BY page, line_id ORDER BY i ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM c)
+    SELECT page, line_id, run, string_agg(text, '' ORDER BY i) AS text, min(x0) AS x0, max(x1) AS x1, any_value(bold) AS bold FROM r GROUP BY page, line_id, run"""
+)
+def style_runs(spark, sf_dir):
+    t = _table(spark, sf_dir, "lineitem")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    s = t.select((F.col("l_orderkey") % 97).alias("page"), F.col("l_orderkey").alias("line_id"), place.cast("bigint").alias("i"), F.concat("l_returnflag", "l_linestatus").alias("text"), (F.col("l_returnflag") == "N").alias("bold"), F.col("l_quantity").alias("x0"), (F.col("l_quantity") + F.col("l_tax")).alias("x1"))
+    return layout.style_runs(s)
+
+
+@query(
+    """WITH x AS (SELECT c_nationkey AS page, c_acctbal AS x FROM customer), g AS (SELECT page, x, lead(x) OVER (PARTITION BY page ORDER BY x) AS nx FROM x),
+    m AS (SELECT page, x, nx, row_number() OVER (PARTITION BY page ORDER BY nx - x DESC NULLS LAST, x DESC) AS r FROM g) SELECT page, CASE WHEN nx - x > 5 THEN (x + nx) / 2 END AS threshold FROM m WHERE r = 1"""
+)
+def largest_gap_split(spark, sf_dir):
+    return layout.column_split(_table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("page"), F.col("c_acctbal").alias("x")))
+
+
+@query("SELECT p_partkey AS row_id, CASE WHEN row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_size, p_partkey) = 1 THEN p_type ELSE p_type || '_p' || p_size END AS file FROM part")
+def dedupe_names(spark, sf_dir):
+    p = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_brand").alias("region"), F.col("p_type").alias("name"), F.col("p_size").alias("page"))
+    return layout.file_names(p).select("row_id", "file")
+
+
+CAPTION = "k AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'Sen. ' ELSE '' END || c_name || CASE WHEN c_custkey % 4 = 0 THEN ', Jr.' ELSE '' END AS name, CASE c_custkey % 5 WHEN 0 THEN 'o/ ' WHEN 1 THEN 'near ' ELSE 'of ' END || initcap_(c_mktsegment) || ', ' || n_name || CASE WHEN c_custkey % 7 = 0 THEN ' (at large)' ELSE '' END AS city, c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN ' — ' || c_nationkey || 'th term' ELSE '' END AS party, CASE WHEN c_custkey % 6 = 0 THEN '' ELSE n_name END AS label FROM customer JOIN nation ON c_nationkey = n_nationkey)".replace("initcap_(c_mktsegment)", "c_mktsegment")
+
+
+def _captions(spark, sf_dir):
+    c = _table(spark, sf_dir, "customer").join(_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    k = F.col("c_custkey")
+    return c.select(
+        k.alias("id"),
+        F.concat(F.when(k % 3 == 0, "Sen. ").otherwise(""), "c_name", F.when(k % 4 == 0, ", Jr.").otherwise("")).alias("name"),
+        F.concat(F.when(k % 5 == 0, "o/ ").when(k % 5 == 1, "near ").otherwise("of "), "c_mktsegment", F.lit(", "), "n_name", F.when(k % 7 == 0, " (at large)").otherwise("")).alias("city"),
+        F.concat("c_mktsegment", F.when(k % 2 == 0, F.concat(F.lit(" — "), F.col("c_nationkey").cast("string"), F.lit("th term"))).otherwise("")).alias("party"),
+        F.when(k % 6 == 0, "").otherwise(F.col("n_name")).alias("label"),
+    )
+
+
+@query(
+    rf"""WITH {CAPTION}, c AS (SELECT *, regexp_replace(city, '^o/\s', 'of ') AS fixed FROM k)
+    SELECT id, CASE WHEN starts_with(name, 'Sen.') THEN 'Senate' ELSE 'House' END AS chamber, trim(regexp_replace(name, '^Sen\.\s*', '')) AS person,
+    CASE WHEN regexp_matches(fixed, '^of\s') THEN trim(regexp_replace(regexp_replace(fixed, '^of\s+', ''), '\s*\([^)]+\)$', '')) ELSE fixed END AS town,
+    CASE WHEN regexp_matches(fixed, '^of\s') THEN regexp_extract(fixed, '\(([^)]+)\)$', 1) ELSE '' END AS district,
+    trim(split_part(party, '—', 1)) AS party, CASE WHEN contains(party, '—') THEN trim(split_part(party, '—', 2)) ELSE '' END AS term FROM c"""
+)
+def parse_caption(spark, sf_dir):
+    c = _captions(spark, sf_dir)
+    chamber, person = layout.parse_name(F.col("name"))
+    town, district = layout.parse_city(F.col("city"))
+    party, term = layout.parse_party(F.col("party"))
+    return c.select("id", chamber.alias("chamber"), person.alias("person"), town.alias("town"), district.alias("district"), party.alias("party"), term.alias("term"))
+
+
+@query(
+    f"""WITH {CAPTION}, t AS (SELECT *, array_to_string(list_transform(string_split(lower(label), ' '), lambda x: upper(x[1]) || x[2:]), ' ') AS title, upper(label) IN ('FRANCE', 'GERMANY', 'UNITED STATES', 'JAPAN') AS listed FROM k)
+    SELECT id, CASE WHEN listed THEN title WHEN contains(city, ',') THEN trim(split_part(city, ',', -1)) WHEN label != '' THEN title ELSE 'Unknown' END AS region,
+    CASE WHEN listed THEN title WHEN contains(city, ',') AND label = '' THEN 'Delegate' WHEN label != '' THEN title ELSE 'Unknown' END AS office FROM t"""
+)
+def parse_region(spark, sf_dir):
+    place, office = layout.region(F.col("label"), F.col("city"), ["FRANCE", "GERMANY", "UNITED STATES", "JAPAN"])
+    return _captions(spark, sf_dir).select("id", place.alias("region"), office.alias("office"))
+
+
+@query(r"SELECT p_partkey, regexp_replace(regexp_replace(trim(regexp_replace(p_name || ', No. ' || p_brand || '!', '[.,]', '', 'g')), '\s+', '_', 'g'), '[^A-Za-z0-9_-]', '', 'g') AS file FROM part")
+def sanitize_name(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", layout.sanitize(F.concat("p_name", F.lit(", No. "), "p_brand", F.lit("!"))).alias("file"))
+
+
+@query("SELECT l_orderkey, l_linenumber, greatest(0, trunc((l_quantity - 20) * 1.5)::INT) AS x0, greatest(0, trunc((l_linenumber - 2) * 2.0)::INT) AS y0, least(40, trunc(l_quantity * 1.5)::INT) AS x1, least(9, trunc(l_linenumber * 2.0)::INT) AS y1 FROM lineitem")
+def crop_boxes(spark, sf_dir):
+    q, n = F.col("l_quantity"), F.col("l_linenumber")
+    box = layout.crop_box(q - 20, n - 2, q, n, 1.5, 2.0, 40, 9)
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[c.alias(a) for c, a in zip(box, ("x0", "y0", "x1", "y1"))])
+
+
+@query(
+    """WITH t AS (SELECT event_id, event_type, upper(substr(event_type, 1, 1)) || substr(event_type, 2) AS title, value > 50 AS bold FROM events), a AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN upper(event_type) WHEN 1 THEN title ELSE event_type END AS text, bold FROM t)
+    SELECT event_id, bold AND upper(text) = text AND lower(text) != text AS label, bold AND NOT (upper(text) = text AND lower(text) != text) AND upper(text) != text AS name FROM a"""
+)
+def line_classes(spark, sf_dir):
+    k, t = F.col("event_id") % 3, F.col("event_type")
+    e = _table(spark, sf_dir, "events").select("event_id", F.when(k == 0, F.upper(t)).when(k == 1, F.concat(F.upper(F.substring(t, 1, 1)), F.expr("substring(event_type, 2)"))).otherwise(t).alias("text"), (F.col("value") > 50).alias("bold"))
+    return e.select("event_id", layout.is_label(F.col("text"), F.col("bold")).alias("label"), layout.is_name(F.col("text"), F.col("bold")).alias("name"))
+
+
+# --- datasets ----------------------------------------------------------------
+
+
+@query("SELECT p_partkey, p_brand, ['Promoting', 'Mostly promoting', 'Contrasting', 'Mostly attacking', 'Attacking'][p_size % 7 + 0] AS tone_label, CASE WHEN p_size % 7 BETWEEN 1 AND 5 THEN (p_size % 7)::INTEGER END AS tone_level FROM part")
+def dataset_etl(spark, sf_dir):
+    return datasets.prepare(_table(spark, sf_dir, "part").withColumn("tone", F.col("p_size") % 7), ["p_partkey", "p_brand"])
+
+
+@query("SELECT p_size % 7 AS tone, count(*) AS n FROM part WHERE p_size % 7 BETWEEN 1 AND 5 GROUP BY 1")
+def labelled_only(spark, sf_dir):
+    """Rows that have a label."""
+    p = _table(spark, sf_dir, "part").withColumn("tone", F.col("p_size") % 7)
+    return p.where(datasets.tone_label(F.col("tone")).isNotNull()).groupBy("tone").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey AS id, c_name || ', \"' || c_mktsegment || '\"' || chr(10) || 'x' AS name, c_nationkey AS page FROM customer")
+def manifest_csv(spark, sf_dir):
+    """Rows written as CSV and read back."""
+    import uuid
+
+    at = f"{cache.shared_folder(spark)}/latentrank-manifest-{uuid.uuid4().hex}"
+    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"\nx')).alias("name"), F.col("c_nationkey").alias("page"))
+    datasets.write_manifest(c, at)
+    cache._written.append((spark, at))
+    return datasets.read_manifest(spark, at, "id bigint, name string, page int")
+
+
+# --- whole fits ----------------------------------------------------------------
+
+
+def _fit(spark, sf_dir, method, **kw):
+    comparisons, e = _stored(_judged(spark, sf_dir)), _emb(spark, sf_dir)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        m = model.fit_model(comparisons, e, method, seed=SEED, nlambda=60, lambda_min_ratio=1e-4, **kw)
+    return m, comparisons, e
+
+
+def _coefficients(spark, m):
+    return spark.createDataFrame([(i, float(b), m.lambda_) for i, b in enumerate(m.beta)], "dimension int, beta double, lambda double")
+
+
+@query()
+def fit_ridge(spark, sf_dir):
+    return _coefficients(spark, _fit(spark, sf_dir, "ridge")[0])
+
+
+@query()
+def fit_lasso(spark, sf_dir):
+    return _coefficients(spark, _fit(spark, sf_dir, "lasso")[0])
+
+
+@query()
+def fit_enet(spark, sf_dir):
+    return _coefficients(spark, _fit(spark, sf_dir, "enet")[0])
+
+
+@query()
+def fit_svm(spark, sf_dir):
+    return _coefficients(spark, _fit(spark, sf_dir, "svm")[0])
+
+
+@query()
+def cv_curve(spark, sf_dir):
+    m, _, _ = _fit(spark, sf_dir, "ridge")
+    return spark.createDataFrame(m.cv, "lambda double, deviance double")
+
+
+@query()
+def calibration_index(spark, sf_dir):
+    c = _stored(validate.calibration(_probabilities(spark, sf_dir)))
+    return spark.createDataFrame([(validate.calibration_index(c),)], "ici double")
+
+
+@query()
+def validate_ridge(spark, sf_dir):
+    m, comparisons, e = _fit(spark, sf_dir, "ridge", lambda_=0.01)
+    return validate.validate_model(m, comparisons, e, force=True).metrics
+
+
+@query()
+def bootstrap_ci(spark, sf_dir):
+    m, comparisons, e = _fit(spark, sf_dir, "ridge", lambda_=0.01)
+    return score.score_documents(m, e, ci=True, ci_method="bootstrap", n_boot=50, comparisons=comparisons, seed=SEED)
+
+
+@query()
+def scaling_run(spark, sf_dir):
+    """The whole run: pairs, judgements, model, validation, refit, intervals."""
+    m, comparisons, e = _fit(spark, sf_dir, "ridge", lambda_=0.01)
+    validate.validate_model(m, comparisons, e, force=True)
+    final = model.fit_model(comparisons, e, "ridge", refit=True, seed=SEED, lambda_=0.01)
+    return score.score_documents(final, e, ci=True)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Documents scored by a ridge model of planted judgements."""
+    return scaling_run(spark, sf_dir)
