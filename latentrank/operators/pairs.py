@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import below, coin, draw, with_rank
 from ..functions.scalars import choose_two
+from ..sources.cache import saved
 
 log = logging.getLogger(__name__)
 
@@ -133,7 +134,7 @@ def sample_pairs(docs: DataFrame, targets: DataFrame, groups: list[str], seed: i
         members = _within(docs.select(*groups, "doc_id"), few, groups).drop("n_docs", "target")
         times, got = 2, None
         while True:  # a group can fall short by chance; more draws keep those made so far
-            got = _drawn(members, few, groups, seed, times)
+            got = saved(_drawn(members, few, groups, seed, times))
             if times > 8 or got.count() >= seen[True]["wanted"]:
                 break
             times *= 2
