@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import plain, texts_of
+from .text import plain, raw, strings, texts_of
 
 SAMPLE_ROWS = 3000
 SAMPLE_TEXT_BYTES = 32_768
@@ -97,8 +97,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = plain(docs, id_col, text_col).toDF("id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= sample_text_bytes)
     found = texts.join(chosen, "id").withColumn("turn", F.xxhash64("id"))
     rows = [found.where(F.col("label") == k).orderBy("turn", "id", "text").limit(2 * sample_rows) for k in (0, 1)]
-    got = rows[0].unionByName(rows[1]).select("label", "turn", "text").toArrow().to_pylist()
-    good, bad = ([(r["text"] or "").encode() for r in got if r["label"] == k] for k in (1, 0))
+    t = rows[0].unionByName(rows[1]).select("label", "text").toArrow()  # 4 * sample_rows texts at most, each of bounded size
+    label, (data, offsets) = t.column("label").to_numpy(), raw(strings(t.column("text")))
+    texts = [data[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:])]
+    del t, data
+    good, bad = ([x for x, k in zip(texts, label) if k == want] for want in (1, 0))
     if not good or not bad:
         return Model(prior=(len(good) + 1) / (len(good) + len(bad) + 2) if good or bad else 0.5)
 

@@ -1,65 +1,26 @@
-"""Intermediate tables in the folder that all executors share.
-
-``spark.checkpoint.dir`` names that folder on a cluster.  Only where it is unset
-(tests, one machine) a local temporary folder is used.  Written tables cut the
-lineage; lost executors re-read them.  They go when the session's process ends,
-or earlier with ``drop``.
-"""
+"""Intermediate tables of these operators, in the folder that all executors share."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("spark.latentrank.scratch", None)
-        if not folder:
-            folder = "file://" + tempfile.mkdtemp(prefix="latentrank-")
-            spark.conf.set("spark.latentrank.scratch", folder)
-    return folder.rstrip("/")
+from ..sources import cache
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the shared folder, and read again."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/latentrank-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._latentrank_path = path
+    """``df`` written to the shared folder and read again; lost executors re-read it."""
+    out = cache.saved(df)
+    out._latentrank_path = cache._written[-1][1]
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def drop(df: DataFrame) -> None:
     """Deletes a table from ``saved`` that nothing reads any more."""
     path = getattr(df, "_latentrank_path", None)
     if path:
-        _delete(df.sparkSession, path)
-        _written[:] = [x for x in _written if x[1] != path]
-
-
-@atexit.register
-def _drop_all() -> None:
-    for spark, path in _written:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session may be gone; the folder's owner clears it then
-            return
+        cache.delete(df.sparkSession, path)
+        cache._written[:] = [x for x in cache._written if x[1] != path]
 
 
 def parts(df: DataFrame, text_col: str, part_bytes: int, least: int) -> int:
