@@ -643,6 +643,12 @@ def line_classes(spark, sf_dir):
     return e.select("event_id", layout.is_label(F.col("text"), F.col("bold")).alias("label"), layout.is_name(F.col("text"), F.col("bold")).alias("name"))
 
 
+@query("SELECT l_orderkey % 50 AS page, l_linenumber AS i, round(avg((l_quantity > 25)::INT), 9) AS value FROM lineitem GROUP BY 1, 2")
+def raster_densities(spark, sf_dir):
+    cells = _table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 50).alias("page"), F.col("l_linenumber").alias("x"), F.col("l_partkey").alias("y"), (F.col("l_quantity") > 25).alias("dark"))
+    return layout.densities(cells, "x").select("page", "i", F.round("value", 9).alias("value"))
+
+
 # --- datasets ----------------------------------------------------------------
 
 
