@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .text import plain, raw, strings, texts_of
 
@@ -120,12 +121,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with a column for the score of each whole text, as last column."""
-    place = docs.columns.index(text_col)
+    place, names = docs.columns.index(text_col), docs.columns
+    inner = docs.toDF(*[f"c{i}" for i in range(len(names))])  # whatever the names, they clash with nothing
     sent = docs.sparkSession.sparkContext.broadcast((model.good, model.bad, model.weights, model.prior, model.level))  # two dictionaries of bounded size
-    fields = docs.schema.jsonValue()["fields"]
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    schema = StructType([*StructType.fromJson({"type": "struct", "fields": fields}), StructField(score_col, DoubleType())])
+    schema = StructType([*inner.schema.fields, StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*sent.value)
@@ -134,9 +133,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for a, b, data, offsets in texts_of(pa.table([batch.column(place)], names=["text"])):
                 body = data.tobytes()
                 found = model.scores(tools, [body[i:j] for i, j in zip(offsets[:-1], offsets[1:])])
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(found, pa.float64())], names=[*batch.schema.names, score_col])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, schema)
+    return inner.mapInArrow(run, schema).toDF(*names, score_col)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, **kw) -> DataFrame:
