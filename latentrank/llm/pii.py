@@ -13,7 +13,7 @@ state, with no base span on it, adds a span.
 Weights are learnt by pseudo-likelihood in numpy: each token's state given its
 features and its neighbours' states, base spans being the states to learn.
 Learning uses a bounded sample of documents (``sample_rows``, the first by a
-hash of the id among those with a digit or "@" and at most
+hash of the id among those with an id, a digit or "@" and at most
 ``sample_text_bytes`` long); every document is labelled, in full.
 
 Null text counts as empty; rows are treated one by one, so repeated rows get
@@ -229,7 +229,10 @@ class Field:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sample_rows: int = SAMPLE_ROWS, sample_text_bytes: int = SAMPLE_TEXT_BYTES) -> Field:
     chosen = plain(docs, id_col, text_col).toDF("id", "text").where((F.octet_length("text") <= sample_text_bytes) & F.col("text").rlike("[0-9@]"))
-    texts = chosen.orderBy(F.xxhash64("id"), "id", "text").limit(sample_rows).select("text").toArrow().column(0).to_pylist()
+    # ids first: no more than the sample's texts are moved
+    ids = chosen.where("id IS NOT NULL").select(F.xxhash64("id").alias("turn"), "id").orderBy("turn", "id").limit(sample_rows).distinct()
+    rows = chosen.join(F.broadcast(ids), "id").orderBy("turn", "id", "text").limit(sample_rows)
+    texts = rows.select("text").toArrow().column(0).to_pylist()
     base, field = Base(), Field()
     field.learn([Graph(t, base.spans(t)) for t in texts])
     return field
