@@ -21,6 +21,8 @@ log = logging.getLogger(__name__)
 
 #: Documents in one cell of the grid that lists a group's pairs, about.
 CELL = 2000
+#: Draws of one task row.
+DRAWS = 10_000
 
 
 def split_documents(docs: DataFrame, prop: float | None = None, holdout: str | None = None, seed: int | None = None) -> DataFrame:
@@ -107,7 +109,9 @@ def _within(rows: DataFrame, targets: DataFrame, groups: list[str]) -> DataFrame
 def _drawn(docs: DataFrame, targets: DataFrame, groups: list[str], seed: int | None, times: int = 2) -> DataFrame:
     """Distinct unordered pairs of drawn indices, the first ``target`` by draw."""
     index = with_rank(docs.select(*groups, "doc_id").withColumn("__h", draw(seed, "index", "doc_id")), groups, "__h", ["doc_id"], "at").select(*groups, "at", F.col("doc_id").alias("id"))
-    draws = targets.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("target") * times + 64)))
+    # draws come in chunks that are dealt out before they are listed
+    chunks = targets.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("target") * times + 64) / DRAWS)))).repartition(*groups, "chunk")
+    draws = chunks.withColumn("j", F.explode(F.sequence(F.col("chunk") * DRAWS, F.least((F.col("chunk") + 1) * DRAWS - 1, F.col("target") * times + 64)))).drop("chunk")
     pick = lambda side: (below(draw(seed, side, *groups, "j"), F.col("n_docs")) + 1).alias(side)
     draws = draws.select(*groups, "target", "j", pick("first"), pick("second")).where("first <> second")
     for side in ("first", "second"):
