@@ -7,7 +7,7 @@ one entry per group however often the name occurs, and sends its answers back
 packed by group.  So a name that half of all rows share costs one entry a group,
 no list of occurrences ever meets in a task, and a shuffle moves about eight
 bytes for each distinct name of a group.  Groups and buckets grow in number
-with the input and keep their size.
+with the input; their size grows far more slowly (see ``group_bytes``).
 """
 
 from __future__ import annotations
@@ -19,17 +19,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import parts
+from .tables import text_bytes
 from .text import U64
 
-GROUP_BYTES = 8 << 20
+GROUP_BYTES, MOST_BYTES, SMALL_TABLE = 8 << 20, 128 << 20, 64 << 30
 PACKED = "bucket int, part int, keys binary, rest binary"
 PART = "__part"
 
 
-def dealt(docs: DataFrame, id_col: str, text_col: str, group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, int, int]:
+def group_bytes(total: int) -> int:
+    """Text in a group: beyond 64 GB it grows with the root of the input, up to
+    128 MB, so that a row to a bucket still packs several names."""
+    return int(min(MOST_BYTES, max(GROUP_BYTES, GROUP_BYTES * (total / SMALL_TABLE) ** 0.5)))
+
+
+def dealt(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, int]:
     """The documents with their group, the number of groups and of buckets."""
-    groups = parts(docs, text_col, group_bytes, 16)
+    total = text_bytes(docs, text_col)
+    groups = max(16, -(-total // group_bytes(total)))
     # a null id (all such would meet in one group) is dealt by its text instead
     key = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(id_col))
     return docs.withColumn(PART, F.pmod(key, F.lit(groups)).cast("int")), groups, max(16, groups // 2)

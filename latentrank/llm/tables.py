@@ -23,7 +23,5 @@ def drop(df: DataFrame) -> None:
         cache._written[:] = [x for x in cache._written if x[1] != path]
 
 
-def parts(df: DataFrame, text_col: str, part_bytes: int, least: int) -> int:
-    """How many groups of about ``part_bytes`` of text the table makes."""
-    total = df.agg(F.sum(F.octet_length(text_col).cast("bigint"))).first()[0] or 0
-    return max(least, -(-total // part_bytes))
+def text_bytes(df: DataFrame, text_col: str) -> int:
+    return df.agg(F.sum(F.octet_length(text_col).cast("bigint"))).first()[0] or 0
