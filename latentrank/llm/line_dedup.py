@@ -1,4 +1,8 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by content-defined runs or chunks of lines.
+
+With ``whole_runs`` (the query and the pipeline) every run of lines that occurs
+earlier is removed whole: see ``Runs``.  Without, the units are chunks, which
+find a repeated passage only where a chunk lies inside it.
 
 A rolling hash runs over the hashes of two lines; a chunk begins at each line
 whose rolling hash is a local minimum.  Boundaries depend on two lines to
@@ -14,7 +18,7 @@ with a smaller id, or earlier in the same document.  Equality is of bytes.
    bytes and tell the first place of all.
 3. Every group drops the later copies.
 
-A chunk counts only with ``min_lines`` lines that hold words and ``min_words``
+Below, chunk stands for either unit.  A chunk counts only with ``min_lines`` lines that hold words and ``min_words``
 words; shorter ones stay, so that short common lines are left alone.  Null text
 stays null.  A null id counts as larger than any other, and such rows never
 displace each other.  Rows with the same id count as one document in the order
@@ -81,11 +85,60 @@ class Chunks:
         self.place = self.line - first
         self.n_lines = ends - self.line
         self.nonblank = full
+        self.line_text = text
+        self.fit = np.zeros(0, np.int64)
+        self.apart = np.zeros(len(self.line), np.int64)  # chunks never overlap
+
+    def choose(self, min_lines: int, min_words: int) -> None:
+        self.fit = np.flatnonzero((self.lines_with_words >= min_lines) & (self.words >= min_words))
+
+
+class Runs:
+    """The shortest runs of lines with enough lines and words, from every line
+    with words on and back from every such line.
+
+    They begin and end at lines with words.  Any longer run with such ends is
+    covered by those inside it, so that a passage found elsewhere is found line
+    by line, wherever it begins and ends.  A byte lies in at most ``min_words``
+    (or ``min_lines``) runs of each direction, since each line counted has a word.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, min_lines: int = 2, min_words: int = 8):
+        breaks = np.flatnonzero(data == 10)
+        self.start = np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], breaks + 1]))
+        self.start = self.start[self.start < len(data)]
+        end = np.concatenate([self.start[1:], [len(data)]]) if len(self.start) else self.start
+        self.line_text = np.searchsorted(offsets, self.start, "right") - 1
+        counts = np.diff(np.searchsorted(Words(data, offsets, hashes=False).start, np.concatenate([self.start, [len(data)]])))
+        full = np.flatnonzero(counts)  # lines with words
+        total = np.concatenate([[0], np.cumsum(counts[full])])
+        text, n = self.line_text[full], len(full)
+        least = max(min_lines, 1)
+        on = np.arange(n)
+        to = np.maximum(on + least, np.searchsorted(total, total[:-1] + min_words, "left"))
+        inside = to <= n
+        inside[inside] = text[to[inside] - 1] == text[inside]
+        until = np.arange(1, n + 1)
+        back = np.minimum(until - least, np.searchsorted(total, total[1:] - min_words, "right") - 1)
+        whole = back >= 0
+        whole[whole] = (text[back[whole]] == text[whole]) & (to[back[whole]] != until[whole])
+        first = np.concatenate([on[inside], back[whole]])
+        last = np.concatenate([to[inside], until[whole]]) - 1
+        first, last = full[first], full[last]
+        self.text = self.line_text[first]
+        self.from_byte, self.to_byte = self.start[first], end[last]
+        self.body_end = self.to_byte - (data[self.to_byte - 1] == 10) if len(first) else self.to_byte
+        self.name = span_hash(data, self.from_byte, self.body_end, 11) if len(first) else np.zeros(0, U64)
+        self.place = first - np.searchsorted(self.line_text, self.text)
+        self.fit = np.arange(len(first))
+        # a copy within the document of the first must begin after its end
+        self.apart = last - first
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_lines: int = 2, min_words: int = 8, counts: bool = True) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_lines: int = 2, min_words: int = 8, counts: bool = True, whole_runs: bool = False) -> DataFrame:
     """``docs`` with the text left, in all its columns; with ``counts`` also
-    ``n_lines`` and ``n_removed_lines`` (long) as last columns."""
+    ``n_lines`` and ``n_removed_lines`` (long) as last columns.  With
+    ``whole_runs``, all runs of lines found earlier go, not only chunks."""
     names = docs.columns
     spots = {id_col: names.index(id_col), text_col: names.index(text_col)}
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))])  # whatever the names, they clash with nothing
@@ -95,8 +148,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def blocks(t: pa.Table):
         ids = t.column(id_in).cast(pa.int64()).combine_chunks().fill_null(NEVER).to_numpy(zero_copy_only=False)
         for a, b, data, offsets in texts_of(t, text_in):
-            c = Chunks(data, offsets)
-            c.fit = np.flatnonzero((c.lines_with_words >= min_lines) & (c.words >= min_words))
+            if whole_runs:
+                c = Runs(data, offsets, min_lines, min_words)
+            else:
+                c = Chunks(data, offsets)
+                c.choose(min_lines, min_words)
             c.doc = ids[a:b][c.text]
             yield a, b, data, offsets, c
 
@@ -169,10 +225,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for a, b, data, offsets, c in blocks(t):
             hit, at = known.find(c.name[c.fit])
             k = c.fit[hit]
-            later = (first["doc"][at] < c.doc[k]) | ((first["doc"][at] == c.doc[k]) & (first["line"][at] < c.place[k]) & (c.doc[k] != NEVER))
+            later = (first["doc"][at] < c.doc[k]) | ((first["doc"][at] == c.doc[k]) & (first["line"][at] + c.apart[k] < c.place[k]) & (c.doc[k] != NEVER))
             gone = k[later]
             edge = np.zeros(len(data) + 1, np.int32)
-            edge[c.from_byte[gone]] += 1
+            np.add.at(edge, c.from_byte[gone], 1)
             np.subtract.at(edge, c.to_byte[gone], 1)
             left = np.cumsum(edge[:-1]) == 0
             total = np.concatenate([[0], np.cumsum(left)])
@@ -183,9 +239,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             last = np.zeros(b - a, bool)
             last[c.text[gone][c.to_byte[gone] == offsets[c.text[gone] + 1]]] = True
             texts += [p[:-1] if s and e and p.endswith(b"\n") else p for p, s, e in zip(parts, shorter, last)]
-            lines = np.bincount(c.text, c.n_lines, b - a).astype(np.int64) if len(c.text) else np.zeros(b - a, np.int64)
-            n_lines.append(lines)
-            n_gone.append(np.bincount(c.text[gone], c.n_lines[gone], b - a).astype(np.int64))
+            n_lines.append(np.bincount(c.line_text, minlength=b - a).astype(np.int64))
+            n_gone.append(np.bincount(c.line_text[~left[c.start]], minlength=b - a).astype(np.int64))
         null = t.column(text_in).combine_chunks().is_null().to_numpy(zero_copy_only=False)
         new = pa.array([None if z else x.decode() for x, z in zip(texts, null)], pa.string())
         columns = [new if f"c{i}" == text_in else t.column(f"c{i}") for i in range(len(names))]
