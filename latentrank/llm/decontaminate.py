@@ -3,24 +3,28 @@
 Texts and benchmark items are lower-cased and split at white space and ASCII
 punctuation.  Runs of ``min_match`` (5) tokens that an item and a document share
 are seeds, found by a lookup of every run of the document in the items' runs.
-An item whose tokens the seeds cannot cover up to the threshold is set aside.
-For the others, running Karp-Rabin passes with shrinking search length find the
-longest matches among unmarked tokens, which are marked as tiles, longest
-first, until none of ``min_match`` tokens is left.  Each item token enters one
-tile at most, and tiles may come in any order, so that reordered passages count
-in full.  A document is contaminated by an item when tiles cover at least
-``threshold`` (0.8) of the item's tokens.
+An item whose tokens the document's distinct seeds cannot cover up to the
+threshold is set aside before any occurrence is looked at, so that a phrase that
+a document repeats costs no more than once an item.  For the others, one by one,
+running Karp-Rabin passes with shrinking search length find the longest matches
+among unmarked tokens, which are marked as tiles, longest first (ties by place in
+the item, then in the text); what a tile leaves of a longer match is sought again
+at its own length.  Each item token enters one tile at most, and tiles may come
+in any order, so that reordered passages count in full.  A document is
+contaminated by an item when tiles cover at least ``threshold`` (0.8) of the
+item's tokens.
 
 The items are a stated query set: they are taken in blocks of about
 ``BLOCK_BYTES`` of text, however many there are, and every block meets all
-documents.  Items with fewer than ``min_match`` tokens match nothing.  Null
-texts count as empty; rows are treated one by one, so repeated rows get equal
-results; documents keep all their columns; empty tables on either side give no
-leaks.
+documents.  Items with fewer than ``min_match`` tokens match nothing.  An item
+with a null id is reported like any other, with that null id.  Null texts count
+as empty; rows are treated one by one, so repeated rows get equal results;
+documents keep all their columns; empty tables on either side give no leaks.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +39,7 @@ from .text import U64, Words, blocks, plain, raw, strings, window_hash
 
 BLOCK_BYTES = 8 << 20
 MIN_MATCH, THRESHOLD = 5, 0.8
-_SEED = 0xA24BAED4963EE407
+_SEED, _WHOLE = 0xA24BAED4963EE407, 0xD1342543DE82EF95
 _KR_BASE, _KR_MOD = 1_000_003, (1 << 61) - 1
 LEAKS = ArrayType(StructType([StructField("item_id", LongType()), StructField("coverage", DoubleType()), StructField("tiles", IntegerType())]))
 _LEAKS = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.int32())]))
@@ -56,74 +60,112 @@ def tokens(texts: pa.Array) -> tuple[Words, np.ndarray]:
 class Items:
     """Benchmark items of a block: token names, and where each seed occurs."""
 
-    def __init__(self, ids: list[int], texts: list[str], k: int = MIN_MATCH):
-        self.k, self.ids = k, np.array(ids, np.int64)
+    def __init__(self, ids: list[int | None], texts: list[str], k: int = MIN_MATCH):
+        self.k, self.ids = k, ids
         words, _ = tokens(pa.array(texts, pa.large_string()))
-        self.names = [words.hash[a:b].tolist() for a, b in zip(words.first[:-1], words.first[1:])]
+        self.names, self.first, self.size = words.hash, words.first, words.counts()
         owner = words.owner()
         seeds = window_hash(words.hash, k, _SEED)
         ok = np.flatnonzero(owner[: len(seeds)] == owner[k - 1 :]) if len(seeds) else np.zeros(0, np.int64)
-        order = ok[np.argsort(seeds[ok], kind="stable")]
-        self.seed, self.item, self.at = seeds[order], owner[order], order - words.first[owner[order]]
-        self.unique, self.begin = np.unique(self.seed, return_index=True)
-        self.begin = np.append(self.begin, len(self.seed))
+        self.at = ok[np.argsort(seeds[ok], kind="stable")]  # seeds by name, as places among all items' tokens
+        self.item = owner[self.at]
+        self.unique, self.begin = np.unique(seeds[self.at], return_index=True)
+        self.begin = np.append(self.begin, len(self.at))
+        self.number = np.full(len(words.hash), -1, np.int64)  # of the seed at each token
+        self.number[self.at] = np.repeat(np.arange(len(self.unique)), np.diff(self.begin))
         self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.seed & U64((1 << 20) - 1)).astype(np.int64)] = True
+        self.maybe[(self.unique & U64((1 << 20) - 1)).astype(np.int64)] = True
 
-    def leaks(self, names: np.ndarray, hit: np.ndarray, place: np.ndarray, threshold: float) -> list[dict]:
+    def coverable(self, seeds: np.ndarray, threshold: float) -> np.ndarray:
+        """Items of which ``seeds`` (distinct numbers) cover the threshold; the
+        work is bounded by the block's seeds, whatever the document repeats."""
+        n = self.begin[seeds + 1] - self.begin[seeds]
+        rows = np.repeat(self.begin[seeds] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        at = np.sort(self.at[rows])  # by item, since items' tokens lie one after the other
+        if not len(at):
+            return at
+        new = np.minimum(np.diff(at, prepend=at[0] - self.k), self.k)  # a seed never reaches into another item
+        item = np.searchsorted(self.first, at, "right") - 1
+        covered = np.bincount(item, new, len(self.size))
+        return np.flatnonzero((covered > 0) & (covered >= threshold * self.size))
+
+    def leaks(self, names: np.ndarray, hit: np.ndarray, seed: np.ndarray, threshold: float) -> list[dict]:
         """Items found in one document: ``names`` its tokens, ``hit`` the places
-        of its seeds and ``place`` the seeds' numbers."""
-        out = []
-        n = self.begin[place + 1] - self.begin[place]
-        rows = np.repeat(self.begin[place], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, spot, where = self.item[rows], self.at[rows], np.repeat(hit, n)
-        order = np.argsort(item, kind="stable")
-        item, spot, where = item[order], spot[order], where[order]
-        cut = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]]))
-        for a, b in zip(cut, [*cut[1:], len(item)]):
-            own = self.names[item[a]]
-            reach = np.zeros(len(own) + 1, np.int64)
-            np.add.at(reach, spot[a:b], 1)
-            np.add.at(reach, spot[a:b] + self.k, -1)
-            if (np.cumsum(reach[:-1]) > 0).sum() < threshold * len(own):
-                continue
-            # the document's tokens under seeds of this item, stretches parted by a mark
-            text, last = [], None
-            for i in np.unique((where[a:b, None] + np.arange(self.k)).ravel()).tolist():
-                if last is not None and i != last + 1:
-                    text.append(-1)
-                text.append(int(names[i]))
-                last = i
-            tiles = greedy_tiles(own, text, self.k)
+        of its seeds and ``seed`` the seeds' numbers."""
+        found = self.coverable(np.unique(seed), threshold)
+        if not len(found):
+            return []
+        order = np.argsort(seed, kind="stable")
+        ranked, out = seed[order], []
+        for i in found.tolist():
+            own = self.names[self.first[i] : self.first[i + 1]]
+            mine = self.number[self.first[i] : self.first[i + 1]]
+            mine = np.unique(mine[mine >= 0])
+            low, high = np.searchsorted(ranked, mine, "left"), np.searchsorted(ranked, mine, "right")
+            where = np.sort(np.concatenate([hit[order[a:b]] for a, b in zip(low, high)]))
+            tiles = greedy_tiles(own.tolist(), stretches(names, where, self.k, len(own)), self.k)
             covered = sum(t[2] for t in tiles)
             if covered >= threshold * len(own):
-                out.append({"item_id": int(self.ids[item[a]]), "coverage": covered / len(own), "tiles": len(tiles)})
+                out.append({"item_id": self.ids[i], "coverage": covered / len(own), "tiles": len(tiles)})
         return out
 
 
+def stretches(names: np.ndarray, where: np.ndarray, k: int, length: int) -> list[int]:
+    """The document's tokens under an item's seeds (``where``, sorted), stretches
+    parted by -1.
+
+    Of text repeated over and over only the first places are kept, without any
+    effect on the tiles: an item of ``length`` tokens gets length // k tiles at
+    most; each touches fewer than 2 * length places at which a stretch of that
+    length may begin; and among equal stretches the first free one is taken.
+    """
+    edge = np.zeros(len(names) + 1, np.int32)
+    np.add.at(edge, where, 1)
+    np.add.at(edge, where + k, -1)
+    inside = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+    breaks = np.flatnonzero(np.diff(inside) > 1) + 1
+    row = np.insert(names[inside].astype(object), breaks, -1)
+    most = (max(length // k, 1) - 1) * 2 * length + 1
+    if len(row) <= 2 * most:
+        return row.tolist()
+    mark = np.insert(names[inside], breaks, U64(0))
+    padded = np.concatenate([mark, np.zeros(length, U64)])
+    whole = window_hash(padded, length, _WHOLE)[: len(row)]
+    order = np.argsort(whole, kind="stable")
+    new = np.concatenate([[True], whole[order][1:] != whole[order][:-1]])
+    turn = np.arange(len(row)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    kept = np.zeros(len(row) + length + 1, np.int32)
+    begin = order[turn < most]
+    np.add.at(kept, begin, 1)
+    np.add.at(kept, begin + length, -1)
+    left = np.flatnonzero(np.cumsum(kept)[: len(row)] > 0)
+    return np.insert(row[left], np.flatnonzero(np.diff(left) > 1) + 1, -1).tolist()
+
+
 def greedy_tiles(pattern: list[int], text: list[int], least: int) -> list[tuple[int, int, int]]:
-    """(place in pattern, place in text, length) of tiles, by running Karp-Rabin."""
+    """(place in pattern, place in text, length) of tiles, by running Karp-Rabin:
+    always the longest match left, then the first in the pattern and the text."""
     used_p, used_t = [False] * len(pattern), [x == -1 for x in text]
-    tiles = []
+    tiles: list[tuple[int, int, int]] = []
     length = max(least, min(len(pattern), len(text)))
     while True:
-        matches = _scan(pattern, text, used_p, used_t, length)
-        longest = max((m[2] for m in matches), default=0)
-        if longest > 2 * length:  # far longer than sought: seek that length first
-            length = longest
-            continue
-        for p, t, n in sorted(matches, key=lambda m: (-m[2], m[0], m[1])):
-            if not (any(used_p[p : p + n]) or any(used_t[t : t + n])):
-                used_p[p : p + n] = [True] * n
-                used_t[t : t + n] = [True] * n
-                tiles.append((p, t, n))
-        if length > 2 * least:
-            length //= 2
-        elif length > least:
-            length = least
-        elif not matches:
+        found = [(-n, p, t) for p, t, n in _scan(pattern, text, used_p, used_t, length)]
+        heapq.heapify(found)
+        while found:
+            n, p, t = heapq.heappop(found)
+            # what longer tiles have left of it, if that is still long enough, takes its turn at its own length
+            at = 0
+            for i in range(-n + 1):
+                if i == -n or used_p[p + i] or used_t[t + i]:
+                    if i - at == -n:
+                        used_p[p : p + i], used_t[t : t + i] = [True] * i, [True] * i
+                        tiles.append((p, t, i))
+                    elif i - at >= length:
+                        heapq.heappush(found, (at - i, p + at, t + at))
+                    at = i + 1
+        if length == least:
             return tiles
-        # at the least length, again, until no unmarked match is left
+        length = max(least, length // 2)
 
 
 def _scan(pattern: list[int], text: list[int], used_p: list[bool], used_t: list[bool], length: int) -> list[tuple[int, int, int]]:
@@ -160,9 +202,9 @@ def _rolling(row: list[int], used: list[bool], length: int) -> Iterator[tuple[in
             yield i - length + 1, h
 
 
-def _item_blocks(bench: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[list[int], list[str]]]:
+def _item_blocks(bench: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[list[int | None], list[str]]]:
     ids, texts, size = [], [], 0
-    for r in plain(bench, item_col, text_col).toDF("i", "t").where("i IS NOT NULL AND t IS NOT NULL").toLocalIterator():
+    for r in plain(bench, item_col, text_col).toDF("i", "t").where("t IS NOT NULL").toLocalIterator():
         ids.append(r.i)
         texts.append(r.t)
         size += len(r.t)
@@ -220,7 +262,8 @@ def _leaks_of(items: Items, texts: pa.Array, threshold: float) -> list[list[dict
 
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """Per document: ``id_col``, contaminated (boolean), n_items (long),
-    item_ids (string, ascending, comma-joined), max_coverage (double)."""
+    item_ids (string, ascending, comma-joined, ``null`` last for items without an
+    id), max_coverage (double)."""
     found = add_leaks(plain(docs, id_col, text_col), bench, id_col, text_col, **kw)
     ids = F.array_sort(F.transform("leaks", lambda x: x["item_id"]))
-    return found.select(id_col, (F.size("leaks") > 0).alias("contaminated"), F.size("leaks").cast("bigint").alias("n_items"), F.array_join(F.transform(ids, lambda i: i.cast("string")), ",").alias("item_ids"), F.coalesce(F.array_max(F.transform("leaks", lambda x: x["coverage"])), F.lit(0.0)).alias("max_coverage"))
+    return found.select(id_col, (F.size("leaks") > 0).alias("contaminated"), F.size("leaks").cast("bigint").alias("n_items"), F.array_join(F.transform(ids, lambda i: F.coalesce(i.cast("string"), F.lit("null"))), ",").alias("item_ids"), F.coalesce(F.array_max(F.transform("leaks", lambda x: x["coverage"])), F.lit(0.0)).alias("max_coverage"))
