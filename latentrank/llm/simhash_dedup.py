@@ -67,14 +67,22 @@ def fingerprints(words: Words, size: int = 3, seed: int = 42) -> np.ndarray:
     last = first + np.repeat(np.minimum(counts, size), shingles) - 1
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(body[a:b], seed) for a, b in zip(at[first].tolist(), (at[last + 1] - 1).tolist())), U64, total)
-    full = np.flatnonzero(shingles)
-    for a in range(0, len(full), 256):  # bits take 64 bytes a shingle: few texts at once
-        docs = full[a : a + 256]
-        part = hashes[begin[docs[0]] : begin[docs[-1] + 1]]
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, begin[docs] - begin[docs[0]], axis=0, dtype=np.int32)
-        out[docs] = np.packbits(2 * ones > shingles[docs][:, None], axis=1, bitorder="little").view(U64).ravel()
-    return out
+    return majority(hashes, begin)
+
+
+def majority(hashes: np.ndarray, begin: np.ndarray, slice_of: int = 1 << 18) -> np.ndarray:
+    """Per text, the bits set in over half of ``hashes[begin[i] : begin[i + 1]]``.
+    A hash takes 64 bytes while it is counted, so so many are taken at once,
+    wherever texts end."""
+    n = len(begin) - 1
+    ones = np.zeros((n, 64), np.int64)
+    for a in range(0, len(hashes), slice_of):
+        b = min(a + slice_of, len(hashes))
+        bits = np.unpackbits(hashes[a:b].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        texts = np.arange(np.searchsorted(begin, a, "right") - 1, np.searchsorted(begin, b, "left"))
+        texts = texts[begin[texts + 1] > begin[texts]]
+        ones[texts] += np.add.reduceat(bits, np.maximum(begin[texts], a) - a, axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > np.diff(begin)[:, None], axis=1, bitorder="little").view(U64).ravel()
 
 
 def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
