@@ -19,11 +19,18 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
 
 
+def _digest(edges: DataFrame) -> tuple:
+    """The number of distinct edges and two 64-bit sums over them: what stays equal when nothing moves."""
+    first, second = F.xxhash64("u", "v"), F.xxhash64("v", "u", F.lit(1))
+    return tuple(edges.agg(F.count("*"), F.bit_xor(first), F.bit_xor(second)).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): every node of ``edges`` (two columns of one orderable type)
     with the smallest node of its component; roots themselves included."""
     a, b = edges.columns
     now = saved(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    seen = _digest(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: larger neighbours move to the smallest node around
@@ -31,9 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: smaller neighbours and the node itself move to the smallest
         small = _least(large).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         then = saved(small)
-        same = now.join(then, ["u", "v"], "left_anti").isEmpty() and then.join(now, ["u", "v"], "left_anti").isEmpty()
         drop(now)
-        now = then
-        if same:
+        now, before, seen = then, seen, _digest(then)
+        if seen == before:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
