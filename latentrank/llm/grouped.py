@@ -37,9 +37,8 @@ def dealt(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int,
     """The documents with their group, the number of groups and of buckets."""
     total = text_bytes(docs, text_col)
     groups = max(16, -(-total // group_bytes(total)))
-    # a null id (all such would meet in one group) is dealt by its text instead
-    key = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(id_col))
-    return docs.withColumn(PART, F.pmod(key, F.lit(groups)).cast("int")), groups, max(16, groups // 2)
+    # by id and text: rows that share an id, or have none, need not meet
+    return docs.withColumn(PART, F.pmod(F.xxhash64(id_col, text_col), F.lit(groups)).cast("int")), groups, max(16, groups // 2)
 
 
 def bucket_bounds(buckets: int) -> np.ndarray:

@@ -16,11 +16,15 @@ distinct anchor per five words or so.
 
 1. Every group of documents sends its distinct anchors; buckets tell which are
    held by several groups (a group knows which it holds several times).
-2. Windows at such anchors send their own 95-bit names, once per group, with the
+2. Windows at such anchors send their own names, once per group, with the
    smallest document of the group; buckets tell which groups hold a copy of an
    earlier document's window, and which only know that they hold several.
 3. Every group marks the words of windows that also start in a smaller document.
 
+A window's name is verified, in every group and bucket, by a second one from
+independent hashes of its words (127 bits in all; words beyond 32 bytes are
+hashed by the library), so that a collision of names alone removes nothing.
+
 Windows are judged on the input.  Null text counts as empty.  A null id counts
 as larger than any other id, so such rows lose words to rows with ids and never
 take any; rows with the same id never take words from each other.  Ids are
@@ -41,9 +45,12 @@ from .text import U64, Words, mix, plain, texts_of, window_hash
 
 WIDTH, AROUND, CONTEXT = 13, 3, 2
 NEVER = np.iinfo(np.int64).max
+#: The bits of a check that travel: the uppermost makes room for a flag.
+KEPT = U64((1 << 63) - 1)
 _PAIR, _SEED, _WINDOW, _CHECK = 0x9DDFEA08EB382D69, 0xA24BAED4963EE407, 0xD1342543DE82EF95, 0xC2B2AE3D27D4EB4F
-ENTRY = np.dtype([("check", np.uint32), ("least", np.uint32)])
-WIDE_ENTRY = np.dtype([("check", np.uint32), ("least", np.int64)])
+ENTRY = np.dtype([("check", U64), ("least", np.uint32)])
+WIDE_ENTRY = np.dtype([("check", U64), ("least", np.int64)])
+TOLD = np.dtype([("check", U64), ("everywhere", np.uint8)])
 
 
 def edges(names: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -69,11 +76,12 @@ def edges(names: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return ~(joined | round_of(left, right, 9))
 
 
-def windows(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, anchor, name, check) of every window of a block."""
+def windows(words: Words, checked: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, anchor, name, check) of every window of a block; without
+    ``checked`` no check is made."""
     h, n = words.hash, len(words.hash)
     if n < WIDTH:
-        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.uint32)
+        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, U64)
     owner = words.owner()
     m = n - WIDTH + 1
     name = window_hash(h, WIDTH, _WINDOW)
@@ -88,8 +96,32 @@ def windows(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     anchor = np.where(least[:m] == nothing, name | nothing, least[:m])
     # anchors are spread over all keys again: least values crowd at the low end
     first = np.flatnonzero(owner[:m] == owner[WIDTH - 1 :])
-    check = (window_hash(h, WIDTH, _CHECK) >> U64(33)).astype(np.uint32)
-    return first, mix(anchor[first]), name[first], check[first]
+    check = window_hash(words.hashes(2), WIDTH, _CHECK)[first] if checked else np.zeros(0, U64)
+    return first, mix(anchor[first]), name[first], check
+
+
+def ranked_pairs(names: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of (name, check), and where each distinct pair begins in it."""
+    order = np.lexsort([checks, names])
+    n, c = names[order], checks[order]
+    return order, np.flatnonzero(np.concatenate([[True], (n[1:] != n[:-1]) | (c[1:] != c[:-1])])) if len(n) else np.zeros(0, int)
+
+
+def find_pairs(known: Lookup, checks: np.ndarray, name: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows whose name and check are known, their places); ``checks`` in order
+    of name, check."""
+    rows, at = known.find(name)
+    hits, places = [], []
+    while len(rows):  # more than once only if names collide
+        same = checks[at] == check[rows]
+        hits.append(rows[same])
+        places.append(at[same])
+        rows, at = rows[~same], at[~same] + 1
+        more = at < len(checks)
+        rows, at = rows[more], at[more]
+        more = known.keys[at] == name[rows]
+        rows, at = rows[more], at[more]
+    return (np.concatenate(hits), np.concatenate(places)) if hits else (rows, at)
 
 
 def _blocks(t: pa.Table, id_col: str, text_col: str) -> Iterator[tuple[int, int, Words, np.ndarray]]:
@@ -112,7 +144,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """A group's distinct anchors, and which are in several of its documents."""
         anchors, ids = [], []
         for _, _, words, doc in _blocks(t, id_col, text_col):
-            first, anchor, _, _ = windows(words)
+            first, anchor, _, _ = windows(words, checked=False)
             anchors.append(anchor)
             ids.append(doc[np.searchsorted(words.first, first, "right") - 1])
         anchors, ids = (np.concatenate(x) if x else np.zeros(0, U64) for x in (anchors, ids))
@@ -144,14 +176,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             checks.append(check[hit])
             ids.append(doc[np.searchsorted(words.first, first[hit], "right") - 1])
         names, checks, ids = (np.concatenate(x) if x else np.zeros(0, U64) for x in (names, checks, ids))
-        order, at = ranked(names)
+        order, at = ranked_pairs(names, checks)
         if not len(at):
             return packed(part, names, None, buckets)
         ids, least = ids[order], np.minimum.reduceat(ids[order], at)
         wide = least.max() >= 1 << 32 or least.min() < 0
         rest = np.zeros(len(at), WIDE_ENTRY if wide else ENTRY)
         # the lowest bit: whether several documents of the group hold the window
-        rest["check"] = (checks[order][at] << np.uint32(1)) | (least != np.maximum.reduceat(ids, at))
+        rest["check"] = (checks[order][at] << U64(1)) | (least != np.maximum.reduceat(ids, at)).astype(U64)
         rest["least"] = least
         return packed(part, names[order][at], rest, buckets)
 
@@ -167,29 +199,30 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not keys:
             return answers(np.zeros(0, np.int32), np.zeros(0, U64))
         keys, part, check, least = (np.concatenate(x) for x in (keys, part, check, least))
-        order = np.lexsort([check >> np.uint32(1), keys])
-        k, c = keys[order], check[order] >> np.uint32(1)
-        at = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])]))
-        low = np.repeat(np.minimum.reduceat(least[order], at), np.diff(np.concatenate([at, [len(k)]])))
+        several, check = (check & U64(1)) == 1, check >> U64(1)
+        order, at = ranked_pairs(keys, check)
+        low = np.repeat(np.minimum.reduceat(least[order], at), np.diff(np.concatenate([at, [len(keys)]])))
         earlier = low < least[order]
-        hit = earlier | ((check[order] & np.uint32(1)) == 1)
-        # rest: 1 if another group has a smaller document, 0 if only later documents of this group are copies
-        return answers(part[order][hit], k[hit], earlier[hit].astype(np.uint8))
+        hit = earlier | several[order]
+        told = np.zeros(hit.sum(), TOLD)
+        # everywhere: 1 if another group has a smaller document, 0 if only later documents of this group are copies
+        told["check"], told["everywhere"] = check[order][hit], earlier[hit]
+        return answers(part[order][hit], keys[order][hit], told)
 
     def cut(part: int, t: pa.Table, told: pa.Table) -> pa.Table:
-        keys, _, rest = entries(told, np.uint8)
-        order = np.argsort(keys)
-        known, everywhere = Lookup(keys), rest[order].astype(bool)
+        keys, _, rest = entries(told, TOLD)
+        order = np.lexsort([rest["check"], keys])
+        known, checks, everywhere = Lookup(keys), rest["check"][order], rest["everywhere"][order].astype(bool)
         # smallest own document of each window that only this group repeats
         least = np.full(len(keys), NEVER, np.int64)
         for _, _, words, doc in _blocks(t, id_col, text_col):
-            first, _, name, _ = windows(words)
-            hit, at = known.find(name)
+            first, _, name, check = windows(words)
+            hit, at = find_pairs(known, checks, name, check & KEPT)
             np.minimum.at(least, at, doc[np.searchsorted(words.first, first[hit], "right") - 1])
         out = []
         for a, b, words, doc in _blocks(t, id_col, text_col):
-            first, _, name, _ = windows(words)
-            hit, at = known.find(name)
+            first, _, name, check = windows(words)
+            hit, at = find_pairs(known, checks, name, check & KEPT)
             start = first[hit]
             gone = everywhere[at] | (doc[np.searchsorted(words.first, start, "right") - 1] > least[at])
             edge = np.zeros(len(words.hash) + 1, np.int32)

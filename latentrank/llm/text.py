@@ -17,6 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
+#: Words longer than this are hashed by the library: a polynomial modulo 2 ** 64 can be led into collisions by long structured ones.
+LONG_WORD = 32
 WORD = r"[^\x20\x09-\x0D]+"
 
 U64 = np.uint64
@@ -102,7 +104,16 @@ class Words:
         self.end = np.flatnonzero(ink & ~after) + 1
         self.first = np.searchsorted(self.start, offsets)
         if hashes:
-            self.hash = span_hash(data, self.start, self.end, seed)
+            self.hash = self.hashes(seed)
+
+    def hashes(self, seed: int) -> np.ndarray:
+        """A 64-bit hash of every word; those of different seeds are independent."""
+        import xxhash
+
+        out = span_hash(self.data, self.start, self.end, seed)
+        for i in np.flatnonzero(self.end - self.start > LONG_WORD).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(self.data[self.start[i] : self.end[i]].tobytes(), seed)
+        return out
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)

@@ -2,7 +2,10 @@ import hashlib
 import random
 import re
 
-from latentrank.llm.substring_dedup import WIDTH, substring_dedup
+import numpy as np
+
+from latentrank.llm.grouped import Lookup
+from latentrank.llm.substring_dedup import WIDTH, find_pairs, substring_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,3 +59,27 @@ def test_runs_periods_and_shifted_passages(spark):
 
 def test_empty(spark, odd_docs):
     assert substring_dedup(odd_docs.limit(0)).count() == 0
+
+
+def test_structured_long_words_do_not_collide(spark):
+    """Thue-Morse words, whose polynomial hashes modulo a power of two are equal."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    tail = " " + " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, a + tail), (2, b + tail), (3, a + tail)], "doc_id bigint, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup(docs).collect()} == {1: 0, 2: 0, 3: 13}
+
+
+def test_names_that_collide_are_told_apart_by_their_checks():
+    known = Lookup(np.array([5, 5, 5, 9], np.uint64))
+    checks = np.array([1, 3, 7, 2], np.uint64)
+    rows, at = find_pairs(known, checks, np.array([5, 5, 9, 9, 4], np.uint64), np.array([7, 2, 2, 1, 1], np.uint64))
+    assert sorted(zip(rows.tolist(), at.tolist())) == [(0, 2), (2, 3)]
+
+
+def test_repeated_rows_and_shared_or_missing_ids(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, text)] * 40 + [(7, text)] * 40 + [(9, text), (7, text + " more")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(map(tuple, substring_dedup(docs).collect()), key=str) == brute(rows)
