@@ -3,20 +3,32 @@
 Every word is predicted from the words around it on both sides, itself masked;
 the sum of the conditional log-probabilities scores a document.
 
-Words are hashed into ``2 ** VOCABULARY_BITS`` vocabulary places.  One pass over
-all documents counts the places.  They are parted into ``CLASSES`` classes of
-about equal mass, by frequency, so that a probability is that of the class given
-the context (from the network) times that of the place within its class (from
-the counts, with a share ``SPREAD`` of all mass spread evenly over places).  The network sums an embedding of each of the
-``2 * REACH`` neighbouring classes (a class of its own beyond a text's ends), a
-tanh layer of ``HIDDEN`` units, and a softmax over the classes.
-
-Training goes over all tokens of all documents: from common starting weights
-every task takes Adam steps through its own documents, and the weights are
-averaged by tokens, ``rounds`` times.  Counts and weights are summed in slices,
-so the driver gets tables of a fixed size whatever the number of tasks.  The
-model depends on how rows lie in partitions, as stochastic training does; scores
-given a model do not.
+A word's probability has three factors: that of its class given the context, that
+of its tier within the class given the context, both from the network, and its
+share of the counts of its class and tier.
+
+1. Counting.  Every distinct word of the corpus gets its exact count and a
+   signature, the sum of random signs of the words around its occurrences, so
+   that words used alike have like signatures.  The table has a row for each
+   distinct word, lies in buckets of names and grows with the corpus.
+2. Classes.  ``CLASSES`` centres are fitted (spherical k-means) to the signatures
+   of the ``CENTRE_WORDS`` most frequent words; every word belongs to its nearest
+   centre, and to a tier by the octave of its count, so that frequent words have
+   their tier almost for themselves.
+3. Encoding.  Groups of documents ask the buckets for their distinct words once
+   and write every document as a row of classes and tiers.
+4. Training.  The network sums embeddings of the classes of the ``2 * REACH``
+   nearest words, place by place (one of its own beyond a text's ends), and the
+   mean embedding of class and tier over the ``2 * WIDE`` words around, and takes a
+   tanh layer of ``HIDDEN`` units and two softmaxes.  Documents are dealt into shards of about
+   ``SHARD_TOKENS`` by a hash.  In each of ``rounds`` every shard takes Adam steps
+   through its documents of that round, from common weights, and the weights are
+   averaged by tokens; the rounds together cover every token of every document.
+   The first weights are those of the counts alone.
+
+Shards, their order and the sums depend on ids and words alone, so that the model
+and the scores are the same however rows lie in files and partitions, or after a
+lost executor.  The driver holds centres, cell totals and weights, of fixed size.
 
 Null text counts as empty: no tokens, a sum of 0 and a null mean.  Repeated rows
 get equal scores; an empty table gives an empty table; extra columns are left
@@ -32,35 +44,206 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .grouped import PACKED, answers, by_group, dealt, entries, packed, with_answers
+from .tables import drop, saved
 from .text import U64, Words, plain, texts_of
 
-VOCABULARY_BITS, CLASSES, HIDDEN, REACH = 18, 64, 16, 2
-SPREAD = 0.05
-SLICES, BATCH = 64, 4096
+CLASSES, TIERS, HIDDEN, REACH, WIDE = 64, 24, 16, 2, 8
+SIGNS, CENTRE_WORDS = 16, 4096
+SLICES, BATCH, SHARD_TOKENS, ROUNDS = 64, 2048, 2 << 20, 3
+#: Text whose counts a task holds before it sends them on.
+COUNTED_BYTES = 16 << 20
 OFFSETS = tuple(k for k in range(-REACH, REACH + 1) if k)
+SENT = np.dtype([("n", np.uint32), ("signs", np.int16, SIGNS)])
+KNOWN = np.dtype([("n", np.int64), ("signs", np.float32, SIGNS)])
+TOLD = np.dtype([("cell", np.uint16), ("share", np.float32)])
 
 
-def places(words: Words) -> np.ndarray:
-    return (words.hash & U64((1 << VOCABULARY_BITS) - 1)).astype(np.int64)
+def shifted(x: np.ndarray, owner: np.ndarray, k: int, beyond) -> np.ndarray:
+    """``x`` of the word ``k`` places on in the same text, ``beyond`` where there is none."""
+    out = np.full(x.shape, beyond, x.dtype)
+    if abs(k) < len(x):
+        a, b = (slice(-k, None), slice(None, k)) if k < 0 else (slice(None, -k), slice(k, None))
+        same = owner[a] == owner[b]
+        out[a][same] = x[b][same]
+    return out
+
+
+def added(keys: np.ndarray, n: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of their counts and signatures."""
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, int)
+    if not len(at):
+        return keys, n, signs
+    return k[at], np.add.reduceat(n[order], at), np.add.reduceat(signs[order], at, axis=0)
+
+
+def counts_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of a block, their counts and signatures."""
+    owner = words.owner()
+    own = (np.unpackbits(words.hash.view(np.uint8).reshape(-1, 8)[:, :2], axis=1)[:, :SIGNS].astype(np.int8) << 1) - 1
+    around = np.zeros(own.shape, np.int32)
+    for k in OFFSETS:
+        around += shifted(own, owner, k, 0)
+    return added(words.hash, np.ones(len(words.hash), np.int64), around)
+
+
+def count_words(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
+    """A row for each bucket: its distinct words, packed with counts and signatures."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
 
+        def send():
+            k, n, s = added(*(np.concatenate(x) for x in zip(*held)))
+            rest = np.zeros(len(k), SENT)
+            rest["n"], rest["signs"] = n, np.clip(s, -32767, 32767)
+            yield from packed(0, k, rest, buckets).to_batches()
 
-class Vocabulary:
-    """The class of every place, and its log-probability within the class."""
+        for batch in batches:
+            for _, _, data, offsets in texts_of(pa.Table.from_batches([batch]), text_col):
+                held.append(counts_of(Words(data, offsets)))
+                size += len(data)
+                if size >= COUNTED_BYTES:
+                    yield from send()
+                    held, size = [], 0
+        if held:
+            yield from send()
+
+    def add(t: pa.Table) -> pa.Table:
+        keys, _, rest = entries(t, SENT)
+        k, n, s = added(keys, rest["n"].astype(np.int64), rest["signs"].astype(np.int64))
+        out = np.zeros(len(k), KNOWN)
+        out["n"], out["signs"] = n, s
+        return pa.table({"bucket": t.column("bucket")[:1], "part": t.column("part")[:1], "keys": pa.array([k.tobytes()], pa.binary()), "rest": pa.array([out.tobytes()], pa.binary())})
+
+    return plain(docs, text_col).mapInArrow(run, PACKED).groupBy("bucket").applyInArrow(add, PACKED)
+
+
+def directions(n: np.ndarray, signs: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    x = signs / np.maximum(n, 1)[:, None] - mean
+    return x / np.maximum(np.sqrt((x * x).sum(1)), 1e-9)[:, None]
+
+
+class Classes:
+    """Centres of signatures, and the totals of every class and tier."""
+
+    def __init__(self, mean: np.ndarray, centres: np.ndarray, totals: np.ndarray | None = None):
+        self.mean, self.centres, self.totals = mean, centres, totals
+
+    @classmethod
+    def fit(cls, n: np.ndarray, signs: np.ndarray, rounds: int = 20) -> Classes:
+        """Spherical k-means from the most frequent words on, each starting a
+        centre where it is far from those before it."""
+        if not len(n):
+            return cls(np.zeros(SIGNS), np.zeros((CLASSES, SIGNS)))
+        mean = signs.sum(0) / n.sum()
+        x = directions(n, signs, mean)
+        centres, near = x[:1], x @ x[0]
+        while len(centres) < CLASSES:
+            new = int(np.argmin(near))
+            centres = np.vstack([centres, x[new]])
+            near = np.maximum(near, x @ x[new])
+        weight = np.sqrt(n.astype(float))[:, None]
+        for _ in range(rounds):
+            of = (x @ centres.T).argmax(1)
+            for c in range(CLASSES):
+                total = (x[of == c] * weight[of == c]).sum(0)
+                size = np.sqrt(total @ total)
+                if size > 1e-9:
+                    centres[c] = total / size
+        return cls(mean, centres)
+
+    def cells(self, n: np.ndarray, signs: np.ndarray) -> np.ndarray:
+        """Class and tier of words, as one number."""
+        of = np.concatenate([(directions(n[a : a + 65536], signs[a : a + 65536], self.mean) @ self.centres.T).argmax(1) for a in range(0, len(n), 65536)]) if len(n) else np.zeros(0, int)
+        return (of * TIERS + np.minimum(np.log2(np.maximum(n, 1)), TIERS - 1).astype(int)).astype(np.uint16)
+
+
+def classes_of(words: DataFrame) -> Classes:
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                keys, _, rest = entries(pa.Table.from_batches([batch.slice(row, 1)]), KNOWN)
+                top = np.lexsort([keys, -rest["n"]])[:CENTRE_WORDS]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[top].view(np.int64)), pa.array(rest["n"][top]), pa.array([x.tobytes() for x in rest["signs"][top]], pa.binary())], names=["key", "n", "signs"])
 
-    def __init__(self, counts: np.ndarray):
-        n = counts + SPREAD * max(counts.sum(), 1) / len(counts)
-        order = np.argsort(-n, kind="stable")
-        reached = np.cumsum(n[order]) - n[order]
-        self.of = np.empty(len(n), np.uint8)
-        self.of[order] = np.minimum(CLASSES * reached / n.sum(), CLASSES - 1).astype(np.uint8)
-        mass = np.bincount(self.of, n, CLASSES)
-        self.within = (np.log(n) - np.log(mass[self.of])).astype(np.float32)
+    top = words.mapInArrow(frequent, "key bigint, n bigint, signs binary").orderBy(F.desc("n"), "key").limit(CENTRE_WORDS).collect()
+    classes = Classes.fit(np.array([r.n for r in top], np.int64), np.array([np.frombuffer(r.signs, np.float32) for r in top], float).reshape(-1, SIGNS))
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES * TIERS, np.int64)
+        for batch in batches:
+            for row in range(len(batch)):
+                _, _, rest = entries(pa.Table.from_batches([batch.slice(row, 1)]), KNOWN)
+                np.add.at(total, classes.cells(rest["n"], rest["signs"]), rest["n"])
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["cell", "n"])
+
+    classes.totals = np.zeros(CLASSES * TIERS, np.int64)
+    for r in words.mapInArrow(totals, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # a row per cell
+        classes.totals[r["cell"]] = r["n"]
+    return classes
+
+
+def encode(docs: DataFrame, words: DataFrame, classes: Classes, id_col: str, text_col: str) -> DataFrame:
+    """``id_col``, n_tokens, share (the sum of the words' log shares of their
+    cells), cells (class and tier of every word, two bytes each)."""
+    kind = dict(docs.dtypes)[id_col]
+    rows, _, buckets = dealt(docs, id_col, text_col)
+
+    def ask(part: int, t: pa.Table) -> pa.Table:
+        found = [np.unique(Words(data, offsets).hash) for _, _, data, offsets in texts_of(t, text_col)]
+        return packed(part, np.unique(np.concatenate(found)) if found else np.zeros(0, U64), None, buckets)
+
+    def tell(asked: pa.Table, known: pa.Table) -> pa.Table:
+        keys, part, _ = entries(asked)
+        names, _, rest = entries(known, KNOWN)
+        at = np.searchsorted(names, keys)  # every word asked for is known
+        cell = classes.cells(rest["n"], rest["signs"])
+        told = np.zeros(len(keys), TOLD)
+        told["cell"] = cell[at]
+        told["share"] = np.log(rest["n"][at]) - np.log(classes.totals[cell[at]])
+        return answers(part, keys, told)
+
+    def write(part: int, t: pa.Table, told: pa.Table) -> pa.Table:
+        keys, _, rest = entries(told, TOLD)
+        order = np.argsort(keys)
+        keys, rest = keys[order], rest[order]
+        out = []
+        for a, b, data, offsets in texts_of(t, text_col):
+            w = Words(data, offsets)
+            at = np.searchsorted(keys, w.hash)
+            total = np.concatenate([[0], np.cumsum(rest["share"][at].astype(float))])
+            cells = rest["cell"][at]
+            out.append(pa.table({id_col: t.column(id_col).slice(a, b - a), "n_tokens": pa.array(w.counts(), pa.int64()), "share": pa.array(total[w.first[1:]] - total[w.first[:-1]]), "cells": pa.array([cells[i:j].tobytes() for i, j in zip(w.first[:-1], w.first[1:])], pa.binary())}))
+        return pa.concat_tables(out)
+
+    told = by_group(rows, ask).groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(tell, PACKED)
+    return with_answers(rows, told, write, f"`{id_col}` {kind}, n_tokens bigint, share double, cells binary")
+
+
+class Encoded:
+    """Classes and tiers of the words of some encoded documents, and where their windows lie."""
+
+    def __init__(self, lengths: np.ndarray, cells: np.ndarray):
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        ends = np.cumsum(lengths)
+        self.own, self.tier = (cells // TIERS).astype(np.uint8), (cells % TIERS).astype(np.uint8)
+        self.near = np.stack([shifted(self.own, owner, k, CLASSES) for k in OFFSETS], 1)
+        place = np.arange(len(cells))
+        self.low, self.high = np.maximum(place - WIDE, (ends - lengths)[owner]), np.minimum(place + WIDE + 1, ends[owner])
+
+    def batches(self) -> Iterator[tuple[int, int]]:
+        for a in range(0, len(self.own), BATCH):
+            yield a, min(a + BATCH, len(self.own))
 
 
 class Network:
-    """Weights in one vector; predictions and gradients for batches of contexts."""
+    """Weights in one vector; predictions and gradients for the words from ``a`` to ``b`` of encoded documents."""
 
-    SHAPES = ((len(OFFSETS), CLASSES + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
+    SHAPES = ((len(OFFSETS), CLASSES + 1, HIDDEN), (CLASSES, HIDDEN), (TIERS, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (HIDDEN, TIERS), (CLASSES, TIERS))
 
     def __init__(self, vector: np.ndarray | None = None):
         sizes = [int(np.prod(s)) for s in self.SHAPES]
@@ -68,145 +251,162 @@ class Network:
             vector = (np.random.default_rng(0).standard_normal(sum(sizes)) * 0.1).astype(np.float32)
         self.vector = vector.astype(np.float32).copy()
         at = np.cumsum([0, *sizes])
-        self.embed, self.bias, self.out, self.prior = (self.vector[a:b].reshape(s) for a, b, s in zip(at, at[1:], self.SHAPES))
-
-    def hidden(self, context: np.ndarray) -> np.ndarray:
-        h = np.repeat(self.bias[None], len(context), 0)
+        self.near, self.wide_class, self.wide_tier, self.bias, self.to_class, self.class_prior, self.to_tier, self.tier_prior = (self.vector[a:b].reshape(s) for a, b, s in zip(at, at[1:], self.SHAPES))
+
+    @classmethod
+    def starting(cls, totals: np.ndarray) -> Network:
+        """One that knows the counts of classes and tiers and nothing of contexts."""
+        net, n = cls(), totals.reshape(CLASSES, TIERS) + 0.01
+        net.class_prior[:] = np.log(n.sum(1) / n.sum())
+        net.tier_prior[:] = np.log(n / n.sum(1, keepdims=True))
+        net.to_class[:], net.to_tier[:] = net.to_class / 10, net.to_tier / 10
+        return net
+
+    @staticmethod
+    def _around(x: Encoded, a: int, b: int) -> tuple[int, int, np.ndarray]:
+        """The stretch that the windows of a..b reach, and one over each window's size."""
+        return int(x.low[a]), int(x.high[b - 1]), (1 / np.maximum(x.high[a:b] - x.low[a:b] - 1, 1)).astype(np.float32)[:, None]
+
+    def hidden(self, x: Encoded, a: int, b: int) -> np.ndarray:
+        first, last, share = self._around(x, a, b)
+        around = self.wide_class[x.own[first:last]]
+        around += self.wide_tier[x.tier[first:last]]
+        total = np.zeros((last - first + 1, HIDDEN), np.float32)
+        np.cumsum(around, 0, out=total[1:])
+        h = (total[x.high[a:b] - first] - total[x.low[a:b] - first] - around[a - first : b - first]) * share
+        h += self.bias
         for k in range(len(OFFSETS)):
-            h += self.embed[k][context[:, k]]
+            h += self.near[k][x.near[a:b, k]]
         return np.tanh(h, out=h)
 
-    def log_probabilities(self, h: np.ndarray) -> np.ndarray:
-        z = h @ self.out
-        z += self.prior
+    @staticmethod
+    def log_softmax(z: np.ndarray) -> np.ndarray:
         z -= z.max(1, keepdims=True)
-        return z - np.log(np.exp(z).sum(1, keepdims=True))
-
-    def gradient(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        n = len(target)
-        h = self.hidden(context)
-        gap = np.exp(self.log_probabilities(h))
-        gap[np.arange(n), target] -= 1
-        gap /= n
-        back = (gap @ self.out.T) * (1 - h * h)
-        seen = np.zeros((n, CLASSES + 1), np.float32)
-        rows = np.arange(n)
-        embed = np.empty(self.SHAPES[0], np.float32)
-        for k in range(len(OFFSETS)):
-            seen[rows, context[:, k]] = 1
-            embed[k] = seen.T @ back
-            seen[rows, context[:, k]] = 0
-        return np.concatenate([embed.ravel(), back.sum(0), (h.T @ gap).ravel(), gap.sum(0)])
-
-
-def contexts(classes: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """The classes around every word; CLASSES beyond its text."""
-    n = len(classes)
-    out = np.full((n, len(OFFSETS)), CLASSES, np.uint8)
-    for j, k in enumerate(OFFSETS):
-        a, b = (slice(-k, None), slice(None, k)) if k < 0 else (slice(None, -k), slice(k, None))
-        if abs(k) < n:
-            out[a, j] = np.where(owner[a] == owner[b], classes[b], CLASSES)
-    return out
-
-
-def summed(df: DataFrame, kind, length: int) -> dict[int, np.ndarray]:
-    """Rows (slice int, body binary) added up by slice."""
+        z -= np.log(np.exp(z).sum(1, keepdims=True))
+        return z
+
+    def log_probabilities(self, h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of every class, and of every tier within the class ``own``."""
+        return self.log_softmax(h @ self.to_class + self.class_prior), self.log_softmax(h @ self.to_tier + self.tier_prior[own])
+
+    def log_likelihoods(self, x: Encoded) -> np.ndarray:
+        """Of every word's class and tier."""
+        out = [np.zeros(0)]
+        for a, b in x.batches():
+            of_class, of_tier = self.log_probabilities(self.hidden(x, a, b), x.own[a:b])
+            rows = np.arange(b - a)
+            out.append(of_class[rows, x.own[a:b]].astype(float) + of_tier[rows, x.tier[a:b]])
+        return np.concatenate(out)
+
+    def gradient(self, x: Encoded, a: int, b: int) -> np.ndarray:
+        """Of the mean negative log-likelihood."""
+        n, rows, own = b - a, np.arange(b - a), x.own[a:b]
+        h = self.hidden(x, a, b)
+        of_class, of_tier = (np.exp(z) / n for z in self.log_probabilities(h, own))
+        of_class[rows, own] -= 1 / n
+        of_tier[rows, x.tier[a:b]] -= 1 / n
+        back = (of_class @ self.to_class.T + of_tier @ self.to_tier.T) * (1 - h * h)
+        # a word is in the windows of the words in its own window
+        first, last, share = self._around(x, a, b)
+        total = np.zeros((n + 1, HIDDEN), np.float32)
+        np.cumsum(back * share, 0, out=total[1:])
+        wide = total[np.clip(x.high[first:last], a, b) - a] - total[np.clip(x.low[first:last], a, b) - a]
+        wide[a - first : b - first] -= back * share
+
+        def by_row(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+            return np.stack([np.bincount(at, column, size) for column in np.ascontiguousarray(values.T)], 1)
+
+        parts = [by_row(x.near[a:b, k], back, CLASSES + 1) for k in range(len(OFFSETS))]
+        parts += [by_row(x.own[first:last], wide, CLASSES), by_row(x.tier[first:last], wide, TIERS)]
+        parts += [back.sum(0), h.T @ of_class, of_class.sum(0), h.T @ of_tier, by_row(own, of_tier, CLASSES)]
+        return np.concatenate([p.ravel() for p in parts]).astype(np.float32)
+
+
+def parts_of(cells: list[bytes], tokens: int = 1 << 18) -> Iterator[tuple[int, int, Encoded]]:
+    """(from, to, documents) of about so many tokens, documents always whole."""
+    lengths = np.array([len(x) // 2 for x in cells], np.int64)
+    ends, at = np.cumsum(lengths), 0
+    while at < len(cells):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + tokens, "right")))
+        yield at, to, Encoded(lengths[at:to], np.frombuffer(b"".join(cells[at:to]), np.uint16))
+        at = to
+
+
+def train(encoded: DataFrame, totals: np.ndarray, id_col: str, rounds: int = ROUNDS, rate: float = 0.01) -> Network:
+    """Weights after all rounds, from those that the counts give; ``encoded`` has
+    ``id_col`` and cells."""
+    network = Network.starting(totals)
+    tokens = encoded.agg(F.sum("n_tokens")).first()[0] or 0
+    shards = max(1, -(-tokens // (rounds * SHARD_TOKENS)))
+    key = F.xxhash64(id_col, "cells")
+    turns = encoded.where("n_tokens > 0").select(F.pmod(key, F.lit(rounds)).alias("turn"), F.pmod(F.shiftright(key, 20), F.lit(shards)).cast("int").alias("shard"), key.alias("place"), "cells")
+    size, schema = len(network.vector) + 1, "slice int, shard int, body binary"
+
+    def learner(sent, rate: float):
+        def learn(t: pa.Table) -> pa.Table:
+            t = t.sort_by([("place", "ascending"), ("cells", "ascending")])
+            net, n, step = Network(sent.value), 0, 0
+            m, v = np.zeros_like(net.vector), np.zeros_like(net.vector)
+            for _, _, part in parts_of(t.column("cells").to_pylist()):
+                for a, b in part.batches():
+                    g = net.gradient(part, a, b)
+                    step += 1
+                    m += 0.1 * (g - m)
+                    v += 0.001 * (g * g - v)
+                    net.vector -= np.float32(rate) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+                n += len(part.own)
+            shard = t.column("shard")[0].as_py()
+            return pa.table({"slice": pa.array([shard % SLICES], pa.int32()), "shard": pa.array([shard], pa.int32()), "body": pa.array([np.append(net.vector.astype(float) * n, n).tobytes()], pa.binary())})
+
+        return learn
 
     def add(t: pa.Table) -> pa.Table:
-        total = np.zeros(length, kind)
-        for x in t.column("body").to_pylist():
-            total += np.frombuffer(x, kind)
-        return pa.table({"slice": pa.array([t.column("slice")[0].as_py()], pa.int32()), "body": pa.array([total.tobytes()], pa.binary())})
-
-    rows = df.groupBy("slice").applyInArrow(add, "slice int, body binary").collect()  # SLICES rows at most
-    return {r["slice"]: np.frombuffer(r["body"], kind) for r in rows}
-
-
-def count_places(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    size = 1 << VOCABULARY_BITS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            for _, _, data, offsets in texts_of(pa.Table.from_batches([batch]), text_col):
-                total += np.bincount(places(Words(data, offsets)), minlength=size)
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in total.reshape(SLICES, -1)], pa.binary())], names=["slice", "body"])
-
-    found = summed(plain(docs, text_col).mapInArrow(run, "slice int, body binary"), np.int64, size // SLICES)
-    return np.concatenate([found.get(k, np.zeros(size // SLICES, np.int64)) for k in range(SLICES)])
-
-
-class Model:
-    def __init__(self, vocabulary: Vocabulary, network: Network):
-        self.vocabulary, self.network = vocabulary, network
-
-    def log_likelihood(self, words: Words) -> np.ndarray:
-        """Sum of the words' conditional log-probabilities, per text."""
-        at = places(words)
-        classes = self.vocabulary.of[at]
-        own = self.vocabulary.within[at].astype(float)
-        around = contexts(classes, words.owner())
-        for a in range(0, len(at), BATCH):
-            p = self.network.log_probabilities(self.network.hidden(around[a : a + BATCH]))
-            own[a : a + BATCH] += p[np.arange(len(p)), classes[a : a + BATCH]]
-        total = np.concatenate([[0], np.cumsum(own)])
-        return np.where(words.counts() > 0, total[words.first[1:]] - total[words.first[:-1]], 0.0)
-
-
-def train(docs: DataFrame, text_col: str = "text", rounds: int = 1, rate: float = 0.01) -> Model:
-    vocabulary, network = Vocabulary(count_places(docs, text_col)), Network()
-    sc = docs.sparkSession.sparkContext
-    for _ in range(rounds):
-        sent = sc.broadcast((vocabulary.of, network.vector))  # fixed size
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            of, vector = sent.value
-            net, n, step = Network(vector), 0, 0
-            m, v = np.zeros_like(net.vector), np.zeros_like(net.vector)
-            for batch in batches:
-                for _, _, data, offsets in texts_of(pa.Table.from_batches([batch]), text_col):
-                    words = Words(data, offsets)
-                    classes = of[places(words)]
-                    around = contexts(classes, words.owner())
-                    for a in range(0, len(classes), BATCH):
-                        g = net.gradient(around[a : a + BATCH], classes[a : a + BATCH])
-                        step += 1
-                        m += 0.1 * (g - m)
-                        v += 0.001 * (g * g - v)
-                        net.vector -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-                    n += len(classes)
-            if n:
-                weighed = np.append(net.vector.astype(float) * n, n)
-                yield pa.RecordBatch.from_arrays([pa.array([step % SLICES], pa.int32()), pa.array([weighed.tobytes()], pa.binary())], names=["slice", "body"])
-
-        got = summed(plain(docs, text_col).mapInArrow(run, "slice int, body binary"), np.float64, len(network.vector) + 1)
+        total = np.zeros(size)
+        for x in t.sort_by("shard").column("body").to_pylist():
+            total += np.frombuffer(x)
+        return pa.table({"slice": t.column("slice").slice(0, 1), "shard": t.column("shard").slice(0, 1), "body": pa.array([total.tobytes()], pa.binary())})
+
+    for turn in range(rounds):
+        sent = encoded.sparkSession.sparkContext.broadcast(network.vector)  # fixed size
+        learnt = turns.where(F.col("turn") == turn).groupBy("shard").applyInArrow(learner(sent, rate / (1 << turn)), schema)
+        got = learnt.groupBy("slice").applyInArrow(add, schema).collect()  # SLICES rows at most
         if got:
-            total = sum(got[k] for k in sorted(got))
+            total = sum(np.frombuffer(r["body"]) for r in sorted(got, key=lambda r: r["slice"]))
             network = Network(total[:-1] / total[-1])
-    return Model(vocabulary, network)
+    return network
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(encoded: DataFrame, network: Network, id_col: str) -> DataFrame:
     """``id_col``, n_tokens (long), log_likelihood, mean_log_likelihood (double)."""
-    chosen = plain(docs, id_col, text_col)
-    kind = dict(chosen.dtypes)[id_col]
-    sent = docs.sparkSession.sparkContext.broadcast((model.vocabulary.of, model.vocabulary.within, model.network.vector))  # fixed size
+    kind = dict(encoded.dtypes)[id_col]
+    sent = encoded.sparkSession.sparkContext.broadcast(network.vector)  # fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, within, vector = sent.value
-        vocabulary = Vocabulary.__new__(Vocabulary)
-        vocabulary.of, vocabulary.within = of, within
-        model = Model(vocabulary, Network(vector))
+        network = Network(sent.value)
         for batch in batches:
-            for a, b, data, offsets in texts_of(pa.Table.from_batches([batch]), text_col):
-                words = Words(data, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(words.counts(), pa.int64()), pa.array(model.log_likelihood(words), pa.float64())], names=[id_col, "n_tokens", "log_likelihood"])
-
-    out = chosen.mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, log_likelihood double")
+            lengths = batch.column(1).to_numpy()
+            for a, b, part in parts_of(batch.column(3).to_pylist()):
+                total = np.concatenate([[0], np.cumsum(network.log_likelihoods(part))])
+                ends = np.concatenate([[0], np.cumsum(lengths[a:b])])
+                found = total[ends[1:]] - total[ends[:-1]] + batch.column(2).slice(a, b - a).to_numpy()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(found)], names=[id_col, "n_tokens", "log_likelihood"])
+
+    out = encoded.select(id_col, "n_tokens", "share", "cells").mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, log_likelihood double")
     return out.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
 
 
+def encoded_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
+    """Every document as classes and tiers, in a table of the shared folder, and
+    the totals of classes and tiers."""
+    chosen = plain(docs, id_col, text_col)
+    _, _, buckets = dealt(chosen, id_col, text_col)
+    words = saved(count_words(chosen, text_col, buckets))
+    classes = classes_of(words)
+    encoded = saved(encode(chosen, words, classes, id_col, text_col))
+    drop(words)
+    return encoded, classes.totals
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    return score(docs, train(docs, text_col, **kw), id_col, text_col)
+    encoded, totals = encoded_corpus(docs, id_col, text_col)
+    return score(encoded, train(encoded, totals, id_col, **kw), id_col)
