@@ -1,12 +1,18 @@
 """Chat formatting in budgeted, turn-aligned windows (DataFrame functions only).
 
-Prefix sums of the turns' tokens cut a conversation into spans of whole turns:
-a turn belongs to span floor(tokens before it / stride).  The stride is the
-budget less the leading system turn and the history, at least ``min_stride``.
-Every window holds the leading system turn, then as many of the last turns
-before its span as fit into the history budget, then the span's own turns.
-Repeated turns are marked as such and are never under the loss mask, so each
-assistant text is a target once.  A turn longer than the stride stays whole.
+Prefix sums of the turns' tokens cut a conversation into spans of whole turns: a
+span begins with the first turn that the span before has no room for, and takes
+turns as long as their tokens fit into the stride.  The stride is the budget
+less the leading system turn and the history, at least ``min_stride``; only a
+single turn longer than the stride makes a longer span.  Every window holds the
+leading system turn, then as many of the last turns before its span as fit into
+the history and into what lead and span leave of the budget, then the span's own
+turns.  So a window exceeds the budget only by a single turn, or a leading one,
+that is too long for it.  Repeated turns are marked as such and are never under
+the loss mask, so each assistant text is a target once.
+
+A conversation is sorted, cut and formatted in one row, as its digest needs it
+in one anyway; conversations are dealt over all tasks by one exchange.
 
 Template: ``<turn role="ROLE">TEXT</turn>`` and a line feed; repeated turns have
 ``<turn role="ROLE" repeated>``.  Inside roles and texts ``\\`` becomes ``\\b``,
@@ -21,7 +27,7 @@ empty table; extra columns are left aside.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import WORD, plain
@@ -47,33 +53,45 @@ def format_windows(conversations: DataFrame, conv_col: str = "conv_id", turn_col
     (array<struct<start, length>>, code points from 0), n_tokens (long)."""
     rows = plain(conversations, conv_col, turn_col, role_col, text_col).toDF("c", "turn", "role", "text").select("c", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("tokens", (F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))) + TURN_TOKENS).cast("bigint"))
-    order = Window.partitionBy("c").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    rows = rows.withColumn("pos", F.row_number().over(order))
-    rows = rows.withColumn("lead", (F.col("pos") == 1) & (F.col("role") == "system"))
-    whole = Window.partitionBy("c")
-    rows = rows.withColumn("lead_tokens", F.sum(F.when(F.col("lead"), F.col("tokens")).otherwise(0)).over(whole))
-    own = F.when(F.col("lead"), 0).otherwise(F.col("tokens"))
-    by_pos = Window.partitionBy("c").orderBy("pos")
-    rows = rows.withColumn("before", F.sum(own).over(by_pos.rowsBetween(Window.unboundedPreceding, 0)) - own)
-    rows = rows.withColumn("window", F.floor(F.col("before") / F.greatest(F.lit(budget - history) - F.col("lead_tokens"), F.lit(min_stride))))
-    # the next window of the conversation that has turns, and the tokens before it
-    after = Window.partitionBy("c").orderBy(F.col("window").desc()).rangeBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("next", F.min(F.struct("window", "before")).over(after))
-    rows = rows.withColumn("again", (~F.col("lead")) & F.col("next").isNotNull() & (F.col("next.before") - F.col("before") <= history))
-    place = F.array(F.struct(F.col("window").alias("window"), F.lit(False).alias("repeated")), F.when(F.col("again"), F.struct(F.col("next.window").alias("window"), F.lit(True).alias("repeated"))))
-    turns = rows.select("c", "pos", "role", "text", "tokens", F.explode(place).alias("p")).where("p is not null").select("c", "p.window", "pos", "p.repeated", "role", "text", "tokens")
-    # the leading system turn, in all windows but its own
-    spans = rows.groupBy("c").agg(F.collect_set("window").alias("windows"))
-    lead = rows.where("lead").alias("l").join(spans.alias("s"), F.col("l.c").eqNullSafe(F.col("s.c"))).select("l.c", "pos", "role", "text", "tokens", "l.window", F.explode("windows").alias("to")).where("to <> window")
-    turns = turns.unionByName(lead.select("c", F.col("to").alias("window"), "pos", F.lit(True).alias("repeated"), "role", "text", "tokens"))
-
-    opening = lambda s: F.concat(F.lit('<turn role="'), escape(s["role"]), F.when(s["repeated"], F.lit('" repeated>')).otherwise(F.lit('">')))
+    talks = rows.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "tokens"))).alias("all"))
+    lead = F.when(F.col("all")[0]["role"] == "system", 1).otherwise(0)
+    talks = talks.select("c", "all", lead.alias("lead"), (lead * F.col("all")[0]["tokens"]).cast("bigint").alias("lead_tokens"))
+    talks = talks.withColumn("stride", F.greatest(F.lit(budget - history) - F.col("lead_tokens"), F.lit(min_stride)))
+    # places of the turns at which spans begin, from 1; tokens are summed along the turns
+    spans = F.aggregate(
+        F.transform("all", lambda t: t["tokens"]),
+        F.struct(F.lit(0).alias("i"), F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<int>").alias("starts")),
+        lambda at, n: F.when(at["i"] < F.col("lead"), F.struct((at["i"] + 1).alias("i"), at["sum"].alias("sum"), at["starts"].alias("starts")))
+        .when((F.size(at["starts"]) > 0) & (at["sum"] + n <= F.col("stride")), F.struct((at["i"] + 1).alias("i"), (at["sum"] + n).alias("sum"), at["starts"].alias("starts")))
+        .otherwise(F.struct((at["i"] + 1).alias("i"), n.alias("sum"), F.concat(at["starts"], F.array(at["i"] + 1)).alias("starts"))),
+        lambda at: at["starts"],
+    )
+    # a leading system turn alone is a window too
+    talks = talks.withColumn("starts", F.when(F.size(spans) > 0, spans).otherwise(F.array(F.lit(2))))
+    total = lambda turns: F.aggregate(F.transform(turns, lambda t: t["tokens"]), F.lit(0).cast("bigint"), lambda a, n: a + n)
+
+    def window_of(start, w):
+        end = F.coalesce(F.get("starts", w + 1), F.size("all") + 1)
+        own = F.slice("all", start, end - start)
+        before = F.greatest(start - history // TURN_TOKENS, F.col("lead") + 1)
+        return F.struct(w.alias("window"), own.alias("own"), F.slice("all", before, start - before).alias("earlier"))
+
+    cut = talks.select("c", "lead", "lead_tokens", F.col("all")[0].alias("first"), F.explode(F.transform("starts", window_of)).alias("w")).select("c", "lead", "lead_tokens", "first", "w.*")
+    cut = cut.withColumn("room", F.least(F.lit(history).cast("bigint"), F.lit(budget) - F.col("lead_tokens") - total("own")))
+    # the last earlier turns whose tokens together fit into the room
+    fit = F.aggregate(
+        F.reverse(F.transform("earlier", lambda t: t["tokens"])), F.struct(F.lit(0).alias("n"), F.col("room").alias("left")),
+        lambda at, n: F.when(n <= at["left"], F.struct((at["n"] + 1).alias("n"), (at["left"] - n).alias("left"))).otherwise(F.struct(at["n"].alias("n"), F.lit(-1).cast("bigint").alias("left"))),
+        lambda at: at["n"],
+    )
+    cut = cut.withColumn("history", F.slice("earlier", F.size("earlier") - fit + 1, fit))
+    said = lambda turns, repeated: F.transform(turns, lambda t: F.struct(F.lit(repeated).alias("repeated"), t["role"].alias("role"), t["text"].alias("text"), t["tokens"].alias("tokens")))
+    opener = F.when(F.col("lead") == 1, F.array(F.struct((F.col("window") > 0).alias("repeated"), F.col("first.role").alias("role"), F.col("first.text").alias("text"), F.col("first.tokens").alias("tokens"))))
+    turns = F.concat(F.coalesce(opener, F.array().cast("array<struct<repeated:boolean,role:string,text:string,tokens:bigint>>")), said("history", True), said("own", False))
     closing = "</turn>\n"
-    piece = F.transform(
-        F.sort_array(F.collect_list(F.struct("pos", "repeated", "role", "text"))),
-        lambda s: F.struct(opening(s).alias("open"), escape(s["text"]).alias("body"), (~s["repeated"] & (s["role"] == "assistant")).alias("target")),
-    )
-    windows = turns.groupBy("c", "window").agg(piece.alias("parts"), F.sum("tokens").alias("n_tokens"))
+    opening = lambda s: F.concat(F.lit('<turn role="'), escape(s["role"]), F.when(s["repeated"], F.lit('" repeated>')).otherwise(F.lit('">')))
+    parts = F.transform(turns, lambda s: F.struct(opening(s).alias("open"), escape(s["text"]).alias("body"), (~s["repeated"] & (s["role"] == "assistant")).alias("target"), s["tokens"].alias("tokens")))
+    windows = cut.select("c", "window", parts.alias("parts"))
     empty = F.array().cast("array<struct<start:int,length:int>>")
     step = lambda a, s: F.struct(
         (a["at"] + F.length(s["open"]) + F.length(s["body"]) + len(closing)).alias("at"),
@@ -81,7 +99,7 @@ def format_windows(conversations: DataFrame, conv_col: str = "conv_id", turn_col
     )
     loss = F.aggregate("parts", F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda a: a["spans"])
     text = F.array_join(F.transform("parts", lambda s: F.concat(s["open"], s["body"], F.lit(closing))), "")
-    return windows.select(F.col("c").alias(conv_col), F.col("window").cast("bigint"), text.alias("formatted"), loss.alias("loss"), "n_tokens")
+    return windows.select(F.col("c").alias(conv_col), F.col("window").cast("bigint").alias("window"), text.alias("formatted"), loss.alias("loss"), total("parts").alias("n_tokens"))
 
 
 def read_back(windows: DataFrame, conv_col: str = "conv_id") -> DataFrame:
@@ -101,7 +119,7 @@ def read_back(windows: DataFrame, conv_col: str = "conv_id") -> DataFrame:
 
 #: The same in DuckDB over the table ``conversations`` and the two planted rows.
 SQL = rf"""
-WITH source AS (
+WITH RECURSIVE source AS (
   SELECT conv_id, turn, role, text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
@@ -110,27 +128,37 @@ rows AS (
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + {TURN_TOKENS} AS tokens,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
   FROM source),
-marked AS (SELECT *, pos = 1 AND role = 'system' AS lead FROM rows),
-sums AS (
-  SELECT *, sum(CASE WHEN lead THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id) AS lead_tokens,
-    sum(CASE WHEN lead THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY pos) - CASE WHEN lead THEN 0 ELSE tokens END AS before
-  FROM marked),
-placed AS (SELECT *, (before // greatest({BUDGET - HISTORY} - lead_tokens, {MIN_STRIDE}))::BIGINT AS win FROM sums),
-starts AS (SELECT conv_id, win, min(before) AS start FROM placed GROUP BY conv_id, win),
-nexts AS (SELECT conv_id, win, lead(start) OVER (PARTITION BY conv_id ORDER BY win) AS next_start FROM starts),
-lengths AS (
-  SELECT p.*, n.next_start, s.windows,
+marked AS (
+  SELECT *, pos = 1 AND role = 'system' AS lead,
     12 + 2 + 8 + length(role) + length(text)
     + length(role) * 2 - length(replace(role, '\', '')) - length(replace(role, '<', ''))
     + length(text) * 2 - length(replace(text, '\', '')) - length(replace(text, '<', ''))
     + length(role) - length(replace(role, '"', '')) + length(text) - length(replace(text, '"', '')) AS size
-  FROM placed p JOIN nexts n ON p.conv_id IS NOT DISTINCT FROM n.conv_id AND p.win = n.win
-  JOIN (SELECT conv_id, count(*) AS windows FROM starts GROUP BY conv_id) s ON p.conv_id IS NOT DISTINCT FROM s.conv_id)
-SELECT conv_id, count(*)::BIGINT AS n_turns,
+  FROM rows),
+sums AS (
+  SELECT *, sum(CASE WHEN lead THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id) AS lead_tokens,
+    sum(CASE WHEN lead THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY pos) - CASE WHEN lead THEN 0 ELSE tokens END AS before
+  FROM marked),
+filled AS (
+  SELECT conv_id, pos, CASE WHEN lead THEN 0 ELSE tokens END AS held, 0::BIGINT AS win, lead AS fresh FROM sums WHERE pos = 1
+  UNION ALL
+  SELECT s.conv_id, s.pos,
+    CASE WHEN f.fresh OR f.held + s.tokens <= greatest({BUDGET - HISTORY} - s.lead_tokens, {MIN_STRIDE}) THEN f.held + s.tokens ELSE s.tokens END,
+    CASE WHEN f.fresh OR f.held + s.tokens <= greatest({BUDGET - HISTORY} - s.lead_tokens, {MIN_STRIDE}) THEN f.win ELSE f.win + 1 END, false
+  FROM filled f JOIN sums s ON s.conv_id IS NOT DISTINCT FROM f.conv_id AND s.pos = f.pos + 1),
+placed AS (SELECT s.*, f.win FROM sums s JOIN filled f ON s.conv_id IS NOT DISTINCT FROM f.conv_id AND s.pos = f.pos),
+windows AS (
+  SELECT conv_id, win, min(before) FILTER (NOT lead) AS start,
+    least({HISTORY}, {BUDGET} - min(lead_tokens) - coalesce(sum(tokens) FILTER (NOT lead), 0)) AS room
+  FROM placed GROUP BY conv_id, win),
+repeats AS (
+  SELECT p.conv_id, sum(size + 9) AS size FROM placed p JOIN windows w ON p.conv_id IS NOT DISTINCT FROM w.conv_id AND NOT p.lead AND p.win < w.win AND w.start - p.before <= w.room
+  GROUP BY p.conv_id)
+SELECT p.conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
   coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY pos), '')) AS loss_sha256,
-  sum(size + CASE WHEN lead THEN (size + 9) * (windows - 1) WHEN next_start - before <= {HISTORY} THEN size + 9 ELSE 0 END)::BIGINT AS formatted_chars,
-  max(windows)::BIGINT AS n_windows
-FROM lengths GROUP BY conv_id
+  (sum(p.size) + coalesce(sum(CASE WHEN lead THEN p.size + 9 END), 0) * max(win) + coalesce(max(r.size), 0))::BIGINT AS formatted_chars,
+  (max(win) + 1)::BIGINT AS n_windows
+FROM placed p LEFT JOIN repeats r ON p.conv_id IS NOT DISTINCT FROM r.conv_id GROUP BY p.conv_id
 """
