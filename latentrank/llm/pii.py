@@ -2,23 +2,29 @@
 
 The patterns give base spans (e-mail, IP, payment card, phone).  The random
 field then labels the tokens that hold a digit or an "@".  A token's states are
-"none" and the four kinds.  Its own potential comes from its shape; neighbours
-in the text share a chain potential; consecutive occurrences of the same or a
-similar token, however far apart, share a skip potential.  (Linking consecutive
-occurrences keeps the graph linear in the text; evidence still flows along the
-whole series.)  Tokens under a base span are observed.  Loopy message passing
-on each document gives marginals, and a token with a kind as its most probable
-state, with no base span on it, adds a span.
-
-Weights are learnt by pseudo-likelihood in numpy: each token's state given its
-features and its neighbours' states, base spans being the states to learn.
-Learning uses a bounded sample of documents (``sample_rows``, the first by a
-hash of the id among those with an id, a digit or "@" and at most
-``sample_text_bytes`` long); every document is labelled, in full.
+"none" and the four kinds.  Its own potential comes from its shape and from the
+word before it; neighbours in the text share a chain potential; occurrences of
+the same or a similar token, however far apart, share a skip potential.  Each
+occurrence is linked to the one before it and to the first, so that the graph
+stays linear in the text and no two occurrences are more than two links apart.
+Tokens under a base span are observed.  Loopy message passing on each document
+gives marginals, and a token whose most probable state is a kind, with at least
+``SURE`` of the mass and no base span on it, adds a span.
+
+Weights are learnt by pseudo-likelihood from all documents, base spans being the
+states to learn: one pass counts how often each configuration (a token's
+features, its state and its neighbours' states) occurs, the counts are added up
+over the cluster, and gradient steps in numpy run over the distinct
+configurations.  Every configuration is learnt twice, with the token's own shape
+and with it hidden, so that context, neighbours and repeats must carry evidence
+of their own; with shapes shown throughout, the patterns explain themselves and
+links get no weight.  Configurations are combinations of hashed features and
+states, of fixed number; what is collected grows with the variety of tokens, not
+with the documents.
 
 Null text counts as empty; rows are treated one by one, so repeated rows get
 equal results; extra columns are left aside; an empty table gives an empty
-table.
+table.  All scans are linear in the text.
 """
 
 from __future__ import annotations
@@ -35,17 +41,15 @@ from pyspark.sql import functions as F
 from .text import plain, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
-PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
-    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
-    "card": r"[0-9]([\x20-]?[0-9])+",
-    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-}
-TOKEN = r"[^\x20\x09-\x0D]+"
-SAMPLE_ROWS = 2000
-SAMPLE_TEXT_BYTES = 65_536
-SHAPES = 512
+TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+HINT = re.compile("[0-9@]")
+EDGE = ".,;:!?\"'()[]{}<>|*%$&#"
+#: Buckets of hashed shapes, of digit and mark counts, and of words before a token.
+SHAPES, COUNTS, WORDS = 1024, 256, 64
 STATES = 1 + len(KINDS)
+SURE = 0.8
+#: Runs of a shape and of a preceding word are read up to so many characters.
+SHOWN = 64
 
 
 def luhn(digits: str) -> bool:
@@ -57,47 +61,81 @@ def luhn(digits: str) -> bool:
 
 
 class Base:
-    """The fixed patterns: leftmost non-overlapping matches of each kind, failing ones dropped."""
+    """The fixed patterns: leftmost non-overlapping matches of each kind, failing ones dropped.
+
+    email ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``, ip
+    ``[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)``, card ``[0-9]([\\x20-]?[0-9])+``,
+    phone ``\\+[0-9][\\x20().0-9-]+[0-9]``.  Taken literally, the first two try
+    again at every character of a long run; here a run is read once.
+    """
+
+    LOCAL = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-"
 
     def __init__(self):
-        self.patterns = {k: re.compile(p) for k, p in PATTERNS.items()}
-        # a card has 12 digits, so two digits with at most one character between them
-        self.hint = {"email": re.compile("@"), "ip": re.compile(r"[0-9]\.[0-9]"), "card": re.compile(r"[0-9][\x20-]?[0-9]"), "phone": re.compile(r"\+[0-9]")}
-
-    @staticmethod
-    def holds(kind: str, found: str) -> bool:
-        if kind == "ip":
-            return all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in found.split("."))
-        if kind == "email":
-            return True
-        digits = re.sub("[^0-9]", "", found)
-        return 12 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
+        self.domain = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+        self.dotted = re.compile(r"[0-9]++(?:\.[0-9]++)*+")  # never fails on a digit, so that no run is read twice
+        self.number = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
+        # the last digit of the run is where a phone number ends
+        self.dialled = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+    def email(self, text: str) -> Iterator[tuple[int, int]]:
+        """The part before an "@" is the whole run before it, as the "@" is no part of one."""
+        floor, at = 0, text.find("@")
+        while at >= 0:
+            run = text[floor:at]
+            size = len(run) - len(run.rstrip(self.LOCAL))
+            found = self.domain.match(text, at + 1) if size else None
+            if found:
+                yield at - size, found.end()
+            floor = found.end() if found else at + 1
+            at = text.find("@", floor)
+
+    def ip(self, text: str) -> Iterator[tuple[int, int]]:
+        """Numbers joined by single dots, four by four from the left."""
+        for chain in self.dotted.finditer(text):
+            parts = chain.group().split(".")
+            at = chain.start()
+            for i in range(0, len(parts) - 3, 4):
+                four = parts[i : i + 4]
+                size = sum(map(len, four)) + 3
+                if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in four):
+                    yield at, at + size
+                at += size + 1
+
+    def card(self, text: str) -> Iterator[tuple[int, int]]:
+        for m in self.number.finditer(text):
+            digits = re.sub("[^0-9]", "", m.group())
+            if 12 <= len(digits) <= 19 and luhn(digits):
+                yield m.span()
+
+    def phone(self, text: str) -> Iterator[tuple[int, int]]:
+        if "+" in text:
+            for m in self.dialled.finditer(text):
+                if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15:
+                    yield m.span()
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(start, kind's place, end), sorted."""
-        out = []
-        for place, kind in enumerate(KINDS):
-            if self.hint[kind].search(text):
-                out += [(m.start(), place, m.end()) for m in self.patterns[kind].finditer(text) if self.holds(kind, m.group())]
-        return sorted(out)
+        return sorted((a, place, b) for place, kind in enumerate(KINDS) for a, b in getattr(self, kind)(text))
 
 
 def shape(token: str) -> str:
     """Digits to 9, letters to a or A; runs over four are cut to four."""
-    s = re.sub("[0-9]", "9", token)
+    s = re.sub("[0-9]", "9", token[: 4 * SHOWN])
     s = "".join("A" if c.isupper() else "a" if c.isalpha() else c for c in s)
-    return re.sub(r"(.)\1{3,}", r"\1\1\1\1", s)
+    return re.sub(r"(.)\1{3,}", r"\1\1\1\1", s)[:SHOWN]
 
 
-def bucket(name: str) -> int:
-    return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=4).digest(), "little") % SHAPES
+def bucket(name: str, of: int) -> int:
+    return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=4).digest(), "little") % of
 
 
-def features(token: str) -> list[int]:
-    """Hashed features of one token: its shape, its number of digits, its punctuation."""
-    core = token.strip(".,;:!?\"'()[]{}<>|*%$&#")
-    digits = sum(c in "0123456789" for c in core)
-    return [bucket("s" + shape(core)), bucket(f"d{min(digits, 20)}.{core.count('.')}.{core.count('-')}"), bucket(f"p{core[:1] == '+'}{'@' in core}{core.isdigit()}")]
+def features(token: str, before: str) -> tuple[int, int, int]:
+    """Hashed features of a token: its shape, its digits and marks, the word before it."""
+    core = token.strip(EDGE)
+    digits = len(re.findall("[0-9]", core))
+    counts = f"{min(digits, 20)}.{core.count('.')}.{core.count('-')}.{core[:1] == '+'}.{'@' in core}.{core.isdigit()}"
+    return bucket(shape(core), SHAPES), bucket(counts, COUNTS), bucket(before.strip(EDGE).lower()[:SHOWN], WORDS)
 
 
 def similar_keys(token: str) -> list[str]:
@@ -113,128 +151,183 @@ class Graph:
     """Nodes and edges of one document."""
 
     def __init__(self, text: str, base: list[tuple[int, int, int]]):
-        self.spans = [(m.start(), m.end()) for m in re.finditer(TOKEN, text) if re.search("[0-9@]", m.group())] if base or re.search("[0-9@]", text) else []
-        n = len(self.spans)
-        self.state = np.zeros(n, int)
-        self.features = np.array([features(text[a:b]) for a, b in self.spans], int).reshape(n, 3)
-        self.under = np.zeros(n, bool)
-        at = 0
-        for i, (a, b) in enumerate(self.spans):
-            while at < len(base) and base[at][2] <= a and all(x[2] <= a for x in base[: at + 1]):
-                at += 1
-            for start, place, end in base[at:]:
-                if start >= b:
-                    break
-                if end > a and not self.under[i]:
-                    self.state[i], self.under[i] = place + 1, True
-        ends = [b for _, b in self.spans]
-        # chain: the next candidate token, if only white space lies between
-        chain = [(i, i + 1) for i in range(n - 1) if not text[ends[i] : self.spans[i + 1][0]].strip("\x20\t\n\x0b\x0c\r")]
+        self.spans: list[tuple[int, int]] = []
+        rows, chain, skip, before, apart = [], [], set(), "", True
+        first: dict[str, int] = {}
         last: dict[str, int] = {}
-        skip = set()
-        for i, (a, b) in enumerate(self.spans):
-            for k in similar_keys(text[a:b]):
+        for m in TOKEN.finditer(text) if HINT.search(text) else ():
+            token = m.group()
+            if not HINT.search(token):
+                before, apart = token, True
+                continue
+            i = len(self.spans)
+            self.spans.append(m.span())
+            rows.append(features(token, before))
+            if not apart:
+                chain.append((i - 1, i))  # only white space lies between
+            for k in similar_keys(token):
                 if k in last:
-                    skip.add((last[k], i))
+                    skip |= {(last[k], i), (first[k], i)}
+                else:
+                    first[k] = i
                 last[k] = i
+            before, apart = token, False
+        n = len(self.spans)
+        self.features = np.array(rows, int).reshape(n, 3)
         self.chain = np.array(chain, int).reshape(-1, 2)
         self.skip = np.array(sorted(skip), int).reshape(-1, 2)
+        # the first base span on a token, by start and kind; those of one kind do not overlap
+        self.state, begin = np.zeros(n, int), np.full(n, np.iinfo(np.int64).max)
+        starts, ends = np.array(self.spans, int).reshape(n, 2).T
+        for place in range(len(KINDS)):
+            own = np.array([(a, b) for a, k, b in base if k == place], int).reshape(-1, 2)
+            if n and len(own):
+                at = np.minimum(np.searchsorted(own[:, 1], starts, "right"), len(own) - 1)
+                on = (own[at, 1] > starts) & (own[at, 0] < ends) & (own[at, 0] < begin)
+                self.state[on], begin[on] = place + 1, own[at, 0][on]
+        self.under = self.state > 0
+
+    def configurations(self) -> np.ndarray:
+        """A row per node: features, states of the neighbours to either side and
+        of the occurrences before and after (STATES where there is none), own state."""
+        n = len(self.state)
+        around = np.full((4, n), STATES)
+        for k, e in ((0, self.chain), (2, self.skip)):
+            # of several earlier occurrences the last counts, of later ones the first
+            around[k, e[:, 1]] = self.state[e[:, 0]]
+            around[k + 1, e[::-1, 0]] = self.state[e[::-1, 1]]
+        return np.column_stack([self.features, around.T, self.state])
 
 
 class Field:
-    """Weights: (features x states) and a (state x state) table for each kind of edge."""
+    """Weights: a (bucket x state) table for each feature and a (state x state) one for each kind of edge."""
+
+    def __init__(self, *tables: np.ndarray):
+        self.shapes, self.counts, self.words, self.chain, self.skip = tables or (np.zeros((SHAPES, STATES)), np.zeros((COUNTS, STATES)), np.zeros((WORDS, STATES)), np.zeros((STATES, STATES)), np.zeros((STATES, STATES)))
 
-    def __init__(self, unary=None, chain=None, skip=None):
-        self.unary = np.zeros((SHAPES, STATES)) if unary is None else unary
-        self.chain = np.zeros((STATES, STATES)) if chain is None else chain
-        self.skip = np.zeros((STATES, STATES)) if skip is None else skip
+    def tables(self) -> tuple[np.ndarray, ...]:
+        return self.shapes, self.counts, self.words, self.chain, self.skip
 
-    def learn(self, graphs: list[Graph], steps: int = 200, rate: float = 2.0, decay: float = 1e-3) -> None:
-        """Pseudo-likelihood by full-batch gradient steps over all tokens of the sample."""
-        graphs = [g for g in graphs if len(g.state)]
-        if not graphs:
+    def learn(self, seen: np.ndarray, times: np.ndarray, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> None:
+        """Pseudo-likelihood by full-batch Adam steps over configurations (see
+        ``Graph.configurations``) that occur so often."""
+        if not len(seen):
             return
-        at = np.cumsum([0, *(len(g.state) for g in graphs)])
-        y = np.concatenate([g.state for g in graphs])
-        x = np.concatenate([g.features for g in graphs])
-        edges = {}
-        for name in ("chain", "skip"):
-            e = np.concatenate([getattr(g, name) + o for g, o in zip(graphs, at)])
-            edges[name] = np.concatenate([e, e[:, ::-1]])
-        n = len(y)
+        n, y = len(seen), seen[:, 7]
+        weight = np.sqrt(times.astype(float))  # else the commonest numbers leave nothing to the others
+        weight /= 2 * weight.sum()
+        shown = [(0, seen[:, 0]), (1, seen[:, 1]), (2, seen[:, 2])]
+        edges = [(t, seen[:, c]) for t, c in ((3, 3), (3, 4), (4, 5), (4, 6))]
         hot = np.eye(STATES)[y]
-        for _ in range(steps):
-            logits = self.unary[x].sum(1)
-            for name, e in edges.items():
-                np.add.at(logits, e[:, 0], getattr(self, name)[:, y[e[:, 1]]].T)
-            p = np.exp(logits - logits.max(1, keepdims=True))
-            gap = hot - p / p.sum(1, keepdims=True)
-            for k in range(x.shape[1]):
-                grad = np.zeros_like(self.unary)
-                np.add.at(grad, x[:, k], gap)
-                self.unary += rate * (grad / n - decay * self.unary / x.shape[1])
-            for name, e in edges.items():
-                grad = np.zeros((STATES, STATES))
-                np.add.at(grad.T, y[e[:, 1]], gap[e[:, 0]])
-                w = getattr(self, name)
-                w += rate * (grad / n - decay * w)
-        self.chain, self.skip = (self.chain + self.chain.T) / 2, (self.skip + self.skip.T) / 2
-
-    def marginals(self, g: Graph, rounds: int = 30, damping: float = 0.3) -> np.ndarray:
-        """Loopy message passing in the log domain, damped, until it settles."""
-        own = self.unary[g.features].sum(1)
-        own[g.under] = -50.0
-        own[g.under, g.state[g.under]] = 0.0
+        sizes = [t.size for t in self.tables()]
+        flat = np.concatenate([t.ravel() for t in self.tables()])
+        m, v = np.zeros_like(flat), np.zeros_like(flat)
+        for step in range(1, steps + 1):
+            grad = np.zeros_like(flat)
+            parts = [x.reshape(-1, STATES) for x in np.split(flat, np.cumsum(sizes)[:-1])]
+            back = [x.reshape(-1, STATES) for x in np.split(grad, np.cumsum(sizes)[:-1])]
+            padded = [np.vstack([p, np.zeros((1, STATES))]) for p in parts[3:]]
+            links = sum(padded[t - 3][x] for t, x in edges)
+            for hidden in (False, True):
+                own = shown[2:] if hidden else shown
+                z = links + sum(parts[t][x] for t, x in own)
+                p = np.exp(z - z.max(1, keepdims=True))
+                gap = (hot - p / p.sum(1, keepdims=True)) * weight[:, None]
+                for t, x in [*own, *edges]:
+                    size = len(parts[t])
+                    for s in range(STATES):
+                        back[t][:, s] += np.bincount(x, gap[:, s], size + 1)[:size]
+            grad -= decay * flat
+            m += 0.1 * (grad - m)
+            v += 0.001 * (grad * grad - v)
+            flat += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        self.shapes, self.counts, self.words, chain, skip = (x.reshape(-1, STATES) for x in np.split(flat, np.cumsum(sizes)[:-1]))
+        self.chain, self.skip = (chain + chain.T) / 2, (skip + skip.T) / 2
+
+    def own(self, g: Graph) -> np.ndarray:
+        out = sum(t[g.features[:, k]] for k, t in enumerate((self.shapes, self.counts, self.words)))
+        out[g.under] = -50.0
+        out[g.under, g.state[g.under]] = 0.0
+        return out
+
+    def marginals(self, g: Graph, rounds: int = 100, damping: float = 0.3) -> np.ndarray:
+        """Loopy message passing in the log domain, damped, until it settles;
+        after ``rounds`` the beliefs reached are taken."""
+        own = self.own(g)
         edges = np.concatenate([g.chain, g.skip])
-        if not len(edges):
-            return np.exp(own - own.max(1, keepdims=True))
-        source = np.concatenate([edges[:, 0], edges[:, 1]])
-        target = np.concatenate([edges[:, 1], edges[:, 0]])
-        table = np.concatenate([np.repeat(self.chain[None], len(g.chain), 0), np.repeat(self.skip[None], len(g.skip), 0)])
-        table = np.concatenate([table, table])
-        m = len(edges)
-        back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
-        message = np.zeros((2 * m, STATES))
-        for _ in range(rounds):
-            belief = own.copy()
-            np.add.at(belief, target, message)
-            out = (belief[source] - message[back])[:, :, None] + table
-            top = out.max(1, keepdims=True)
-            new = np.log(np.exp(out - top).sum(1)) + top[:, 0]
-            new -= new.max(1, keepdims=True)
-            moved = np.abs(new - message).max()
-            message = damping * message + (1 - damping) * new
-            if moved < 1e-6:
-                break
-        belief = own.copy()
-        np.add.at(belief, target, message)
-        return np.exp(belief - belief.max(1, keepdims=True))
+        belief = own
+        if len(edges):
+            source = np.concatenate([edges[:, 0], edges[:, 1]])
+            target = np.concatenate([edges[:, 1], edges[:, 0]])
+            table = np.concatenate([np.repeat(self.chain[None], len(g.chain), 0), np.repeat(self.skip[None], len(g.skip), 0)])
+            table = np.concatenate([table, table])
+            m = len(edges)
+            back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
+            message = np.zeros((2 * m, STATES))
+
+            def beliefs() -> np.ndarray:
+                return own + np.column_stack([np.bincount(target, message[:, s], len(own)) for s in range(STATES)])
+
+            for _ in range(rounds):
+                out = (beliefs()[source] - message[back])[:, :, None] + table
+                top = out.max(1, keepdims=True)
+                new = np.log(np.exp(out - top).sum(1)) + top[:, 0]
+                new -= new.max(1, keepdims=True)
+                moved = np.abs(new - message).max()
+                message = damping * message + (1 - damping) * new
+                if moved < 1e-6:
+                    break
+            belief = beliefs()
+        p = np.exp(belief - belief.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True)
 
     def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Spans of tokens that the field labels, beside those under base spans."""
         g = Graph(text, base)
         if not len(g.state) or g.under.all():
             return []
-        best = self.marginals(g).argmax(1)
+        p = self.marginals(g)
+        best = p.argmax(1)
         out = []
-        for i in np.flatnonzero((best > 0) & ~g.under):
+        for i in np.flatnonzero((best > 0) & (p.max(1) >= SURE) & ~g.under):
             a, b = g.spans[i]
             body = text[a:b]
-            inner = body.strip(".,;:!?\"'()[]{}<>|*%$&#")
+            inner = body.strip(EDGE)
             if inner:
-                a += body.index(inner)
+                a += len(body) - len(body.lstrip(EDGE))
                 out.append((a, int(best[i]) - 1, a + len(inner)))
         return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sample_rows: int = SAMPLE_ROWS, sample_text_bytes: int = SAMPLE_TEXT_BYTES) -> Field:
-    chosen = plain(docs, id_col, text_col).toDF("id", "text").where((F.octet_length("text") <= sample_text_bytes) & F.col("text").rlike("[0-9@]"))
-    # ids first: no more than the sample's texts are moved
-    ids = chosen.where("id IS NOT NULL").select(F.xxhash64("id").alias("turn"), "id").orderBy("turn", "id").limit(sample_rows).distinct()
-    rows = chosen.join(F.broadcast(ids), "id").orderBy("turn", "id", "text").limit(sample_rows)
-    texts = rows.select("text").toArrow().column(0).to_pylist()
-    base, field = Base(), Field()
-    field.learn([Graph(t, base.spans(t)) for t in texts])
+def hinted(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Parts of the batches with their texts; None for those without a digit or "@"."""
+    hint = np.zeros(256, bool)
+    hint[list(b"0123456789@")] = True
+    for batch in batches:
+        for a, b, data, offsets in texts_of(pa.Table.from_batches([batch]), name):
+            first = np.searchsorted(np.flatnonzero(hint[data]), offsets)
+            yield batch.slice(a, b - a), [data[i:j].tobytes().decode() if x < y else None for i, j, x, y in zip(offsets[:-1], offsets[1:], first[:-1], first[1:])]
+
+
+def fit(docs: DataFrame, text_col: str = "text") -> Field:
+    """Learns from the configurations of all documents."""
+    names = ["shape", "counts", "word", "left", "right", "before", "after", "state"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = Base()
+        for _, texts in hinted(batches, text_col):
+            rows = [Graph(t, base.spans(t)).configurations() for t in texts if t is not None]
+            if rows:
+                found, times = np.unique(np.concatenate(rows), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in found.T), pa.array(times, pa.int64())], names=[*names, "times"])
+
+    counted = plain(docs, text_col).mapInArrow(run, ", ".join(f"{k} int" for k in names) + ", times bigint")
+    seen = counted.groupBy(*names).agg(F.sum("times").alias("times")).toArrow()
+    field = Field()
+    if seen.num_rows:
+        found = np.column_stack([seen.column(k).to_numpy() for k in names]).astype(int)
+        order = np.lexsort(found.T)  # the same sums whatever the order in which rows come
+        field.learn(found[order], seen.column("times").to_numpy()[order])
     return field
 
 
@@ -243,39 +336,25 @@ def find(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
     points, end exclusive), each sorted by start and then kind as listed."""
     chosen = plain(docs, id_col, text_col)
     kind = dict(chosen.dtypes)[id_col]
-    weights = (field.unary, field.chain, field.skip)
+    weights = field.tables()
     span = "array<struct<kind:string,start:int,end:int>>"
     spans_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    hint = np.zeros(256, bool)
-    hint[list(b"0123456789@")] = True
 
     def named(spans):
         return [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(spans)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, field = Base(), Field(*weights)
-        for batch in batches:
-            for a, b, data, offsets in texts_of(pa.Table.from_batches([batch]), text_col):
-                where = np.flatnonzero(hint[data])
-                first = np.searchsorted(where, offsets)
-                hits = set(np.flatnonzero(np.diff(first)).tolist())
-                found, more = [], []
-                for i in range(b - a):
-                    if i not in hits:
-                        found.append([])
-                        more.append([])
-                        continue
-                    text = data[offsets[i] : offsets[i + 1]].tobytes().decode()
-                    spans = base.spans(text)
-                    found.append(named(spans))
-                    more.append(named(field.added(text, spans)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, spans_type), pa.array(more, spans_type)], names=[id_col, "base", "added"])
+        for part, texts in hinted(batches, text_col):
+            found = [[] if t is None else base.spans(t) for t in texts]
+            more = [[] if t is None else field.added(t, spans) for t, spans in zip(texts, found)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([named(x) for x in found], spans_type), pa.array([named(x) for x in more], spans_type)], names=[id_col, "base", "added"])
 
     return chosen.mapInArrow(run, f"`{id_col}` {kind}, base {span}, added {span}")
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    return find(docs, fit(docs, id_col, text_col, **kw), id_col, text_col)
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return find(docs, fit(docs, text_col), id_col, text_col)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
