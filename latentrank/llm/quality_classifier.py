@@ -1,20 +1,24 @@
 """Compression classifier: one zstandard dictionary per class.
 
 A dictionary is trained on texts labelled good and another on texts labelled
-bad.  A text's normalised difference of the two compressed sizes, with the
-sizes' own ratios to its length, goes through a logistic calibration fitted on
-labelled texts that the dictionaries have not seen.
-
-Fitting uses a bounded sample: at most ``sample_rows`` labelled rows of each
-class for the dictionaries and as many again for the calibration, the first by
-a hash of the id, among texts of at most ``sample_text_bytes`` (longer texts
-are scored like all others but teach nothing).  Scoring covers every row.
+bad.  A text is compressed under both, in pieces of ``CHUNK_BYTES`` (so that a
+text that repeats itself gains nothing from its own beginning), and the
+difference of the two sizes over the text's length is the one feature: a rising
+logistic curve, fitted on labelled texts that the dictionaries have not seen,
+turns it into a score.
+
+Fitting uses a bounded sample: of each class at most ``sample_rows`` labelled
+rows for the dictionaries and as many again for the curve, the first by a hash of
+the id, of any length.  The dictionaries see a piece of ``PIECE_CHARS`` of each,
+from a place given by a hash; the curve sees differences of whole texts, which
+executors compute.  Scoring covers every row, in full.
 
 Null text counts as empty and gets a score too; rows with a null label, or
 whose label row is held out, are never learnt from; repeated rows get equal
-scores; an empty table gives an empty table.  Without both labels among the
-rows to learn from, every score is the share of label 1 (0.5 without any).
-Extra columns are left aside; only the text enters a score.
+scores, and rows that share an id teach once; an empty table gives an empty
+table.  Without both labels among the rows to learn from, every score is the
+share of label 1 (0.5 without any).  Extra columns are left aside; only the text
+enters a score.
 """
 
 from __future__ import annotations
@@ -27,11 +31,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .text import plain, raw, strings, texts_of
+from .text import plain, texts_of
 
-SAMPLE_ROWS = 3000
-SAMPLE_TEXT_BYTES = 32_768
-DICTIONARY_BYTES = 262_144
+SAMPLE_ROWS, PIECE_CHARS = 3000, 2000
+DICTIONARY_BYTES, CHUNK_BYTES, LEVEL = 262_144, 1024, 3
 
 
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
@@ -40,10 +43,13 @@ def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
 
 
 class Model:
-    """Two dictionaries and the calibration; small enough to send to every task."""
+    """Two dictionaries and the curve; small enough to send to every task."""
+
+    def __init__(self, good: bytes = b"", bad: bytes = b"", curve: tuple[float, float] | None = None, prior: float = 0.5, level: int = LEVEL):
+        self.good, self.bad, self.curve, self.prior, self.level = good, bad, curve, prior, level
 
-    def __init__(self, good: bytes = b"", bad: bytes = b"", weights: list[float] | None = None, prior: float = 0.5, level: int = 3):
-        self.good, self.bad, self.weights, self.prior, self.level = good, bad, weights, prior, level
+    def parts(self) -> tuple:
+        return self.good, self.bad, self.curve, self.prior, self.level
 
     def compressors(self):
         import zstandard as z
@@ -53,58 +59,68 @@ class Model:
             d.precompute_compress(level=self.level)
             return z.ZstdCompressor(level=self.level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
 
-        return make(self.good), make(self.bad), z.ZstdCompressor(level=self.level, write_content_size=False, write_checksum=False)
+        return make(self.good), make(self.bad)
 
     @staticmethod
-    def features(tools, texts: list[bytes]) -> np.ndarray:
-        good, bad, bare = tools
-        n = np.array([len(t) for t in texts], float)
-        g, b, s = (np.array([len(c.compress(t)) for t in texts], float) for c in (good, bad, bare))
-        m = np.maximum(n, 1)
-        difference = (b - g) / m
-        return np.column_stack([np.ones(len(n)), difference, (b - g) / np.maximum(b, g), difference * np.log1p(n) / 5, np.minimum(g / m, 0.35), g / m, np.minimum(s / m, 0.3), 1 / np.sqrt(n + 10), np.log1p(n) / 10])
+    def differences(tools, texts: list[bytes]) -> np.ndarray:
+        """Bytes that the good dictionary saves over the bad one, for each byte of text."""
+        good, bad = tools
+
+        def size(tool, text: bytes) -> int:
+            return sum(len(tool.compress(text[i : i + CHUNK_BYTES])) for i in range(0, len(text), CHUNK_BYTES))
+
+        return np.array([(size(bad, t) - size(good, t)) / max(len(t), 1) for t in texts], float)
 
     def scores(self, tools, texts: list[bytes]) -> np.ndarray:
-        if self.weights is None:
+        if self.curve is None:
             return np.full(len(texts), self.prior)
-        return 1 / (1 + np.exp(-np.clip(self.features(tools, texts) @ np.array(self.weights), -40, 40)))
+        return sigmoid(self.curve[0] + self.curve[1] * self.differences(tools, texts))
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, penalty: float = 0.1) -> list[float]:
-    """Penalised logistic regression by Newton steps, on standardised columns."""
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    mean[0], scale[0] = 0, 1
-    z, w = (x - mean) / scale, np.zeros(x.shape[1])
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+def calibrate(d: np.ndarray, y: np.ndarray, penalty: float = 0.01) -> tuple[float, float]:
+    """Penalised logistic regression on one feature, by Newton steps; the slope is positive."""
+    scale = d.std() + 1e-9
+    z, w = np.column_stack([np.ones(len(d)), d / scale]), np.array([0.0, 1.0])
     for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + penalty * np.eye(len(w)), z.T @ (p - y) + penalty * w)
+        p = sigmoid(z @ w)
+        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + penalty * np.eye(2), z.T @ (p - y) + penalty * w)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
-    w = w / scale
-    w[0] -= (mean[1:] * w[1:]).sum()
-    return w.tolist()
+    return float(w[0]), float(max(w[1], 1e-6) / scale)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, sample_rows: int = SAMPLE_ROWS, sample_text_bytes: int = SAMPLE_TEXT_BYTES, dictionary_bytes: int = DICTIONARY_BYTES, level: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, sample_rows: int = SAMPLE_ROWS, dictionary_bytes: int = DICTIONARY_BYTES, level: int = LEVEL) -> Model:
     """Learn from labelled rows outside the held-out fold."""
     import zstandard as z
 
-    marked = plain(labels, id_col, label_col).toDF("id", "label").where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out("id"))
-    # ids first, without texts: four times the sample, in the hash's order, so
-    # that over-long or missing texts leave enough
-    ids = [marked.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(4 * sample_rows) for k in (0, 1)]
-    chosen = F.broadcast(ids[0].unionByName(ids[1]))
-    texts = plain(docs, id_col, text_col).toDF("id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= sample_text_bytes)
-    found = texts.join(chosen, "id").withColumn("turn", F.xxhash64("id"))
-    rows = [found.where(F.col("label") == k).orderBy("turn", "id", "text").limit(2 * sample_rows) for k in (0, 1)]
-    t = rows[0].unionByName(rows[1]).select("label", "text").toArrow()  # 4 * sample_rows texts at most, each of bounded size
-    label, (data, offsets) = t.column("label").to_numpy(), raw(strings(t.column("text")))
-    texts = [data[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:])]
-    del t, data
-    good, bad = ([x for x, k in zip(texts, label) if k == want] for want in (1, 0))
+    texts = plain(docs, id_col, text_col).toDF("id", "text")
+    marked = plain(labels, id_col, label_col).toDF("id", "label").where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out("id")).distinct()
+    marked = marked.join(texts.select("id"), "id", "left_semi").withColumn("turn", F.xxhash64("id"))
+
+    def sample(half: int) -> DataFrame:
+        """(id, label, text) of the first rows of both classes; ids first, so that no text goes through a sort."""
+        of = marked.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)) == half)
+        ids = [of.where(F.col("label") == k).orderBy("turn", "id").limit(sample_rows).select("id", "label") for k in (0, 1)]
+        return texts.join(F.broadcast(ids[0].unionByName(ids[1])), "id")  # 2 * sample_rows ids at most
+
+    def learnt(half: int) -> tuple[list[bytes], list[bytes]]:
+        place = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - PIECE_CHARS, F.lit(0)) + 1) + 1
+        pieces = sample(half).withColumn("text", F.coalesce("text", F.lit(""))).select("id", "label", F.substr("text", place.cast("int"), F.lit(PIECE_CHARS)).alias("piece"))
+        rows = sorted(pieces.groupBy("id", "label").agg(F.min("piece").alias("piece")).collect(), key=lambda r: (r["label"], str(r["id"])))  # pieces of bounded size
+        return tuple([r["piece"].encode() for r in rows if r["label"] == k] for k in (1, 0))
+
+    good, bad = learnt(0)
     if not good or not bad:
-        return Model(prior=(len(good) + 1) / (len(good) + len(bad) + 2) if good or bad else 0.5)
+        n = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
+        more = learnt(1)
+        good, bad = good or more[0], bad or more[1]
+        if not good or not bad:
+            return Model(prior=(n.get(1, 0) + 1) / (sum(n.values()) + 2) if n else 0.5)
 
     def dictionary(samples: list[bytes]) -> bytes:
         try:
@@ -112,10 +128,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         except z.ZstdError:  # too few samples to train on: their texts themselves
             return b"".join(samples)[-dictionary_bytes:] or b"\n"
 
-    # every other row teaches the dictionaries, the rest the calibration
-    model = Model(dictionary(good[::2]), dictionary(bad[::2]), level=level)
-    rest = [(t, 1) for t in (good[1::2] or good)] + [(t, 0) for t in (bad[1::2] or bad)]
-    model.weights = calibrate(Model.features(model.compressors(), [t for t, _ in rest]), np.array([k for _, k in rest], float))
+    model = Model(dictionary(good), dictionary(bad), level=level)
+    sent = docs.sparkSession.sparkContext.broadcast(model.parts())  # two dictionaries of bounded size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tools = Model(*sent.value).compressors()
+        for batch in batches:
+            for a, b, data, offsets in texts_of(pa.table([batch.column(2)], names=["text"])):
+                body = data.tobytes()
+                found = Model.differences(tools, [body[i:j] for i, j in zip(offsets[:-1], offsets[1:])])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a).cast(pa.int32()), pa.array(found)], names=["id", "label", "d"])
+
+    kind = dict(texts.dtypes)["id"]
+    seen = sample(1).select("id", "label", "text").mapInArrow(run, f"id {kind}, label int, d double").groupBy("id", "label").agg(F.min("d").alias("d")).collect()
+    seen = sorted(((r["label"], r["d"]) for r in seen))  # 2 * sample_rows numbers at most
+    if len({k for k, _ in seen}) < 2:  # too few rows for a half of their own
+        tools = model.compressors()
+        seen = [(k, d) for k, part in ((0, bad), (1, good)) for d in Model.differences(tools, part).tolist()]
+    model.curve = calibrate(np.array([d for _, d in seen]), np.array([k for k, _ in seen], float))
     return model
 
 
@@ -123,12 +153,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """``docs`` with a column for the score of each whole text, as last column."""
     place, names = docs.columns.index(text_col), docs.columns
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))])  # whatever the names, they clash with nothing
-    sent = docs.sparkSession.sparkContext.broadcast((model.good, model.bad, model.weights, model.prior, model.level))  # two dictionaries of bounded size
+    sent = docs.sparkSession.sparkContext.broadcast(model.parts())  # two dictionaries of bounded size
     schema = StructType([*inner.schema.fields, StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*sent.value)
-        tools = model.compressors() if model.weights is not None else None
+        tools = model.compressors() if model.curve is not None else None
         for batch in batches:
             for a, b, data, offsets in texts_of(pa.table([batch.column(place)], names=["text"])):
                 body = data.tobytes()
