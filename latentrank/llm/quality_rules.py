@@ -3,9 +3,13 @@
 The zstandard ratio (compressed over raw bytes) of a whole document must lie in
 a band that depends on the document's length, since short texts compress less.
 The ratios of its fixed chunks must lie in the band for the chunk length, so
-that a long clean document with a repetitive or random stretch is seen too; a
-document falls when more than ``bad_chunk_share`` of its chunks do.  Documents
-below ``least_bytes`` are left to the base rules: a ratio says nothing there.
+that a long clean document with a repetitive or random stretch is seen too: a
+document falls when more than ``bad_chunk_share`` of its chunks do, or
+``bad_run`` chunks in a row.  (Chunks of clean prose vary little, so up to twenty
+chunks no bad one is let pass; of more, a single one may be a table or a list.)
+Texts of every length have a band; that of the shortest is wide, as there the
+format's own bytes weigh most, and still tells one word over and over.  An empty
+text has no ratio and fails the base rules.
 
 Base rules: fewer than 20 words, or over 30 % of words inside 8-word windows
 that occur twice or more in the text.
@@ -26,9 +30,9 @@ from pyspark.sql import DataFrame
 from .text import U64, Words, mix, plain, texts_of, window_hash
 
 #: (raw bytes up to, lowest ratio, highest ratio) of whole documents.
-WHOLE_BANDS = ((128, 0.35, 1.60), (256, 0.40, 1.00), (512, 0.36, 0.95), (1024, 0.32, 0.90), (2048, 0.30, 0.85), (4096, 0.28, 0.80), (16384, 0.25, 0.78), (None, 0.18, 0.75))
+WHOLE_BANDS = ((64, 0.60, 2.00), (128, 0.35, 1.60), (256, 0.40, 1.00), (512, 0.36, 0.95), (1024, 0.32, 0.90), (2048, 0.30, 0.85), (4096, 0.28, 0.80), (16384, 0.25, 0.78), (None, 0.18, 0.75))
 #: The same for chunks.
-CHUNK_BANDS = ((1024, 0.30, 0.90), (None, 0.26, 0.85))
+CHUNK_BANDS = ((None, 0.26, 0.75),)
 SYMBOLS = b"#*$%&|<>"
 CHUNK_BYTES = 4096
 
@@ -72,7 +76,7 @@ def duplicate_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = 20, max_repeat_percent: int = 30, whole_bands=WHOLE_BANDS, chunk_bands=CHUNK_BANDS, chunk_bytes: int = CHUNK_BYTES, bad_chunk_share: float = 0.34, least_bytes: int = 64, level: int = 3) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = 20, max_repeat_percent: int = 30, whole_bands=WHOLE_BANDS, chunk_bands=CHUNK_BANDS, chunk_bytes: int = CHUNK_BYTES, bad_chunk_share: float = 0.05, bad_run: int = 2, level: int = 3) -> DataFrame:
     """Counts, base verdict, ratios and verdict of every whole text.
 
     Returns ``id_col``, n_words, word_chars, n_symbols, n_dup_lines,
@@ -85,20 +89,21 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def compressed(c, body: bytes) -> tuple:
         n = len(body)
-        if n < least_bytes:
-            return None, None, None, 0, 0, True
+        if not n:
+            return None, None, None, 0, 0, False
         ratio = len(c.compress(body)) / n
         low, high = band(whole_bands, n)
         # a last piece of under half a chunk joins the one before it
         cuts = list(range(0, max(1, n - chunk_bytes // 2), chunk_bytes))
-        ratios, bad = [], 0
+        ratios, bad, run, longest = [], 0, 0, 0
         for a, b in zip(cuts, [*cuts[1:], n]):
             r = len(c.compress(body[a:b])) / (b - a) if len(cuts) > 1 else ratio
             if len(cuts) > 1:
                 x, y = band(chunk_bands, b - a)
-                bad += not x <= r <= y
+                run = 0 if x <= r <= y else run + 1
+                bad, longest = bad + (run > 0), max(longest, run)
             ratios.append(r)
-        return ratio, min(ratios), max(ratios), len(cuts), bad, low <= ratio <= high and bad <= bad_chunk_share * len(cuts)
+        return ratio, min(ratios), max(ratios), len(cuts), bad, low <= ratio <= high and bad <= bad_chunk_share * len(cuts) and longest < bad_run
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
