@@ -5,8 +5,10 @@ BPE merges never cross from one marked word into the next, and segmentation of
 a text is the concatenation of the segmentations of its marked words (a run of
 markers with the characters after it).  A task keeps a table from each distinct
 chunk to its ids, asks the library once for chunks that it has not met, and
-joins the ids back by position.  The table is bounded: beyond ``TABLE_CHUNKS``
-entries it starts anew, which costs time and never changes a result.
+joins the ids back by position.  Decoding starts from those ids: a second table
+holds what the library makes of each chunk's ids, and the pieces are joined by
+position too.  The tables are bounded: beyond ``TABLE_CHUNKS`` entries they start
+anew, which costs time and never changes a result.
 
 Whether a model's pieces do keep inside marked words is checked from its
 vocabulary; other models are encoded text by text.
@@ -54,7 +56,7 @@ class ChunkTable:
         self.marked = np.array([p.startswith(MARK) for p in pieces])
         self.names = [f"{i}," for i in range(len(pieces))]
         self.table: dict[str, str] = {}  # a chunk's ids, each with a comma after it
-        self.other: dict[str, str] = {}  # its decoded form, where that differs from the chunk
+        self.back: dict[str, str] = {}  # ids, as in the table, to their text with the space of its marker
         self.runs = re.compile(f"[ {MARK}]+[^ {MARK}]*")
 
     def _identity(self) -> bool:
@@ -74,15 +76,19 @@ class ChunkTable:
             ids = self.lib.encode(line)
             cuts = np.flatnonzero(self.marked[ids]).tolist()
             if len(cuts) == len(part) and self.lib.decode(ids) == line:
-                names = [self.names[i] for i in ids]
-                self.table.update(zip(part, ["".join(names[i:j]) for i, j in zip(cuts, [*cuts[1:], len(names)])]))
+                lists = [ids[i:j] for i, j in zip(cuts, [*cuts[1:], len(ids)])]
+                for c, own in zip(part, lists):
+                    self._keep(c, own)
             else:
                 rest += part
         for c in rest:
             ids = self.lib.encode(c[1:]) if len(c) > 1 else [self.lib.piece_to_id(MARK)]
-            self.table[c] = "".join([self.names[i] for i in ids])
-            if len(c) > 1 and (out := self.lib.decode(ids)) != c[1:]:
-                self.other[c] = " " + out
+            self._keep(c, ids)
+
+    def _keep(self, chunk: str, ids: list[int]) -> None:
+        joined = self.table[chunk] = "".join([self.names[i] for i in ids])
+        if joined not in self.back:
+            self.back[joined] = " " + self.lib.decode(ids)
 
     def chunks(self, text: str) -> list[str]:
         if not text:
@@ -98,21 +104,19 @@ class ChunkTable:
                 ids = self.lib.encode(t)
                 yield len(ids), ",".join(map(str, ids)), self.lib.decode(ids)
             return
-        table, other, cuts = self.table, self.other, [self.chunks(t) for t in texts]
+        table, back, cuts = self.table, self.back, [self.chunks(t) for t in texts]
         distinct = set().union(*cuts)
         if len(table) > self.limit:
             table.clear()
-            other.clear()
+            back.clear()
         self._learn(list(distinct.difference(table)))
         for t, cut in zip(texts, cuts):
-            ids = "".join(map(table.__getitem__, cut))
-            same = not other or other.keys().isdisjoint(cut)
-            out = t.replace(MARK, " ") if same else "".join([other.get(c, c) for c in cut])[1:]
-            yield ids.count(","), ids[:-1], out
+            coded = [table[c] for c in cut]
+            ids = "".join(coded)
+            yield ids.count(","), ids[:-1], "".join([back[x] for x in coded])[1:]
         for c in distinct:
             if len(c) > KEPT_CHARS:
-                del table[c]
-                other.pop(c, None)
+                back.pop(table.pop(c), None)
 
 
 def _id_lists(joined: list[str]) -> pa.Array:

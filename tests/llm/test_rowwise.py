@@ -4,8 +4,8 @@ import zlib
 
 import pytest
 
-from latentrank.llm.quality_classifier import classify, fit
-from latentrank.llm.quality_rules import quality_rules
+from latentrank.llm.quality_classifier import classify, fit, score
+from latentrank.llm.quality_rules import WHOLE_BANDS, quality_rules
 from latentrank.llm.sentencepiece_codec import default_model, encode_decode
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -43,9 +43,28 @@ def test_bands_reject_repetition_and_noise(spark):
     parts = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
     prose = " ".join("".join(rng.choices(parts, k=rng.randrange(1, 4))) for _ in range(900))
     noise = " ".join("".join(chr(rng.randrange(33, 1000)) for _ in range(9)) for _ in range(300))
-    docs = spark.createDataFrame([(0, prose), (1, noise), (2, "abcdefg " * 900)], "doc_id bigint, text string")
-    kept = {r.doc_id: r.kept for r in quality_rules(docs).collect()}
-    assert kept[0] and not kept[1] and not kept[2], kept
+    many = " ".join("".join(rng.choices(parts, k=rng.randrange(1, 4))) for _ in range(100_000))
+    junk = lambda n: "".join(chr(rng.randrange(33, 126)) if rng.random() < 0.95 else " " for _ in range(n))
+    texts = {0: prose, 1: noise, 2: "abcdefg " * 900, 3: many, 4: prose + " " + "xy " * 1400 + prose, 5: many[:200_000] + junk(14_000) + many[200_000:]}
+    texts |= {6: "a " * 25, 7: " ".join("qwertyuiopasdfghjklzxcvb"), 8: many[:60_000] + junk(4200) + many[60_000:90_000] + junk(4200) + many[90_000:130_000]}
+    rows = {r.doc_id: r for r in quality_rules(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
+    assert {k: r.kept for k, r in rows.items()} == {0: True, 1: False, 2: False, 3: True, 4: False, 5: False, 6: False, 7: True, 8: False}
+    assert rows[6].base_failed and not rows[5].base_failed and not rows[8].base_failed
+    for k, t in texts.items():
+        assert rows[k].kept == (not rows[k].base_failed and verdict(t.encode())), k
+
+
+def verdict(b):
+    """The bands, written out again: whole text, pieces of 4 KiB, runs of bad pieces."""
+    import zstandard as z
+
+    ratio = lambda x: len(z.ZstdCompressor(level=3, write_content_size=False, write_checksum=False).compress(x)) / len(x)
+    low, high = next((a, c) for n, a, c in WHOLE_BANDS if n is None or len(b) <= n)
+    pieces = [b[i : i + 4096] for i in range(0, len(b), 4096)]
+    if len(pieces) > 1 and len(pieces[-1]) <= 2048:
+        pieces[-2:] = [pieces[-2] + pieces[-1]]
+    bad = [] if len(pieces) < 2 else [not 0.26 <= ratio(x) <= 0.75 for x in pieces]
+    return low <= ratio(b) <= high and sum(bad) <= 0.05 * len(pieces) and not any(x and y for x, y in zip(bad, bad[1:]))
 
 
 def test_rules_keep_good_documents(spark):
@@ -89,7 +108,26 @@ def test_classifier_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = classify(docs, labels, sample_rows=1500).join(labels, "doc_id").where("held_out").collect()
     assert all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in got)
-    assert sum((r.predicted == 1) == (r.quality == 1) for r in got) >= 0.96 * len(got)
+    assert sum((r.predicted == 1) == (r.quality == 1) for r in got) >= 0.97 * len(got)
+    good, bad = ([r.score for r in got if r.quality == k] for k in (1, 0))
+    assert sum(g > b for g in good for b in bad) >= 0.97 * len(good) * len(bad)
+
+
+def test_scores_follow_from_whole_texts(spark):
+    """The score is the curve at the difference of the two sizes, piece by piece, over all of a text."""
+    import math
+
+    import zstandard as z
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = fit(docs, labels)
+    tools = [z.ZstdCompressor(level=3, dict_data=z.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (model.good, model.bad)]
+    got = score(docs.select("doc_id", "text"), model).collect()
+    for r in got[:60]:
+        t = r.text.encode()
+        good, bad = (sum(len(c.compress(t[i : i + 1024])) for i in range(0, len(t), 1024)) for c in tools)
+        assert abs(r.score - 1 / (1 + math.exp(-(model.curve[0] + model.curve[1] * (bad - good) / max(len(t), 1))))) < 1e-9
+    assert model.curve[1] > 0
 
 
 def test_classifier_odd_rows(spark, odd_docs):
@@ -98,10 +136,23 @@ def test_classifier_odd_rows(spark, odd_docs):
     assert len(got) == odd_docs.count() and all(0 <= r.score <= 1 for r in got)
     assert classify(odd_docs, labels.limit(0)).where("score <> 0.5").count() == 0
     assert classify(odd_docs.limit(0), labels).count() == 0
-    assert fit(odd_docs.limit(0), labels).weights is None
+    assert fit(odd_docs.limit(0), labels).curve is None
 
 
 def test_rowwise_empty_tables(spark, odd_docs):
     assert quality_rules(odd_docs.limit(0)).count() == 0
     assert encode_decode(odd_docs.limit(0)).count() == 0
     assert quality_rules(odd_docs).count() == odd_docs.count()
+
+
+def test_decoding_starts_from_the_ids():
+    """Ids of another word in the table change both what is encoded and what is decoded."""
+    from latentrank.llm.sentencepiece_codec import ChunkTable
+
+    t = ChunkTable(open(default_model(), "rb").read())
+    texts = ["some words here", "here  again\tand ünïcode ✓"]
+    sound = list(t.code(texts))
+    assert [x[2] for x in sound] == texts
+    t.table[" here"] = t.table[" words"]
+    damaged = list(t.code(texts))
+    assert damaged[0][1] != sound[0][1] and damaged[0][2] == "some words words"
