@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES, MOST_TEXTS = 1 << 20, 4096
 #: Words longer than this are hashed by the library: a polynomial modulo 2 ** 64 can be led into collisions by long structured ones.
 LONG_WORD = 32
 WORD = r"[^\x20\x09-\x0D]+"
@@ -68,10 +68,10 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(offsets: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of whole texts of about ``size`` bytes."""
+    """Ranges of whole texts of about ``size`` bytes, ``MOST_TEXTS`` at most."""
     n, at = len(offsets) - 1, 0
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
+        to = max(at + 1, min(at + MOST_TEXTS, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1))
         yield at, min(n, to)
         at = to
 
