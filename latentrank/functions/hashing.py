@@ -28,14 +28,15 @@ def below(h: Column, n: Column) -> Column:
     return F.pmod(F.conv(F.substring(h, 1, 13), 16, 10).cast("bigint"), n)
 
 
-def with_rank(df: DataFrame, groups: Sequence[str], order: str, ties: Sequence[str], name: str = "rank") -> DataFrame:
-    """Adds each row's place (from 1) within its group by ``order``, a hex string.
+def with_rank(df: DataFrame, groups: Sequence[str], order: str, ties: Sequence[str], name: str = "rank", cut: Column | None = None) -> DataFrame:
+    """Adds each row's place (from 1) within its group by ``order``, a draw.
 
     Equal to one ``row_number`` per group, but no group meets in a task: rows
-    are ranked within the order's first three digits, and the counts of the
-    earlier digits (at most 4096 a group) are added.
+    are ranked within cuts, and the counts of the earlier cuts are added.  A cut
+    is the draw's first three digits (at most 4096 a group); an order that is no
+    draw needs a ``cut`` that follows it and parts its rows evenly.
     """
-    cut = df.withColumn("__cut", F.substring(order, 1, 3))
+    cut = df.withColumn("__cut", F.substring(order, 1, 3) if cut is None else cut)
     sizes = cut.groupBy(*groups, "__cut").agg(F.count("*").alias("__n"))
     earlier = Window.partitionBy(*groups).orderBy("__cut").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col("__cut").alias("__at"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))

@@ -27,18 +27,23 @@ def embedding_cache_key(kind: str, model: str | None, options: dict) -> str:
     return prompt_hash(kind, model or DEFAULT_EMBEDDING_MODELS[kind], json.dumps(kept, sort_keys=True))
 
 
+def _by_text(docs: DataFrame, cached: DataFrame, how: str) -> DataFrame:
+    """A null text is a text like any other."""
+    return docs.join(cached.withColumnRenamed("text", "__text"), F.col("text").eqNullSafe(F.col("__text")), how)
+
+
 def misses(docs: DataFrame, cached: DataFrame) -> DataFrame:
     """Documents whose text the cache lacks."""
-    return docs.join(cached.select("text"), "text", "left_anti")
+    return _by_text(docs, cached.select("text"), "left_anti")
 
 
 def hits(docs: DataFrame, cached: DataFrame) -> DataFrame:
-    return docs.join(cached.select("text"), "text", "left_semi")
+    return _by_text(docs, cached.select("text"), "left_semi")
 
 
 def gather(docs: DataFrame, cached: DataFrame) -> DataFrame:
     """(doc_id, embedding): by text; the cache's texts are distinct."""
-    return docs.select("doc_id", "text").join(cached.select("text", "embedding"), "text").select("doc_id", "embedding")
+    return _by_text(docs.select("doc_id", "text"), cached.select("text", "embedding"), "inner").select("doc_id", "embedding")
 
 
 def fetch(texts: DataFrame, embedder: Embedder, model: str | None = None, chunk_size: int = 20, partitions: int = 5, **options) -> DataFrame:
@@ -72,7 +77,6 @@ def get_embeddings(docs: DataFrame, cache: str | None = None, kind: str = "text"
         warnings.warn(f"Embeddings cache '{cache}' does not record which model produced it. Assuming it matches the current call; delete the table if not.", stacklevel=2)
         legacy = True
         cached = store.saved(table.select("text", F.col("embedding").cast("array<double>")).dropDuplicates(["text"]))
-        store.delete(spark, cache)
     else:
         cached = store.read_entry(spark, cache, key)
     wanted = docs.select("doc_id", "text")
@@ -89,7 +93,10 @@ def get_embeddings(docs: DataFrame, cache: str | None = None, kind: str = "text"
         # written once: asking costs money, and a lost executor must not ask again
         fresh = store.saved(fetch(new, embedder, model, **options))
         cached = fresh if cached is None else cached.select("text", "embedding").unionByName(fresh)
-    if cache is not None and (n_new or legacy):
+    if cache is not None and legacy:
+        store.replace_table(cached.select("text", "embedding"), cache, key)
+        cached = store.read_entry(spark, cache, key)
+    elif cache is not None and n_new:
         store.write_entry(cached.select("text", "embedding"), cache, key)
         cached = store.read_entry(spark, cache, key)
     return gather(wanted, cached)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import draw, with_rank
 from ..functions.scalars import difference, label, not_tie
 from ..sources.cache import saved
-from .solvers import Moments, deviance, fit_path, lambda_path, linear_svm, newton, sigmoid, statistics
+from .solvers import Moments, deviance, fit_path, lambda_path, linear_svm, newton, path_ends, sigmoid, statistics
 
 log = logging.getLogger(__name__)
 
@@ -160,20 +160,25 @@ def _path_on_cluster(design: DataFrame, m: Moments, lambdas: np.ndarray, alpha:
         return stat, rows
 
     start = (float(np.log(max(m.ybar, 1e-9) / max(1 - m.ybar, 1e-9))), np.zeros(p))
-    fits, total = [], np.zeros(len(lambdas))
+    fits, total, reached = [], np.zeros(len(lambdas)), len(lambdas)
     for out in range(-1, folds):
         stat, rows = stat_without(out)
         own = m if out < 0 else moments(rows)
         at, path = start, []
-        for lam in lambdas:
-            at = newton(stat, own.n, own, lam, alpha, at, tol=1e-6)
+        empty, share = stat(*start)[2], 0.0
+        for k, lam in enumerate(lambdas):
+            at = newton(stat, own.n, own, lam, alpha, at, tol=1e-7)
             path.append(at)
+            before, share = share, 1 - stat(*at)[2] / empty if empty > 0 else 1.0
+            if path_ends(k, before, share):
+                break
+        reached = min(reached, len(path))
         if out < 0:
             fits = path
         else:
             held = design.where(F.col("fold") == out)
-            total += summed(held, lambda x, y, _k, path=path: [[deviance(x, y, f) for f in path]])[0]
-    return fits, total
+            total[: len(path)] += summed(held, lambda x, y, _k, path=path: [[deviance(x, y, f) for f in path]])[0]
+    return fits, total[:reached]
 
 
 def fit_model(comparisons: DataFrame, embeddings: DataFrame, method: str = "ridge", alpha: float = 0.5, nlambda: int = 200, lambda_min_ratio: float = 1e-9, refit: bool = False, *, folds: int = FOLDS, seed: int | None = None, lambda_: float | None = None, cost: float = 1.0, task_cells: int = TASK_CELLS) -> ScaleModel:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import below, coin, draw, with_rank
@@ -23,6 +23,8 @@ log = logging.getLogger(__name__)
 CELL = 2000
 #: Draws of one task row.
 DRAWS = 10_000
+#: Draws for each wanted pair before a sample is given up; half of all pairs take three at most, but for chance.
+MOST_TIMES = 1 << 12
 
 
 def split_documents(docs: DataFrame, prop: float | None = None, holdout: str | None = None, seed: int | None = None) -> DataFrame:
@@ -80,16 +82,25 @@ def allocate(sizes: DataFrame, budgets: DataFrame | int | None, seed: int | None
     else:
         rows = sizes.withColumn("budget", F.lit(budgets).cast("bigint"))
     keys = ["split"] if "split" in sizes.columns else []
-    per = Window.partitionBy(*keys)
-    rows = rows.withColumn("total", F.sum("n_possible").over(per))
+
+    def with_total(rows: DataFrame, total, name: str) -> DataFrame:
+        """Adds a sum over each split; there are few splits."""
+        sums = rows.groupBy(*keys).agg(total.alias(name)) if keys else rows.agg(total.alias(name))
+        if not keys:
+            return rows.join(F.broadcast(sums))
+        return rows.join(F.broadcast(sums.withColumnRenamed("split", "__split")), F.col("split").eqNullSafe(F.col("__split"))).drop("__split")
+
+    rows = with_total(rows, F.sum("n_possible"), "total")
     rows = rows.withColumn("budget", F.when(F.col("budget").isNull() | (F.col("budget") > F.col("total")), F.col("total")).otherwise(F.col("budget")))
     # products beyond 64 bits are taken as decimals
     product = F.col("n_possible").cast("decimal(20,0)") * F.col("budget").cast("decimal(18,0)")
     rows = rows.withColumn("base", F.expr("CAST(CAST(n_possible AS DECIMAL(20,0)) * CAST(budget AS DECIMAL(17,0)) DIV total AS BIGINT)")).withColumn("frac", product % F.col("total"))
-    rows = rows.withColumn("left", F.col("budget") - F.sum("base").over(per))
-    order = Window.partitionBy(*keys).orderBy(F.col("frac").desc(), draw(seed, "alloc", *keys, block), block)
-    rows = rows.withColumn("target", F.least(F.col("base") + (F.row_number().over(order) <= F.col("left")).cast("bigint"), F.col("n_possible")))
-    return rows.drop("total", "budget", "base", "frac", "left")
+    rows = with_total(rows, F.first("budget") - F.sum("base"), "left")
+    # the largest remainders first, ranked in cuts of the remainder's share
+    rows = rows.withColumn("__order", F.struct((-F.col("frac")).alias("f"), draw(seed, "alloc", *keys, block).alias("h")))
+    rows = with_rank(rows, keys, "__order", [block], "__r", cut=-F.floor(F.col("frac").cast("double") * 4096 / F.col("total")))
+    rows = rows.withColumn("target", F.least(F.col("base") + (F.col("__r") <= F.col("left")).cast("bigint"), F.col("n_possible")))
+    return rows.drop("total", "budget", "base", "frac", "left", "__order", "__r")
 
 
 def _listed(docs: DataFrame, targets: DataFrame, groups: list[str], seed: int | None, largest: int) -> DataFrame:
@@ -121,7 +132,7 @@ def _drawn(docs: DataFrame, targets: DataFrame, groups: list[str], seed: int | N
             on = on & F.col(g).eqNullSafe(F.col(f"__{g}"))
         draws = draws.join(i, on).drop("__at", *[f"__{g}" for g in groups])
     pairs = draws.groupBy(*groups, F.least("first_id", "second_id").alias("lo"), F.greatest("first_id", "second_id").alias("hi")).agg(F.min("j").alias("j"), F.first("target").alias("target"))
-    ranked = with_rank(pairs.withColumn("__h", F.lpad(F.hex("j"), 16, "0")).withColumn("__h", F.substring("__h", 5, 12)), groups, "__h", ["lo", "hi"], "__r")
+    ranked = with_rank(pairs, groups, "j", ["lo", "hi"], "__r", cut=F.floor(F.col("j") / DRAWS))
     return ranked.where(F.col("__r") <= F.col("target")).select(*groups, "lo", "hi")
 
 
@@ -139,8 +150,10 @@ def sample_pairs(docs: DataFrame, targets: DataFrame, groups: list[str], seed: i
         times, got = 2, None
         while True:  # a group can fall short by chance; more draws keep those made so far
             got = saved(_drawn(members, few, groups, seed, times))
-            if times > 8 or got.count() >= seen[True]["wanted"]:
+            if got.count() >= seen[True]["wanted"]:
                 break
+            if times >= MOST_TIMES:
+                raise RuntimeError(f"{times} draws for each wanted pair did not give {seen[True]['wanted']:,} distinct pairs.")
             times *= 2
         parts.append(got)
     if not parts:
@@ -175,7 +188,7 @@ def generate_comparisons(docs: DataFrame, n_train: int | None = 10000, n_test: i
     if docs.limit(2).count() < 2:
         raise ValueError("`documents` must contain at least 2 elements.")
     if holdout is not None and prop is not None:
-        raise ValueError("Supply either `holdout` or `prop`, not both.")
+        raise ValueError("Give `holdout` or `prop`, not both of them.")
     if prop is not None and not 0 < prop < 1:
         raise ValueError("`prop` must lie between 0 and 1.")
     if holdout is not None:

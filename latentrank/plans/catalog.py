@@ -8,7 +8,6 @@ one judgement in sixteen is turned by a hash.
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Callable
 
 import numpy as np
@@ -59,8 +58,13 @@ def _emb(spark, sf_dir):
     return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"))
 
 
+def _blocked(spark, sf_dir):
+    """All documents, in many small blocks."""
+    return _docs(spark, sf_dir).withColumn("block", F.concat_ws("/", "source", "lang", F.col("n_chars") % 7))
+
+
 def _own(spark, sf_dir):
-    """Documents that have an embedding."""
+    """Documents that have an embedding, for what is fitted to embeddings."""
     return _docs(spark, sf_dir).join(_emb(spark, sf_dir).select("doc_id"), "doc_id")
 
 
@@ -86,12 +90,17 @@ E = "e AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v FROM embeddings)"
 D = "d AS (SELECT d.*, (floor(d.doc_id / 20)::BIGINT % 5) = 0 AS holdout, CASE WHEN (floor(d.doc_id / 20)::BIGINT % 5) = 0 THEN 'test' ELSE 'train' END AS split FROM documents d WHERE d.doc_id IN (SELECT doc_id FROM e))"
 
 
+W = "d AS (SELECT d.*, (floor(d.doc_id / 20)::BIGINT % 5) = 0 AS holdout, CASE WHEN (floor(d.doc_id / 20)::BIGINT % 5) = 0 THEN 'test' ELSE 'train' END AS split, concat_ws('/', source, lang, n_chars % 7) AS block FROM documents d)"
+
+
 def _draw(role, *keys):
     return f"md5(concat_ws('_', '{SEED}', '{role}', {', '.join(keys)}))"
 
 
 SWAPPED = f"""p AS (SELECT split, block, CASE WHEN {_draw('swap', 'lo', 'hi')} < '8' THEN hi ELSE lo END AS doc_id_a, CASE WHEN {_draw('swap', 'lo', 'hi')} < '8' THEN lo ELSE hi END AS doc_id_b
   FROM (SELECT a.split, a.source AS block, a.doc_id AS lo, b.doc_id AS hi FROM d a JOIN d b ON a.split = b.split AND a.source = b.source AND a.doc_id < b.doc_id))"""
+TURNED = f"""p AS (SELECT split, block, CASE WHEN {_draw('swap', 'lo', 'hi')} < '8' THEN hi ELSE lo END AS doc_id_a, CASE WHEN {_draw('swap', 'lo', 'hi')} < '8' THEN lo ELSE hi END AS doc_id_b
+  FROM (SELECT a.split, a.block, a.doc_id AS lo, b.doc_id AS hi FROM d a JOIN d b ON a.split = b.split AND a.block = b.block AND a.doc_id < b.doc_id))"""
 LATENT = f"l AS (SELECT doc_id, round(list_dot_product(v, {_list(V)}), 9) AS s FROM e)"
 JUDGED = f"""{E}, {D}, {SWAPPED}, {LATENT},
 j AS (SELECT p.*, CASE WHEN abs(a.s - b.s) < 0.05 THEN 'tie' WHEN (a.s > b.s) != starts_with({_draw('noise', 'doc_id_a', 'doc_id_b')}, '0') THEN 'A' ELSE 'B' END AS winner
@@ -104,9 +113,9 @@ r AS (SELECT j.*, round(1 / (1 + exp(-(a.score - b.score))), 9) AS prob FROM j J
 # --- pairs -----------------------------------------------------------------
 
 
-@query(f"WITH {E}, {D} SELECT a.doc_id AS lo, b.doc_id AS hi FROM d a JOIN d b ON a.doc_id < b.doc_id")
+@query("SELECT a.doc_id AS lo, b.doc_id AS hi FROM documents a JOIN documents b ON a.doc_id < b.doc_id")
 def all_pairs(spark, sf_dir):
-    return pairs.all_pairs(_own(spark, sf_dir), [], 4)
+    return pairs.all_pairs(_docs(spark, sf_dir), [], 4)
 
 
 @query("SELECT a.source AS block, a.doc_id AS lo, b.doc_id AS hi FROM documents a JOIN documents b ON a.source = b.source AND a.doc_id < b.doc_id")
@@ -114,9 +123,9 @@ def block_pairs(spark, sf_dir):
     return pairs.all_pairs(_docs(spark, sf_dir).withColumn("block", F.col("source")), ["block"])
 
 
-@query(f"WITH {E}, {D} SELECT a.split, a.doc_id AS lo, b.doc_id AS hi FROM d a JOIN d b ON a.split = b.split AND a.doc_id < b.doc_id")
+@query(f"WITH {W} SELECT a.split, a.doc_id AS lo, b.doc_id AS hi FROM d a JOIN d b ON a.split = b.split AND a.doc_id < b.doc_id")
 def split_pairs_holdout(spark, sf_dir):
-    return pairs.all_pairs(pairs.split_documents(_own(spark, sf_dir), holdout="holdout"), ["split"], 3)
+    return pairs.all_pairs(pairs.split_documents(_docs(spark, sf_dir), holdout="holdout"), ["split"], 3)
 
 
 @query(f"SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {_draw('split', 'doc_id')}, doc_id) <= floor(0.8 * (SELECT count(*) FROM documents)) THEN 'train' ELSE 'test' END AS split FROM documents")
@@ -124,13 +133,13 @@ def split_docs_prop(spark, sf_dir):
     return pairs.split_documents(_docs(spark, sf_dir), prop=0.8, seed=SEED).select("doc_id", "split")
 
 
-@query(f"WITH {E}, {D} SELECT split, count(*) AS n_docs, (count(*) * (count(*) - 1) // 2)::BIGINT AS n_possible FROM d GROUP BY split")
+@query(f"WITH {W} SELECT split, count(*) AS n_docs, (count(*) * (count(*) - 1) // 2)::BIGINT AS n_possible FROM d GROUP BY split")
 def group_sizes(spark, sf_dir):
-    return pairs.group_sizes(pairs.split_documents(_own(spark, sf_dir), holdout="holdout"), ["split"])
+    return pairs.group_sizes(pairs.split_documents(_docs(spark, sf_dir), holdout="holdout"), ["split"])
 
 
-def _targets_sql(n):
-    return f"""sizes AS (SELECT lang AS block, count(*) AS n_docs, (count(*) * (count(*) - 1) // 2)::BIGINT AS n_possible FROM d GROUP BY lang HAVING count(*) > 1),
+def _targets_sql(n, block="lang"):
+    return f"""sizes AS (SELECT {block} AS block, count(*) AS n_docs, (count(*) * (count(*) - 1) // 2)::BIGINT AS n_possible FROM d GROUP BY {block} HAVING count(*) > 1),
     shares AS (SELECT *, sum(n_possible) OVER () AS total, least({n}, sum(n_possible) OVER ()) AS budget FROM sizes),
     floors AS (SELECT *, (n_possible::HUGEINT * budget // total)::BIGINT AS base, n_possible::HUGEINT * budget % total AS frac FROM shares),
     targets AS (SELECT block, n_docs, n_possible, (base + (row_number() OVER (ORDER BY frac DESC, {_draw('alloc', 'block')}, block) <= budget - sum(base) OVER ())::INT)::BIGINT AS target FROM floors)"""
@@ -142,46 +151,46 @@ def alloc_targets(spark, sf_dir):
     return pairs.allocate(pairs.group_sizes(d, ["block"]), 1001, SEED).select("block", "n_docs", "n_possible", "target")
 
 
-def _all_of(d, share):
-    """A budget of a share of all pairs within languages."""
-    return int(pairs.group_sizes(d, ["block"]).agg(F.sum("n_possible")).first()[0] * share)
-
-
-@query(f"WITH {E}, {D} SELECT lo, hi FROM (SELECT a.doc_id AS lo, b.doc_id AS hi, row_number() OVER (ORDER BY {_draw('pair', 'a.doc_id', 'b.doc_id')}, a.doc_id, b.doc_id) AS r, count(*) OVER () AS n FROM d a JOIN d b ON a.doc_id < b.doc_id) WHERE r <= 3 * n // 4")
+@query(f"WITH {W} SELECT block, lo, hi FROM (SELECT a.block, a.doc_id AS lo, b.doc_id AS hi, row_number() OVER (PARTITION BY a.block ORDER BY {_draw('pair', 'a.doc_id', 'b.doc_id')}, a.doc_id, b.doc_id) AS r, count(*) OVER (PARTITION BY a.block) AS n FROM d a JOIN d b ON a.block = b.block AND a.doc_id < b.doc_id) WHERE r <= 3 * n // 4")
 def sample_pairs(spark, sf_dir):
-    d = _own(spark, sf_dir)
-    t = pairs.group_sizes(d.withColumn("block", F.lit("all")), ["block"]).withColumn("target", F.floor(3 * F.col("n_possible") / 4))
-    return pairs.sample_pairs(d.withColumn("block", F.lit("all")), t, ["block"], SEED).select("lo", "hi")
+    d = _blocked(spark, sf_dir)
+    t = pairs.group_sizes(d, ["block"]).withColumn("target", F.floor(3 * F.col("n_possible") / 4))
+    return pairs.sample_pairs(d, t, ["block"], SEED)
 
 
 @query(
-    f"""WITH {E}, {D}, {_targets_sql('(SELECT sum(c * (c - 1) // 2) * 2 // 3 FROM (SELECT count(*) AS c FROM d GROUP BY lang))')},
-    ranked AS (SELECT a.lang AS block, a.doc_id AS lo, b.doc_id AS hi, row_number() OVER (PARTITION BY a.lang ORDER BY {_draw('pair', 'a.doc_id', 'b.doc_id')}, a.doc_id, b.doc_id) AS r FROM d a JOIN d b ON a.lang = b.lang AND a.doc_id < b.doc_id)
+    f"""WITH {W}, {_targets_sql('(SELECT sum(c * (c - 1) // 2) * 2 // 3 FROM (SELECT count(*) AS c FROM d GROUP BY block))', 'block')},
+    ranked AS (SELECT a.block, a.doc_id AS lo, b.doc_id AS hi, row_number() OVER (PARTITION BY a.block ORDER BY {_draw('pair', 'a.doc_id', 'b.doc_id')}, a.doc_id, b.doc_id) AS r FROM d a JOIN d b ON a.block = b.block AND a.doc_id < b.doc_id)
     SELECT block, lo, hi FROM ranked JOIN targets USING (block) WHERE r <= target"""
 )
 def sample_pairs_blocked(spark, sf_dir):
-    d = _own(spark, sf_dir).withColumn("block", F.col("lang"))
+    d = _blocked(spark, sf_dir)
     sizes = pairs.group_sizes(d, ["block"])
     total = sizes.agg(F.sum("n_possible")).first()[0]
     return pairs.sample_pairs(d, pairs.allocate(sizes, total * 2 // 3, SEED), ["block"], SEED)
 
 
-@query()
+@query(
+    f"""WITH i AS (SELECT doc_id, row_number() OVER (ORDER BY {_draw('index', 'doc_id')}, doc_id) AS at FROM documents),
+    j AS (SELECT j, n, ('0x' || substr({_draw('first', 'j')}, 1, 13))::BIGINT % n + 1 AS a, ('0x' || substr({_draw('second', 'j')}, 1, 13))::BIGINT % n + 1 AS b FROM (SELECT unnest(generate_series(0, 4064)) AS j), (SELECT count(*) AS n FROM documents)),
+    p AS (SELECT least(x.doc_id, y.doc_id) AS lo, greatest(x.doc_id, y.doc_id) AS hi, min(j) AS j FROM j JOIN i x ON x.at = a JOIN i y ON y.at = b WHERE a <> b GROUP BY 1, 2 ORDER BY 3 LIMIT 2000)
+    SELECT CASE WHEN {_draw('swap', 'lo', 'hi')} < '8' THEN hi ELSE lo END AS doc_id_a, CASE WHEN {_draw('swap', 'lo', 'hi')} < '8' THEN lo ELSE hi END AS doc_id_b FROM p"""
+)
 def sample_pairs_sparse(spark, sf_dir):
     """Far fewer pairs than possible: drawn by index, never listed."""
     return pairs.generate_comparisons(_docs(spark, sf_dir).select("doc_id", "text"), n_train=2000, seed=SEED).select("doc_id_a", "doc_id_b")
 
 
-@query(f"WITH {E}, {D}, {SWAPPED} SELECT doc_id_a, doc_id_b, split, block FROM p")
+@query(f"WITH {W}, {TURNED} SELECT doc_id_a, doc_id_b, split, block FROM p")
 def swap_slots(spark, sf_dir):
-    d = pairs.split_documents(_own(spark, sf_dir), holdout="holdout").withColumn("block", F.col("source"))
+    d = pairs.split_documents(_blocked(spark, sf_dir), holdout="holdout")
     return pairs.swap_slots(pairs.all_pairs(d, ["split", "block"]), SEED).select("doc_id_a", "doc_id_b", "split", "block")
 
 
-@query(f"WITH {E}, {D}, {SWAPPED} SELECT doc_id_a, doc_id_b, md5(a.text) AS hash_a, md5(b.text) AS hash_b, split, block FROM p JOIN documents a ON a.doc_id = doc_id_a JOIN documents b ON b.doc_id = doc_id_b")
+@query(f"WITH {W}, {TURNED} SELECT doc_id_a, doc_id_b, md5(a.text) AS hash_a, md5(b.text) AS hash_b, split, block FROM p JOIN documents a ON a.doc_id = doc_id_a JOIN documents b ON b.doc_id = doc_id_b")
 def pairs_with_text(spark, sf_dir):
-    d = _own(spark, sf_dir)
-    got = pairs.generate_comparisons(d, None, None, holdout="holdout", blocks="source", seed=SEED)
+    d = _blocked(spark, sf_dir)
+    got = pairs.generate_comparisons(d, None, None, holdout="holdout", blocks="block", seed=SEED)
     return got.select("doc_id_a", "doc_id_b", F.md5("text_a").alias("hash_a"), F.md5("text_b").alias("hash_b"), "split", "block")
 
 
@@ -198,7 +207,9 @@ def fold_assign(spark, sf_dir):
 
 @query("SELECT doc_id, ceil(row_number() OVER (ORDER BY doc_id) / 20)::BIGINT AS chunk FROM documents")
 def chunk_assign(spark, sf_dir):
-    r = with_rank(_docs(spark, sf_dir).select("doc_id").withColumn("h", F.lpad(F.hex("doc_id"), 16, "0")), [], "h", ["doc_id"])
+    ids = _docs(spark, sf_dir).select("doc_id")
+    top = ids.agg(F.max("doc_id")).first()[0] or 0
+    r = with_rank(ids.withColumn("h", F.lpad(F.hex("doc_id"), 16, "0")), [], "h", ["doc_id"], cut=F.floor(F.col("doc_id") * 4096 / (top + 1)))
     return r.select("doc_id", F.ceil(F.col("rank") / 20).alias("chunk"))
 
 
@@ -209,11 +220,11 @@ def coin_flips(spark, sf_dir):
 
 # --- prompts, answers, costs, caches ------------------------------------------
 
-BLOCK = f"{E}, {D}, {SWAPPED}, c AS (SELECT p.*, a.text AS text_a, b.text AS text_b FROM p JOIN documents a ON a.doc_id = doc_id_a JOIN documents b ON b.doc_id = doc_id_b)"
+BLOCK = f"{W}, {TURNED}, c AS (SELECT p.*, a.text AS text_a, b.text AS text_b FROM p JOIN documents a ON a.doc_id = doc_id_a JOIN documents b ON b.doc_id = doc_id_b)"
 
 
 def _comparisons(spark, sf_dir):
-    return pairs.generate_comparisons(_own(spark, sf_dir), None, None, holdout="holdout", blocks="source", seed=SEED)
+    return pairs.generate_comparisons(_blocked(spark, sf_dir), None, None, holdout="holdout", blocks="block", seed=SEED)
 
 
 @query(f"WITH {BLOCK} SELECT doc_id_a, doc_id_b, md5('Block ' || block || chr(10) || 'A: ' || text_a || chr(10) || 'B: ' || text_b) AS prompt_md5, length(text_a) + length(text_b) + length(block) + 14 AS prompt_chars FROM c")
@@ -250,7 +261,7 @@ def cost_estimate_text(spark, sf_dir):
     return annotate.cost_estimate(c.withColumn("prompt", S.interpolate(annotate.PROMPT, c.columns)), SYSTEM).select("n", F.round("cost", 9).alias("cost"))
 
 
-@query(f"WITH {E}, {D}, {SWAPPED} SELECT count(*) AS n, round((count(*) * (3000 + {len(SYSTEM)} / 4.0) / 1e6 * 0.75 + count(*) / 1e6 * 4.5) / 2, 9) AS cost FROM p")
+@query(f"WITH {W}, {TURNED} SELECT count(*) AS n, round((count(*) * (3000 + {len(SYSTEM)} / 4.0) / 1e6 * 0.75 + count(*) / 1e6 * 4.5) / 2, 9) AS cost FROM p")
 def cost_estimate_image(spark, sf_dir):
     c = _comparisons(spark, sf_dir).withColumn("prompt", F.col("text_a"))
     return annotate.cost_estimate(c, SYSTEM, batch=True, images=True).select("n", F.round("cost", 9).alias("cost"))
@@ -495,7 +506,7 @@ def _boxes(spark, sf_dir):
     return o.select((F.col("o_custkey") % 50).alias("page"), F.col("o_orderkey").alias("box_id"), F.when(F.col("o_orderstatus") == "F", "L").otherwise("R").alias("col"), (F.floor("o_totalprice").cast("bigint") % 2000).cast("double").alias("y1"))
 
 
-_ABOVE = f"{ENTRIES}, {BOXES}, m AS (SELECT page, entry_id, box_id, y0 - y1 AS gap, row_number() OVER (PARTITION BY page, entry_id ORDER BY y0 - y1, box_id) AS r FROM en JOIN bx USING (page, col) WHERE y0 - y1 BETWEEN -10 AND 250)"
+_ABOVE = f"{ENTRIES}, {BOXES}, m AS (SELECT page, entry_id, box_id, y0 - y1 AS gap, row_number() OVER (PARTITION BY page, entry_id ORDER BY y0 - y1, box_id) AS r FROM en JOIN bx USING (page, col) WHERE y0 - y1 BETWEEN -5 AND 250)"
 
 
 @query(f"WITH {_ABOVE} SELECT page, entry_id, box_id, gap FROM m WHERE r = 1")
@@ -536,9 +547,11 @@ def label_above_match(spark, sf_dir):
 
 
 @query(
-    f"""WITH {LINES}, g AS (SELECT *, coalesce(y0 - lag(y1) OVER w >= -8 AND y0 - lag(y1) OVER w < 20 AND abs(x0 - lag(x0) OVER w) < 30, false) AS goes_on FROM ln WINDOW w AS (PARTITION BY page ORDER BY y0, x0, line_id)),
-    r AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY page ORDER BY y0, x0, line_id ROWS UNBOUNDED PRECEDING) AS run FROM g)
-    SELECT page, first(line_id ORDER BY y0, x0, line_id) AS line_id, string_agg(text, ' ' ORDER BY y0, x0, line_id) AS text, first(x0 ORDER BY y0, x0, line_id) AS x0, min(y0) AS y0, max(y1) AS y1, count(*) AS n_lines FROM r GROUP BY page, run"""
+    f"""WITH RECURSIVE {LINES}, o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y0, x0, line_id) AS i FROM ln),
+    f AS (SELECT page, i, line_id, text, x0, y0, y1, x0 AS x, 1::BIGINT AS run FROM o WHERE i = 1
+      UNION ALL SELECT o.page, o.i, o.line_id, o.text, o.x0, o.y0, o.y1, CASE WHEN o.y0 - f.y1 >= -8 AND o.y0 - f.y1 < 20 AND abs(o.x0 - f.x) < 30 THEN f.x ELSE o.x0 END,
+        CASE WHEN o.y0 - f.y1 >= -8 AND o.y0 - f.y1 < 20 AND abs(o.x0 - f.x) < 30 THEN f.run ELSE f.run + 1 END FROM f JOIN o ON o.page = f.page AND o.i = f.i + 1)
+    SELECT page, first(line_id ORDER BY i) AS line_id, string_agg(text, ' ' ORDER BY i) AS text, first(x0 ORDER BY i) AS x0, first(y0 ORDER BY i) AS y0, last(y1 ORDER BY i) AS y1, count(*) AS n_lines FROM f GROUP BY page, run"""
 )
 def wrapped_lines(spark, sf_dir):
     return layout.merge_wrapped(_lines(spark, sf_dir))
@@ -605,25 +618,25 @@ def _captions(spark, sf_dir):
 )
 def parse_caption(spark, sf_dir):
     c = _captions(spark, sf_dir)
-    chamber, person = layout.parse_name(F.col("name"))
-    town, district = layout.parse_city(F.col("city"))
-    party, term = layout.parse_party(F.col("party"))
+    chamber, person = layout.chamber_and_name(F.col("name"))
+    town, district = layout.home_and_district(F.col("city"))
+    party, term = layout.party_and_term(F.col("party"))
     return c.select("id", chamber.alias("chamber"), person.alias("person"), town.alias("town"), district.alias("district"), party.alias("party"), term.alias("term"))
 
 
 @query(
-    f"""WITH {CAPTION}, t AS (SELECT *, array_to_string(list_transform(string_split(lower(label), ' '), lambda x: upper(x[1]) || x[2:]), ' ') AS title, upper(label) IN ('FRANCE', 'GERMANY', 'UNITED STATES', 'JAPAN') AS listed FROM k)
+    rf"""WITH {CAPTION}, t AS (SELECT *, array_to_string(list_transform(regexp_extract_all(label, '\p{{L}}+|\P{{L}}+'), lambda x: upper(x[1]) || lower(x[2:])), '') AS title, upper(label) IN ('FRANCE', 'GERMANY', 'UNITED STATES', 'JAPAN') AS listed FROM k)
     SELECT id, CASE WHEN listed THEN title WHEN contains(city, ',') THEN trim(split_part(city, ',', -1)) WHEN label != '' THEN title ELSE 'Unknown' END AS region,
     CASE WHEN listed THEN title WHEN contains(city, ',') AND label = '' THEN 'Delegate' WHEN label != '' THEN title ELSE 'Unknown' END AS office FROM t"""
 )
 def parse_region(spark, sf_dir):
-    place, office = layout.region(F.col("label"), F.col("city"), ["FRANCE", "GERMANY", "UNITED STATES", "JAPAN"])
+    place, office = layout.region_and_office(F.col("label"), F.col("city"), ["FRANCE", "GERMANY", "UNITED STATES", "JAPAN"])
     return _captions(spark, sf_dir).select("id", place.alias("region"), office.alias("office"))
 
 
-@query(r"SELECT p_partkey, regexp_replace(regexp_replace(trim(regexp_replace(p_name || ', No. ' || p_brand || '!', '[.,]', '', 'g')), '\s+', '_', 'g'), '[^A-Za-z0-9_-]', '', 'g') AS file FROM part")
+@query(r"SELECT p_partkey, regexp_replace(regexp_replace(trim(regexp_replace(p_name || ', No. ' || p_brand || '!', '[.,]', '', 'g')), '\s+', '_', 'g'), '[^\p{L}\p{N}_-]', '', 'g') AS file FROM part")
 def sanitize_name(spark, sf_dir):
-    return _table(spark, sf_dir, "part").select("p_partkey", layout.sanitize(F.concat("p_name", F.lit(", No. "), "p_brand", F.lit("!"))).alias("file"))
+    return _table(spark, sf_dir, "part").select("p_partkey", layout.file_stem(F.concat("p_name", F.lit(", No. "), "p_brand", F.lit("!"))).alias("file"))
 
 
 @query("SELECT l_orderkey, l_linenumber, greatest(0, trunc((l_quantity - 20) * 1.5)::INT) AS x0, greatest(0, trunc((l_linenumber - 2) * 2.0)::INT) AS y0, least(40, trunc(l_quantity * 1.5)::INT) AS x1, least(9, trunc(l_linenumber * 2.0)::INT) AS y1 FROM lineitem")
@@ -681,10 +694,7 @@ def manifest_csv(spark, sf_dir):
 
 def _fit(spark, sf_dir, method, **kw):
     comparisons, e = _stored(_judged(spark, sf_dir)), _emb(spark, sf_dir)
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        m = model.fit_model(comparisons, e, method, seed=SEED, nlambda=60, lambda_min_ratio=1e-4, **kw)
-    return m, comparisons, e
+    return model.fit_model(comparisons, e, method, seed=SEED, **kw), comparisons, e
 
 
 def _coefficients(spark, m):
@@ -725,25 +735,97 @@ def calibration_index(spark, sf_dir):
 
 @query()
 def validate_ridge(spark, sf_dir):
-    m, comparisons, e = _fit(spark, sf_dir, "ridge", lambda_=0.01)
+    m, comparisons, e = _fit(spark, sf_dir, "ridge")
     return validate.validate_model(m, comparisons, e, force=True).metrics
 
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    m, comparisons, e = _fit(spark, sf_dir, "ridge", lambda_=0.01)
-    return score.score_documents(m, e, ci=True, ci_method="bootstrap", n_boot=50, comparisons=comparisons, seed=SEED)
+    m, comparisons, e = _fit(spark, sf_dir, "ridge")
+    return score.score_documents(m, e, ci=True, ci_method="bootstrap", comparisons=comparisons, seed=SEED)
 
 
 @query()
 def scaling_run(spark, sf_dir):
     """The whole run: pairs, judgements, model, validation, refit, intervals."""
-    m, comparisons, e = _fit(spark, sf_dir, "ridge", lambda_=0.01)
+    m, comparisons, e = _fit(spark, sf_dir, "ridge")
     validate.validate_model(m, comparisons, e, force=True)
-    final = model.fit_model(comparisons, e, "ridge", refit=True, seed=SEED, lambda_=0.01)
+    final = model.fit_model(comparisons, e, "ridge", refit=True, seed=SEED)
     return score.score_documents(final, e, ci=True)
 
 
+# --- the exported steps, from documents on ---------------------------------------
+
+
+def _counted(texts, **options):
+    """A stand-in for an embedding service: characters, spaces and line feeds of a text."""
+    return [[float(len(t)), float(t.count(" ")), float(t.count("\n"))] for t in texts]
+
+
+def _unasked(*args, **options):
+    raise AssertionError("asked, although all of it is cached")
+
+
+def _twice(spark, run):
+    """``run(cache, first)`` fills a new cache, then reads all from it."""
+    import uuid
+
+    at = f"{cache.shared_folder(spark)}/latentrank-cache-{uuid.uuid4().hex}"
+    cache._written.append((spark, at))
+    run(at, True)
+    return run(at, False)
+
+
+@query("SELECT doc_id, length(text)::DOUBLE AS chars, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS spaces, (length(text) - length(replace(text, chr(10), '')))::DOUBLE AS feeds FROM documents")
+def get_embeddings(spark, sf_dir):
+    """Embeddings of all documents, the second time from the cache alone."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = _twice(spark, lambda at, first: embeddings.get_embeddings(d, at, embedder=_counted if first else _unasked))
+    return got.select("doc_id", *[F.col("embedding")[i].alias(c) for i, c in enumerate(("chars", "spaces", "feeds"))])
+
+
+def _longer(prompts, system, model, **options):
+    """A stand-in for a judge: the larger of two numbers, as loosely written as services do."""
+    numbers = [[int(x) for x in p.split(" against ")] for p in prompts]
+    return [" A\n" if a > b else "Tie " if a == b else "B" for a, b in numbers]
+
+
+@query("""WITH c AS (SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, length(a.text) AS n_a, length(b.text) AS n_b, a.text AS text_a, b.text AS text_b FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 20)
+    SELECT doc_id_a, doc_id_b, CASE WHEN n_a > n_b THEN 'A' WHEN n_a = n_b THEN 'tie' ELSE 'B' END AS winner FROM c""")
+def annotate_comparisons(spark, sf_dir):
+    """Each document against the next of its source, the second time from the cache alone."""
+    d = _table(spark, sf_dir, "documents")
+    sides = [d.select(F.col("doc_id").alias(f"doc_id_{s}"), F.col("text").alias(f"text_{s}"), F.length("text").alias(f"n_{s}")) for s in "ab"]
+    c = sides[0].join(sides[1], F.col("doc_id_b") == F.col("doc_id_a") + 20)
+    got = _twice(spark, lambda at, first: annotate.annotate_comparisons(c, "Which text is longer?", "{{n_a}} against {{n_b}}", cache=at, annotator=_longer if first else _unasked))
+    return got.select("doc_id_a", "doc_id_b", "winner")
+
+
+def _digits(texts, **options):
+    """A stand-in for an embedding service: sixteen numbers from the md5 of a text."""
+    import hashlib
+
+    return [[b / 255 for b in hashlib.md5(t.encode()).digest()] for t in texts]
+
+
+@query("""WITH n AS (SELECT count(*) AS n, floor(0.8 * count(*))::BIGINT AS t FROM documents)
+    SELECT n AS documents, (least(4000, t * (t - 1) // 2) + least(2000, (n - t) * (n - t - 1) // 2))::BIGINT AS pairs, true AS order_found, true AS accurate FROM n""")
+def scale_documents(spark, sf_dir):
+    """The whole run from documents to scores, at the defaults of its fits, with
+    judgements by a planted direction: whether the scores follow it."""
+    from . import pipeline
+
+    d = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    latent = lambda t: sum((F.conv(F.substring(F.md5(t), 2 * i + 1, 2), 16, 10).cast("double") / 255 * (i % 5 - 2) for i in range(16)), F.lit(0.0))
+    gap = latent(F.col("text_a")) - latent(F.col("text_b"))
+    turned = F.md5(F.concat("text_a", "text_b")).startswith("0")
+    judge = providers.RuleAnnotator(F.when(F.abs(gap) < 0.05, "tie").when((gap > 0) != turned, "A").otherwise("B"))
+    r = pipeline.scale_documents(d, "Which comes first?", n_train=4000, n_test=2000, seed=SEED, annotator=judge, embedder=_digits, force=True)
+    found = r.scores.join(d.select("doc_id", latent(F.col("text")).alias("latent")), "doc_id").agg(F.count("*").alias("documents"), (F.corr("score", "latent") > 0.95).alias("order_found"))
+    pairs = r.comparisons.agg(F.count("*").alias("pairs"))
+    return found.join(F.broadcast(pairs)).select("documents", "pairs", "order_found", F.lit(r.validation.accuracy > 0.85).alias("accurate"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents scored by a ridge model of planted judgements."""
     return scaling_run(spark, sf_dir)

@@ -8,6 +8,7 @@ and a read touches one key's files only.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -22,9 +23,12 @@ class ForeignCache(ValueError):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a local temporary folder only where it is unset."""
+    """``spark.checkpoint.dir``; where it is unset, a temporary folder of this
+    machine, and only with a local master: other machines would not see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.latentrank.tables", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("Set `spark.checkpoint.dir` to a folder that all executors share.")
         folder = "file://" + tempfile.mkdtemp(prefix="latentrank-")
         spark.conf.set("spark.latentrank.tables", folder)
     return folder.rstrip("/")
@@ -78,6 +82,20 @@ def read_entry(spark: SparkSession, path: str | None, key: str) -> DataFrame | N
     return None if rows.isEmpty() else rows
 
 
+def replace_table(rows: DataFrame, path: str, key: str, keep: bool = False) -> None:
+    """A cache with one entry in place of another table.  It is written beside
+    the old table, which goes (or with ``keep`` gets another name) only then."""
+    spark, turn = rows.sparkSession, uuid.uuid4().hex
+    new, old = f"{path.rstrip('/')}-new-{turn}", f"{path.rstrip('/')}-old-{turn}"
+    rows.withColumn("cache_key", F.lit(key)).write.partitionBy("cache_key").parquet(new)
+    fs, p = _fs(spark, path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    if not (fs.rename(p, at(old)) and fs.rename(at(new), p)):
+        raise OSError(f"'{path}' could not be replaced; see '{old}' and '{new}'.")
+    if not keep:
+        fs.delete(at(old), True)
+
+
 def write_entry(rows: DataFrame, path: str, key: str) -> None:
     """Replaces one key's rows; the others stay.  The rows may come from the
     same table: they are written elsewhere first."""

@@ -27,10 +27,10 @@ def test_wrapped_names_and_styles(spark):
 
 def test_parsing(spark):
     d = spark.createDataFrame([("Sen. Ann Lee", "o/ Utica, N.Y. (at large)", "Rep. — 3rd term"), ("Bo", "Nowhere", "Ind.")], "n string, c string, p string")
-    (chamber, name), (city, district), (party, term) = layout.parse_name(F.col("n")), layout.parse_city(F.col("c")), layout.parse_party(F.col("p"))
+    (chamber, name), (city, district), (party, term) = layout.chamber_and_name(F.col("n")), layout.home_and_district(F.col("c")), layout.party_and_term(F.col("p"))
     got = d.select(chamber, name, city, district, party, term).collect()
     assert [tuple(r) for r in got] == [("Senate", "Ann Lee", "Utica, N.Y.", "at large", "Rep.", "3rd term"), ("House", "Bo", "Nowhere", "", "Ind.", "")]
-    assert d.select(layout.sanitize(F.lit(" J. R.  Smith, Jr.! ")).alias("s")).first().s == "J_R_Smith_Jr"
+    assert d.select(layout.file_stem(F.lit(" J. R.  Smith, Jr.! ")).alias("s")).first().s == "J_R_Smith_Jr"
 
 
 def test_columns_and_gaps(spark):
@@ -68,3 +68,20 @@ def test_dataset_and_checkpoint(spark, tmp_path):
     p.write_text(json.dumps({"version": 1, "stage": "waiting", "batch": {"id": "b", "status": "done", "request_counts": {"total": 3, "completed": 2, "failed": 1}}, "results": None, "started_at": 5}, indent=1))
     r = read_checkpoint(spark, str(p)).first()
     assert r.batch.request_counts.completed == 2 and r.stage == "waiting"
+
+
+def test_boxes_below_an_entry_are_skipped(spark):
+    e = spark.createDataFrame([(1, 1, "L", 100.0)], "page int, entry_id int, col string, y0 double")
+    b = spark.createDataFrame([(1, 7, "L", 108.0), (1, 8, "L", 80.0)], "page int, box_id int, col string, y1 double")
+    assert [tuple(r) for r in layout.nearest_above(e, b).collect()] == [(1, 1, 8, 20.0)]
+
+
+def test_wrapped_lines_are_held_to_the_first(spark):
+    lines = [(1, i, t, x, 12.0 * i, 12.0 * i + 10) for i, (t, x) in enumerate([("a", 0.0), ("b", 20.0), ("c", 40.0), ("d", 15.0)])]
+    got = layout.merge_wrapped(spark.createDataFrame(lines, "page int, line_id int, text string, x0 double, y0 double, y1 double")).collect()
+    assert sorted((r.text, r.x0, r.y1, r.n_lines) for r in got) == [("a b", 0.0, 22.0, 2), ("c d", 40.0, 46.0, 2)]
+
+
+def test_titles(spark):
+    d = spark.createDataFrame([("O'BRIEN county-WEST 2nd",)], "s string")
+    assert d.select(layout.title_case(F.col("s")).alias("t")).first().t == "O'Brien County-West 2Nd"

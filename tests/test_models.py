@@ -36,6 +36,9 @@ def test_planted_truth(spark, method):
         m = fit_model(comp, emb, method, nlambda=60, lambda_min_ratio=1e-4, seed=1)
     assert m.n_pairs == 180 and len(m.beta) == 10
     assert correlation(score_documents(m, emb), latent) > 0.9
+    if method in ("ridge", "svm"):  # without ties
+        _, emb, comp = planted(spark)
+        assert correlation(score_documents(fit_model(comp, emb, method, nlambda=60, lambda_min_ratio=1e-4, seed=1), emb), latent) > 0.95
     if method == "svm":
         assert m.sigma_post is None
         with pytest.raises(ValueError, match="not available"):
@@ -148,3 +151,11 @@ def test_gate():
     with pytest.warns(UserWarning, match="poor calibration"):
         check_quality(make(0.9, 0.11))
     check_quality(make(0.9, 0.05))
+
+
+def test_path_on_cluster_equals_path_in_tasks(spark):
+    """The same lambdas, curve and coefficients, with the path's early end reached."""
+    _, emb, comp = planted(spark)
+    fits = [fit_model(comp, emb, "ridge", nlambda=9, lambda_min_ratio=1e-9, folds=2, seed=1, task_cells=cells) for cells in (0, 1 << 40)]
+    assert len(fits[0].cv) == len(fits[1].cv) < 9
+    assert np.allclose(fits[0].cv, fits[1].cv, rtol=1e-4) and np.allclose(fits[0].beta, fits[1].beta, rtol=1e-3, atol=1e-5)

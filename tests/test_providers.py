@@ -133,3 +133,57 @@ def test_whole_run_and_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 80
     rule = annotate_comparisons(pairs(spark), annotator=RuleAnnotator(F.when(F.col("text_a") < F.col("text_b"), "A").otherwise("B")))
     assert {r.winner for r in rule.collect()} == {"A"}
+
+
+def test_null_texts_are_texts(spark, tmp_path):
+    path = str(tmp_path / "n")
+    size = lambda texts, **kw: [[float(len(t or ""))] for t in texts]
+    for embedder in (size, refuse):
+        got = get_embeddings(docs(spark, ["a", None, None]), path, embedder=embedder)
+        assert sorted((r.doc_id, r.embedding) for r in got.collect()) == [(0, [1.0]), (1, [0.0]), (2, [0.0])]
+    some = spark.createDataFrame([(0, 1, "x", None), (1, 2, None, None)], "doc_id_a bigint, doc_id_b bigint, text_a string, text_b string")
+    for annotator in (always("B"), refuse):
+        got = annotate_comparisons(some, annotator=annotator, cache=str(tmp_path / "m"), prompt="{{doc_id_a}}")
+        assert [r.winner for r in got.collect()] == ["B", "B"]
+
+
+def test_an_error_leaves_older_caches_alone(spark, tmp_path):
+    def fails(*a, **kw):
+        raise OSError("no service")
+
+    e, w = str(tmp_path / "e"), str(tmp_path / "w")
+    spark.createDataFrame([("a", [1.0])], "text string, embedding array<double>").write.parquet(e)
+    spark.createDataFrame([("x", "y", "A")], "text_a string, text_b string, winner string").write.parquet(w)
+    with pytest.warns(UserWarning), pytest.raises(Exception, match="no service"):
+        get_embeddings(docs(spark, ["a", "b"]), e, embedder=fails)
+    with pytest.raises(Exception, match="no service"):
+        annotate_comparisons(pairs(spark), annotator=fails, cache=w)
+    assert spark.read.parquet(e).count() == spark.read.parquet(w).count() == 1
+    got = annotate_comparisons(pairs(spark), annotator=always("B"), cache=w)
+    assert sorted(r.winner for r in got.collect()) == ["A", "B", "B"] and "cache_key" in spark.read.parquet(w).columns
+    spark.createDataFrame([("x", "y", "A", "h")], "text_a string, text_b string, winner string, prompt_hash string").write.parquet(f"{w}2")
+    annotate_comparisons(pairs(spark), annotator=always("B"), cache=f"{w}2")
+    assert any(p.name.startswith("w2-old-") for p in tmp_path.iterdir())
+
+
+def test_a_failed_batch_goes_on_where_it_stopped(spark, tmp_path):
+    path, many = str(tmp_path / "b"), spark.range(40).selectExpr("id AS doc_id_a", "id + 1 AS doc_id_b", "concat('a', id) AS text_a", "concat('b', id) AS text_b")
+
+    def fails_late(prompts, system, model, **kw):
+        if any("a39" in p for p in prompts):
+            raise OSError("no service")
+        return ["A"] * len(prompts)
+
+    with pytest.raises(Exception, match="no service"):
+        annotate_comparisons(many, annotator=fails_late, parallel=False, path=path, batch_size=1, partitions=4)
+    done = spark.read.parquet(path).count()
+    assert done < 40
+    got = annotate_comparisons(many, annotator=always("B"), parallel=False, path=path, batch_size=1, partitions=4)
+    assert got.where("winner = 'A'").count() == done and got.where("winner IS NULL").count() == 0
+
+
+def test_other_statuses_are_errors(monkeypatch):
+    monkeypatch.setenv("EMBEDDING_API_KEY", "k")
+    for status in (403, 404, 501):
+        with pytest.raises(ServiceError, match=str(status)):
+            HttpEmbedder(lambda b, h, status=status: (status, ""), wait=lambda s: None)(["d"])
