@@ -257,4 +257,21 @@ def kept_texts(words: Words, left: np.ndarray) -> list[bytes]:
     return [whole[i : max(i, j - 1)] for i, j in zip(at[:-1], at[1:])]
 
 
+#: The same in DuckDB over the table ``documents``, from the words themselves.
+SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT row, coalesce(doc_id, {NEVER}) AS id, i, array_to_string(w[i : i + {WIDTH - 1}], ' ') AS said
+  FROM (SELECT row, doc_id, w, unnest(generate_series(1, len(w) - {WIDTH - 1})) AS i FROM d WHERE len(w) >= {WIDTH})),
+firsts AS (SELECT said, min(id) AS least FROM windows GROUP BY said),
+gone AS (SELECT DISTINCT row, unnest(generate_series(i, i + {WIDTH - 1})) AS i FROM windows JOIN firsts USING (said) WHERE id > least),
+words AS (SELECT row, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+kept AS (
+  SELECT row, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY words.i) FILTER (WHERE g.i IS NULL) AS said
+  FROM words LEFT JOIN gone g USING (row, i) GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(said, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (row)
+"""
+
 __all__ = ["substring_dedup", "kept_texts", "windows", "edges", "PART"]
