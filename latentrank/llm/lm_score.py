@@ -76,6 +76,14 @@ def added(keys: np.ndarray, n: np.ndarray, signs: np.ndarray) -> tuple[np.ndarra
     at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, int)
     if not len(at):
         return keys, n, signs
+    if signs.dtype == np.int8:  # most words of a block come once: their rows need no sums
+        total = signs[order[at]].astype(np.int32)
+        many = np.diff(np.append(at, len(k))) > 1
+        rows = order[np.repeat(many, np.diff(np.append(at, len(k))))]
+        size = np.diff(np.append(at, len(k)))[many]
+        if len(rows):
+            total[many] = np.add.reduceat(signs[rows], np.cumsum(size) - size, axis=0, dtype=np.int32)
+        return k[at], np.add.reduceat(n[order], at), total
     return k[at], np.add.reduceat(n[order], at), np.add.reduceat(signs[order], at, axis=0)
 
 
@@ -83,9 +91,12 @@ def counts_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words of a block, their counts and signatures."""
     owner = words.owner()
     own = (np.unpackbits(words.hash.view(np.uint8).reshape(-1, 8)[:, :2], axis=1)[:, :SIGNS].astype(np.int8) << 1) - 1
-    around = np.zeros(own.shape, np.int32)
-    for k in OFFSETS:
-        around += shifted(own, owner, k, 0)
+    around = np.zeros(own.shape, np.int8)  # sums of four signs
+    for k in range(1, REACH + 1):
+        if k < len(owner):
+            same = (owner[k:] == owner[:-k]).astype(np.int8)[:, None]
+            around[k:] += own[:-k] * same
+            around[:-k] += own[k:] * same
     return added(words.hash, np.ones(len(words.hash), np.int64), around)
 
 
@@ -279,32 +290,43 @@ class Network:
             h += self.near[k][x.near[a:b, k]]
         return np.tanh(h, out=h)
 
+    def scores(self, h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of every class, and of every tier within the class ``own``; logarithms but for a constant a row."""
+        of_class, of_tier = h @ self.to_class, h @ self.to_tier
+        of_class += self.class_prior
+        of_tier += self.tier_prior[own]
+        return of_class, of_tier
+
     @staticmethod
-    def log_softmax(z: np.ndarray) -> np.ndarray:
+    def chosen(z: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Log-probability of one column of each row."""
         z -= z.max(1, keepdims=True)
-        z -= np.log(np.exp(z).sum(1, keepdims=True))
-        return z
+        found = z[np.arange(len(z)), target].astype(float)
+        return found - np.log(np.exp(z, out=z).sum(1, dtype=float))
 
-    def log_probabilities(self, h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of every class, and of every tier within the class ``own``."""
-        return self.log_softmax(h @ self.to_class + self.class_prior), self.log_softmax(h @ self.to_tier + self.tier_prior[own])
+    @staticmethod
+    def gap(z: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Probabilities less the target's one, over the number of rows."""
+        z -= z.max(1, keepdims=True)
+        np.exp(z, out=z)
+        z *= (1 / (z.sum(1) * len(z)))[:, None]
+        z[np.arange(len(z)), target] -= np.float32(1 / len(z))
+        return z
 
     def log_likelihoods(self, x: Encoded) -> np.ndarray:
         """Of every word's class and tier."""
         out = [np.zeros(0)]
         for a, b in x.batches():
-            of_class, of_tier = self.log_probabilities(self.hidden(x, a, b), x.own[a:b])
-            rows = np.arange(b - a)
-            out.append(of_class[rows, x.own[a:b]].astype(float) + of_tier[rows, x.tier[a:b]])
+            of_class, of_tier = self.scores(self.hidden(x, a, b), x.own[a:b])
+            out.append(self.chosen(of_class, x.own[a:b]) + self.chosen(of_tier, x.tier[a:b]))
         return np.concatenate(out)
 
     def gradient(self, x: Encoded, a: int, b: int) -> np.ndarray:
         """Of the mean negative log-likelihood."""
-        n, rows, own = b - a, np.arange(b - a), x.own[a:b]
+        n, own = b - a, x.own[a:b]
         h = self.hidden(x, a, b)
-        of_class, of_tier = (np.exp(z) / n for z in self.log_probabilities(h, own))
-        of_class[rows, own] -= 1 / n
-        of_tier[rows, x.tier[a:b]] -= 1 / n
+        of_class, of_tier = self.scores(h, own)
+        of_class, of_tier = self.gap(of_class, own), self.gap(of_tier, x.tier[a:b])
         back = (of_class @ self.to_class.T + of_tier @ self.to_tier.T) * (1 - h * h)
         # a word is in the windows of the words in its own window
         first, last, share = self._around(x, a, b)

@@ -66,8 +66,8 @@ def test_scores_equal_a_loop_over_words(spark):
             near = [own[k + o] if 0 <= k + o < len(cells) else CLASSES for o in (-2, -1, 1, 2)]
             wide = [net.wide_class[own[j]] + net.wide_tier[tier[j]] for j in range(max(0, k - WIDE), min(len(cells), k + WIDE + 1)) if j != k]
             h = np.tanh(net.bias + sum(net.near[j][c] for j, c in enumerate(near)) + (np.mean(wide, axis=0) if wide else 0))[None]
-            a, b = net.log_probabilities(h, np.array([own[k]]))
-            want += float(a[0, own[k]]) + float(b[0, tier[k]]) + np.log(n[k] / classes.totals[cells[k]])
+            a, b = h @ net.to_class + net.class_prior, h @ net.to_tier + net.tier_prior[own[k]]
+            want += float(a[0, own[k]] - np.log(np.exp(a).sum())) + float(b[0, tier[k]] - np.log(np.exp(b).sum())) + np.log(n[k] / classes.totals[cells[k]])
         assert got[i].n_tokens == len(cells) and abs(got[i].log_likelihood - want) < 1e-3
 
 
