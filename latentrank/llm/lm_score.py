@@ -27,8 +27,8 @@ share of the counts of its class and tier.
    The first weights are those of the counts alone.
 
 Shards, their order and the sums depend on ids and words alone, so that the model
-and the scores are the same however rows lie in files and partitions, or after a
-lost executor.  The driver holds centres, cell totals and weights, of fixed size.
+is the same however rows lie in files and partitions, or after a lost executor, and
+so are the scores but for the rounding of 32-bit numbers.  The driver holds centres, cell totals and weights, of fixed size.
 
 Null text counts as empty: no tokens, a sum of 0 and a null mean.  Repeated rows
 get equal scores; an empty table gives an empty table; extra columns are left

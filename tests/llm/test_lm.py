@@ -83,7 +83,7 @@ def test_training_learns_order_whatever_the_partitions(spark):
         net = train(encoded.where("doc_id < 300"), totals, "doc_id", rate=0.05)
         got.append({r.doc_id: r.mean_log_likelihood for r in score(encoded, net, "doc_id").collect()})
     assert min(got[0][i] for i in range(300)) > max(got[0][i] for i in range(300, 305)) + 0.3
-    assert all(abs(got[0][i] - got[1][i]) < 1e-6 for i in range(305))
+    assert all(abs(got[0][i] - got[1][i]) < 1e-5 for i in range(305))
 
 
 def test_held_out_text_is_predicted_better_than_by_counts(spark):
