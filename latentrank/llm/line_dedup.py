@@ -254,3 +254,32 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = with_answers(rows, told, drop, StructType([*inner.schema.fields, *more]))
     return out.toDF(*names, *(["n_lines", "n_removed_lines"] if counts else []))
 
+
+#: ``line_dedup`` with ``whole_runs`` in DuckDB over the table ``documents``: lines, the shortest runs from
+#: and back from every line with words, the first place of each run's text, and what is left.
+SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(doc_id, {NEVER}) AS id, doc_id, text, ends_with(text, chr(10)) AS closed,
+    CASE WHEN coalesce(text, '') = '' THEN [] WHEN ends_with(text, chr(10)) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS lines
+  FROM documents),
+l AS (SELECT row, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
+f AS (
+  SELECT row, i, n, row_number() OVER (PARTITION BY row ORDER BY i) AS p, sum(n) OVER (PARTITION BY row ORDER BY i) AS s
+  FROM (SELECT row, i, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l) WHERE n > 0),
+near AS (SELECT x.row, x.i AS a, x.p AS ap, y.i AS b, y.p AS bp FROM f x JOIN f y ON x.row = y.row AND y.p BETWEEN x.p + 1 AND x.p + 7 AND y.s - x.s + x.n >= 8),
+runs AS (
+  SELECT row, a, min(b) AS b FROM near GROUP BY row, a
+  UNION SELECT row, max(a), b FROM near GROUP BY row, b),
+said AS (SELECT r.row, id, a, b, array_to_string(lines[a:b], chr(10)) AS body FROM runs r JOIN d USING (row)),
+firsts AS (SELECT body, min((id, a)) AS first FROM said GROUP BY body),
+gone AS (
+  SELECT DISTINCT row, unnest(generate_series(a, b)) AS i FROM said JOIN firsts USING (body)
+  WHERE first[1] < id OR (first[1] = id AND first[2] + b - a < a AND id <> {NEVER})),
+kept AS (
+  SELECT row, count(g.i) AS n, bool_or(g.i = len(lines)) AS cut,
+    string_agg(line || CASE WHEN l.i < len(lines) OR closed THEN chr(10) ELSE '' END, '' ORDER BY l.i) FILTER (WHERE g.i IS NULL) AS body
+  FROM l JOIN d USING (row) LEFT JOIN gone g ON g.row = l.row AND g.i = l.i GROUP BY row)
+SELECT doc_id, len(lines)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_removed_lines,
+  CASE WHEN text IS NOT NULL THEN sha256(CASE WHEN coalesce(cut, false) AND ends_with(body, chr(10)) THEN body[:-2] ELSE coalesce(body, '') END) END AS kept_sha256
+FROM d LEFT JOIN kept USING (row)
+"""

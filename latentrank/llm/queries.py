@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, substring_dedup
+from . import chat_format, line_dedup as lines, substring_dedup
 
 PREDICTED_FROM = 0.7
 
@@ -91,4 +91,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_personal_data": op10_personal_data,
 }
 
-SQL: dict[str, str] = {"op1_substring_dedup": substring_dedup.SQL, "op4_chat_format": chat_format.SQL}
+SQL: dict[str, str] = {"op1_substring_dedup": substring_dedup.SQL, "op2_line_dedup": lines.SQL, "op4_chat_format": chat_format.SQL}
