@@ -44,10 +44,49 @@ GROUP = 50_000
 PAIRS = 1 << 20
 
 
-def fingerprints(words: Words, size: int = 3, seed: int = 42) -> np.ndarray:
-    """SimHash of every text of a block whose bytes are lower case already."""
+#: The primes of XXH64.
+PRIMES = tuple(U64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def xxh64(line: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of byte spans, all at once; those of 32 bytes and more by the library."""
     import xxhash
 
+    one, two, three, four, five = PRIMES
+    turn = lambda x, n: (x << U64(n)) | (x >> U64(64 - n))
+    size = end - start
+    lanes = np.zeros(len(line) + 8, U64)  # the eight bytes from every place on
+    padded = np.zeros(len(line) + 16, np.uint8)
+    padded[: len(line)] = line
+    for k in range(8):
+        lanes |= padded[k : k + len(lanes)].astype(U64) << U64(8 * k)
+    h = size.astype(U64) + U64((seed + int(five)) % (1 << 64))
+    for k in range(3):
+        at = np.flatnonzero(size >= 8 * (k + 1))
+        x = h[at] ^ (turn(lanes[start[at] + 8 * k] * two, 31) * one)
+        h[at] = turn(x, 27) * one + four
+    place = start + (size & ~7)
+    at = np.flatnonzero(size & 4)
+    x = h[at] ^ ((lanes[place[at]] & U64(0xFFFFFFFF)) * one)
+    h[at] = turn(x, 23) * two + three
+    place += size & 4
+    for k in range(3):
+        at = np.flatnonzero((size & 3) > k)
+        h[at] = turn(h[at] ^ (padded[place[at] + k].astype(U64) * five), 11) * one
+    h ^= h >> U64(33)
+    h *= two
+    h ^= h >> U64(29)
+    h *= three
+    h ^= h >> U64(32)
+    body = None
+    for i in np.flatnonzero(size >= 32).tolist():
+        body = body or line.tobytes()
+        h[i] = xxhash.xxh64_intdigest(body[start[i] : end[i]], seed)
+    return h
+
+
+def fingerprints(words: Words, size: int = 3, seed: int = 42) -> np.ndarray:
+    """SimHash of every text of a block whose bytes are lower case already."""
     n = len(words.first) - 1
     out = np.zeros(n, U64)
     if not len(words.start):
@@ -58,15 +97,13 @@ def fingerprints(words: Words, size: int = 3, seed: int = 42) -> np.ndarray:
     line = np.full(at[-1], 0x20, np.uint8)
     take = np.repeat(words.start - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
     line[np.repeat(np.arange(len(length)), length) + np.arange(length.sum())] = words.data[take]
-    body = line.tobytes()
     counts = words.counts()
     shingles = np.where(counts == 0, 0, np.maximum(counts - size + 1, 1))
     total = int(shingles.sum())
     begin = np.concatenate([[0], np.cumsum(shingles)])
     first = np.repeat(words.first[:-1] - begin[:-1], shingles) + np.arange(total)
     last = first + np.repeat(np.minimum(counts, size), shingles) - 1
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(body[a:b], seed) for a, b in zip(at[first].tolist(), (at[last + 1] - 1).tolist())), U64, total)
+    hashes = xxh64(line, at[first], at[last + 1] - 1, seed)
     return majority(hashes, begin)
 
 

@@ -83,3 +83,18 @@ def test_components_of_a_long_path(spark):
 
 def test_empty(spark, odd_docs):
     assert near_groups(odd_docs.limit(0)).count() == 0
+
+
+def test_hashes_equal_the_library():
+    import xxhash
+
+    from latentrank.llm.simhash_dedup import xxh64
+
+    rng = np.random.default_rng(3)
+    line = rng.integers(0, 256, 4000).astype(np.uint8)
+    start = rng.integers(0, 3900, 3000)
+    end = start + np.minimum(rng.integers(0, 70, 3000), 4000 - start)
+    start, end = np.append(start, [3999, 4000]), np.append(end, [4000, 4000])
+    body = line.tobytes()
+    for seed in (0, 42, (1 << 64) - 5):
+        assert xxh64(line, start, end, seed).tolist() == [xxhash.xxh64_intdigest(body[a:b], seed) for a, b in zip(start, end)]
