@@ -42,6 +42,22 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=U64)
 
 
+class Powers:
+    """Powers of a base up to the n-th, as products of two short tables."""
+
+    STEP = 12
+
+    def __init__(self, base: int, n: int):
+        self.low = powers(base, 1 << self.STEP)
+        self.high = powers(pow(base, 1 << self.STEP, 1 << 64), (n >> self.STEP) + 1)
+
+    def first(self, n: int) -> np.ndarray:
+        return np.multiply.outer(self.high, self.low).ravel()[:n]
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        return self.low[places & ((1 << self.STEP) - 1)] * self.high[places >> self.STEP]
+
+
 def byte_table(seed: int) -> np.ndarray:
     return mix(np.arange(1, 257, dtype=U64) * U64(0x632BE59BD9B4E019) + U64(seed))
 
@@ -127,9 +143,9 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int =
     n = len(data)
     prefix = np.zeros(n + 1, U64)
     terms = byte_table(seed)[data]
-    terms *= powers(_BASE, n)
+    terms *= Powers(_BASE, n).first(n)
     np.cumsum(terms, out=prefix[1:])
-    body = (prefix[end] - prefix[start]) * powers(_BASE_INV, n + 1)[start]
+    body = (prefix[end] - prefix[start]) * Powers(_BASE_INV, n).at(start)
     return mix(body + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
