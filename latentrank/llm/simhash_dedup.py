@@ -113,12 +113,17 @@ def majority(hashes: np.ndarray, begin: np.ndarray, slice_of: int = 1 << 18) ->
     wherever texts end."""
     n = len(begin) - 1
     ones = np.zeros((n, 64), np.int64)
+    owner = np.repeat(np.arange(n), np.diff(begin))
+    # stretches of 255 hashes of one text are counted in bytes first
+    new = (np.arange(len(hashes)) - begin[owner]) % 255 == 0
     for a in range(0, len(hashes), slice_of):
         b = min(a + slice_of, len(hashes))
         bits = np.unpackbits(hashes[a:b].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        texts = np.arange(np.searchsorted(begin, a, "right") - 1, np.searchsorted(begin, b, "left"))
-        texts = texts[begin[texts + 1] > begin[texts]]
-        ones[texts] += np.add.reduceat(bits, np.maximum(begin[texts], a) - a, axis=0, dtype=np.int32)
+        start = np.union1d(np.flatnonzero(new[a:b]), 0)
+        counts = np.add.reduceat(bits, start, axis=0, dtype=np.uint8)
+        of = owner[a + start]
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        ones[of[first]] += np.add.reduceat(counts, first, axis=0, dtype=np.int64)
     return np.packbits(2 * ones > np.diff(begin)[:, None], axis=1, bitorder="little").view(U64).ravel()
 
 
