@@ -120,7 +120,7 @@ def moments(design: DataFrame) -> Moments:
     return Moments(total[0], total[1 : 1 + p], total[1 + p : 1 + 2 * p], total[1 + 2 * p], total[2 + 2 * p :])
 
 
-def _path_in_tasks(design: DataFrame, lambdas: np.ndarray, alpha: float, folds: int) -> tuple[list, np.ndarray]:
+def _path_in_tasks(design: DataFrame, lambdas: np.ndarray, alpha: float, folds: int, solver: dict) -> tuple[list, np.ndarray]:
     """(fits on all rows, held-out deviance sums by lambda), one task per fold."""
     copies = design.withColumn("left_out", F.explode(F.sequence(F.lit(-1), F.lit(folds - 1))))
 
@@ -128,7 +128,7 @@ def _path_in_tasks(design: DataFrame, lambdas: np.ndarray, alpha: float, folds:
         out = t.column("left_out")[0].as_py()
         x, y = matrix(t)
         held = t.column("fold").to_numpy() == out
-        fits = fit_path(x[~held], y[~held], lambdas, alpha)
+        fits = fit_path(x[~held], y[~held], lambdas, alpha, **solver)
         if out < 0:
             rows = [np.concatenate([[b0], b]) for b0, b in fits]
         else:
@@ -146,7 +146,7 @@ def _path_in_tasks(design: DataFrame, lambdas: np.ndarray, alpha: float, folds:
     return fits, total
 
 
-def _path_on_cluster(design: DataFrame, m: Moments, lambdas: np.ndarray, alpha: float, folds: int) -> tuple[list, np.ndarray]:
+def _path_on_cluster(design: DataFrame, m: Moments, lambdas: np.ndarray, alpha: float, folds: int, solver: dict) -> tuple[list, np.ndarray]:
     """The same with every Newton step summed over the cluster."""
     p = len(m.mean)
 
@@ -167,7 +167,7 @@ def _path_on_cluster(design: DataFrame, m: Moments, lambdas: np.ndarray, alpha:
         at, path = start, []
         empty, share = stat(*start)[2], 0.0
         for k, lam in enumerate(lambdas):
-            at = newton(stat, own.n, own, lam, alpha, at, tol=1e-7)
+            at = newton(stat, own.n, own, lam, alpha, at, **({"tol": 1e-7} | solver))
             path.append(at)
             before, share = share, 1 - stat(*at)[2] / empty if empty > 0 else 1.0
             if path_ends(k, before, share):
@@ -181,10 +181,12 @@ def _path_on_cluster(design: DataFrame, m: Moments, lambdas: np.ndarray, alpha:
     return fits, total[:reached]
 
 
-def fit_model(comparisons: DataFrame, embeddings: DataFrame, method: str = "ridge", alpha: float = 0.5, nlambda: int = 200, lambda_min_ratio: float = 1e-9, refit: bool = False, *, folds: int = FOLDS, seed: int | None = None, lambda_: float | None = None, cost: float = 1.0, task_cells: int = TASK_CELLS) -> ScaleModel:
+def fit_model(comparisons: DataFrame, embeddings: DataFrame, method: str = "ridge", alpha: float = 0.5, nlambda: int = 200, lambda_min_ratio: float = 1e-9, refit: bool = False, *, folds: int = FOLDS, seed: int | None = None, lambda_: float | None = None, cost: float = 1.0, task_cells: int = TASK_CELLS, solver: dict | None = None) -> ScaleModel:
     """Fits on the train split, or on all pairs with ``refit``.
 
-    ``lambda_`` fixes the penalty and skips cross-validation.
+    ``lambda_`` fixes the penalty and skips cross-validation.  ``solver`` goes to
+    the solver as it is: tol and most (steps a lambda) for paths, bias, rounds and
+    seed for the SVM.
     """
     if method not in METHODS:
         raise ValueError(f"`method` should be one of {', '.join(METHODS)}, not {method!r}.")
@@ -204,7 +206,7 @@ def fit_model(comparisons: DataFrame, embeddings: DataFrame, method: str = "ridg
         log.info("Fitting linear SVM on %s pairs...", f"{n:,}")
         if small:
             def run(t: pa.Table) -> pa.Table:
-                b0, b = linear_svm(*matrix(t), c=cost)
+                b0, b = linear_svm(*matrix(t), c=cost, **(solver or {}))
                 return pa.table({"body": pa.array([[b0, *b.tolist()]], pa.list_(pa.float64()))})
 
             body = design.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "body array<double>").first()["body"]
@@ -220,7 +222,7 @@ def fit_model(comparisons: DataFrame, embeddings: DataFrame, method: str = "ridg
     lambdas = np.array([lambda_]) if lambda_ is not None else lambda_path(m, a, nlambda, lambda_min_ratio)
     cv_folds = 0 if lambda_ is not None else folds
     log.info("Running %d-fold CV (%s pairs, %d lambda values)...", cv_folds, f"{n:,}", len(lambdas))
-    fits, held = _path_in_tasks(design, lambdas, a, cv_folds) if small else _path_on_cluster(design, m, lambdas, a, cv_folds)
+    fits, held = _path_in_tasks(design, lambdas, a, cv_folds, solver or {}) if small else _path_on_cluster(design, m, lambdas, a, cv_folds, solver or {})
     curve = []
     best = 0
     if cv_folds:

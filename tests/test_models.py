@@ -159,3 +159,11 @@ def test_path_on_cluster_equals_path_in_tasks(spark):
     fits = [fit_model(comp, emb, "ridge", nlambda=9, lambda_min_ratio=1e-9, folds=2, seed=1, task_cells=cells) for cells in (0, 1 << 40)]
     assert len(fits[0].cv) == len(fits[1].cv) < 9
     assert np.allclose(fits[0].cv, fits[1].cv, rtol=1e-4) and np.allclose(fits[0].beta, fits[1].beta, rtol=1e-3, atol=1e-5)
+
+
+def test_solver_arguments_reach_the_solver(spark):
+    _, emb, comp = planted(spark)
+    rough, fine = (fit_model(comp, emb, lambda_=0.05, seed=1, solver=s).beta for s in ({"most": 1}, {"tol": 1e-10}))
+    assert not np.allclose(rough, fine, rtol=1e-3) and np.allclose(fine, fit_model(comp, emb, lambda_=0.05, seed=1).beta, rtol=1e-3)
+    with pytest.raises(Exception, match="nonsense"):
+        fit_model(comp, emb, "svm", solver={"nonsense": 1})
