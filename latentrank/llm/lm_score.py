@@ -84,7 +84,8 @@ def added(keys: np.ndarray, n: np.ndarray, signs: np.ndarray) -> tuple[np.ndarra
         if len(rows):
             total[many] = np.add.reduceat(signs[rows], np.cumsum(size) - size, axis=0, dtype=np.int32)
         return k[at], np.add.reduceat(n[order], at), total
-    return k[at], np.add.reduceat(n[order], at), np.add.reduceat(signs[order], at, axis=0)
+    # sums of what was sent are whole numbers, exact in any order
+    return k[at], np.add.reduceat(n[order], at), np.add.reduceat(signs[order], at, axis=0, dtype=np.float64 if signs.dtype == np.int16 else signs.dtype)
 
 
 def counts_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,6 +117,8 @@ def count_words(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
             for _, _, data, offsets in texts_of(pa.Table.from_batches([batch]), text_col):
                 held.append(counts_of(Words(data, offsets)))
                 size += len(data)
+                if len(held) > 3:  # so that no more than a few blocks' words lie side by side
+                    held = [added(*(np.concatenate(x) for x in zip(*held)))]
                 if size >= COUNTED_BYTES:
                     yield from send()
                     held, size = [], 0
@@ -124,7 +127,7 @@ def count_words(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
 
     def add(t: pa.Table) -> pa.Table:
         keys, _, rest = entries(t, SENT)
-        k, n, s = added(keys, rest["n"].astype(np.int64), rest["signs"].astype(np.int64))
+        k, n, s = added(keys, rest["n"].astype(np.int64), rest["signs"])
         out = np.zeros(len(k), KNOWN)
         out["n"], out["signs"] = n, s
         return pa.table({"bucket": t.column("bucket")[:1], "part": t.column("part")[:1], "keys": pa.array([k.tobytes()], pa.binary()), "rest": pa.array([out.tobytes()], pa.binary())})
