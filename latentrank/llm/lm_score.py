@@ -64,8 +64,7 @@ def shifted(x: np.ndarray, owner: np.ndarray, k: int, beyond) -> np.ndarray:
     out = np.full(x.shape, beyond, x.dtype)
     if abs(k) < len(x):
         a, b = (slice(-k, None), slice(None, k)) if k < 0 else (slice(None, -k), slice(k, None))
-        same = owner[a] == owner[b]
-        out[a][same] = x[b][same]
+        out[a] = np.where(owner[a] == owner[b], x[b], out.dtype.type(beyond))
     return out
 
 
@@ -245,7 +244,7 @@ class Encoded:
         owner = np.repeat(np.arange(len(lengths)), lengths)
         ends = np.cumsum(lengths)
         self.own, self.tier = (cells // TIERS).astype(np.uint8), (cells % TIERS).astype(np.uint8)
-        self.near = np.stack([shifted(self.own, owner, k, CLASSES) for k in OFFSETS], 1)
+        self.near = [shifted(self.own, owner, k, CLASSES) for k in OFFSETS]
         place = np.arange(len(cells))
         self.low, self.high = np.maximum(place - WIDE, (ends - lengths)[owner]), np.minimum(place + WIDE + 1, ends[owner])
 
@@ -290,30 +289,32 @@ class Network:
         h = (total[x.high[a:b] - first] - total[x.low[a:b] - first] - around[a - first : b - first]) * share
         h += self.bias
         for k in range(len(OFFSETS)):
-            h += self.near[k][x.near[a:b, k]]
+            h += self.near[k][x.near[k][a:b]]
         return np.tanh(h, out=h)
 
     def scores(self, h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of every class, and of every tier within the class ``own``; logarithms but for a constant a row."""
-        of_class, of_tier = h @ self.to_class, h @ self.to_tier
-        of_class += self.class_prior
-        of_tier += self.tier_prior[own]
+        """Of every class, and of every tier within the class ``own``, a column for
+        each word; logarithms but for a constant a word."""
+        of_class, of_tier = self.to_class.T @ h.T, self.to_tier.T @ h.T
+        of_class += self.class_prior[:, None]
+        of_tier += self.tier_prior.T[:, own]
         return of_class, of_tier
 
     @staticmethod
     def chosen(z: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Log-probability of one column of each row."""
-        z -= z.max(1, keepdims=True)
-        found = z[np.arange(len(z)), target].astype(float)
-        return found - np.log(np.exp(z, out=z).sum(1, dtype=float))
+        """Log-probability of one row of each column."""
+        z -= z.max(0)
+        found = z[target, np.arange(z.shape[1])]
+        return (found - np.log(np.exp(z, out=z).sum(0))).astype(float)
 
     @staticmethod
     def gap(z: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Probabilities less the target's one, over the number of rows."""
-        z -= z.max(1, keepdims=True)
+        """Probabilities less the target's one, over the number of words."""
+        n = z.shape[1]
+        z -= z.max(0)
         np.exp(z, out=z)
-        z *= (1 / (z.sum(1) * len(z)))[:, None]
-        z[np.arange(len(z)), target] -= np.float32(1 / len(z))
+        z *= 1 / (z.sum(0) * n)
+        z[target, np.arange(n)] -= np.float32(1 / n)
         return z
 
     def log_likelihoods(self, x: Encoded) -> np.ndarray:
@@ -330,20 +331,21 @@ class Network:
         h = self.hidden(x, a, b)
         of_class, of_tier = self.scores(h, own)
         of_class, of_tier = self.gap(of_class, own), self.gap(of_tier, x.tier[a:b])
-        back = (of_class @ self.to_class.T + of_tier @ self.to_tier.T) * (1 - h * h)
+        back = (self.to_class @ of_class + self.to_tier @ of_tier) * (1 - h * h).T  # a row for each unit
         # a word is in the windows of the words in its own window
         first, last, share = self._around(x, a, b)
-        total = np.zeros((n + 1, HIDDEN), np.float32)
-        np.cumsum(back * share, 0, out=total[1:])
-        wide = total[np.clip(x.high[first:last], a, b) - a] - total[np.clip(x.low[first:last], a, b) - a]
-        wide[a - first : b - first] -= back * share
-
-        def by_row(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-            return np.stack([np.bincount(at, column, size) for column in np.ascontiguousarray(values.T)], 1)
-
-        parts = [by_row(x.near[a:b, k], back, CLASSES + 1) for k in range(len(OFFSETS))]
-        parts += [by_row(x.own[first:last], wide, CLASSES), by_row(x.tier[first:last], wide, TIERS)]
-        parts += [back.sum(0), h.T @ of_class, of_class.sum(0), h.T @ of_tier, by_row(own, of_tier, CLASSES)]
+        shared = back * share[:, 0]
+        total = np.zeros((HIDDEN, n + 1), np.float32)
+        np.cumsum(shared, 1, out=total[:, 1:])
+        wide = total[:, np.clip(x.high[first:last], a, b) - a] - total[:, np.clip(x.low[first:last], a, b) - a]
+        wide[:, a - first : b - first] -= shared
+
+        def by_word(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+            return np.stack([np.bincount(at, row, size) for row in values], 1)
+
+        parts = [by_word(x.near[k][a:b], back, CLASSES + 1) for k in range(len(OFFSETS))]
+        parts += [by_word(x.own[first:last], wide, CLASSES), by_word(x.tier[first:last], wide, TIERS)]
+        parts += [back.sum(1), (of_class @ h).T, of_class.sum(1), (of_tier @ h).T, by_word(own, of_tier, CLASSES)]
         return np.concatenate([p.ravel() for p in parts]).astype(np.float32)
 
 

@@ -104,4 +104,4 @@ def test_odd_rows(spark, odd_docs):
     assert all((r.mean_log_likelihood is None) == (r.n_tokens == 0) and r.log_likelihood <= 0 for r in got)
     assert lm_scores(odd_docs.limit(0)).count() == 0
     assert shifted(np.zeros(1, int), np.zeros(1, int), 1, 9).tolist() == [9]
-    assert Encoded(np.array([0, 1]), np.array([TIERS + 2], np.uint16)).near.tolist() == [[CLASSES] * 4]
+    assert Encoded(np.array([0, 1]), np.array([TIERS + 2], np.uint16)).near == [[CLASSES]] * 4
