@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, line_dedup as lines, substring_dedup
+from . import centroid_clusters as centroids, chat_format, fill_in_middle as middle, line_dedup as lines, substring_dedup, warc
 
 PREDICTED_FROM = 0.7
 
@@ -78,6 +78,18 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_personal_data(table(spark, sf_dir, "documents")))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digest(middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -89,6 +101,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece_codec": op8_sentencepiece_codec,
     "op9_simhash_groups": op9_simhash_groups,
     "op10_personal_data": op10_personal_data,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_warc_salvage": op13_warc_salvage,
 }
 
-SQL: dict[str, str] = {"op1_substring_dedup": substring_dedup.SQL, "op2_line_dedup": lines.SQL, "op4_chat_format": chat_format.SQL}
+SQL: dict[str, str] = {
+    "op1_substring_dedup": substring_dedup.SQL,
+    "op2_line_dedup": lines.SQL,
+    "op4_chat_format": chat_format.SQL,
+    "op11_fill_in_middle": middle.SQL,
+    "op12_centroid_clusters": centroids.SQL,
+    "op13_warc_salvage": warc.SQL,
+}
