@@ -42,6 +42,7 @@ LEAST_HOT = 1000
 #: Fixed values of the format.
 VERSION, MAGIC, END = b"WARC/1.1", b"\x1f\x8b\x08", b"\r\n\r\n"
 VERSION_LINE = re.compile(rb"WARC/1\.[01]")
+MANDATORY = ("warc-type", "warc-record-id", "warc-date")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = "application/http; msgtype=response"
 #: What a record's head and a gzip read may span.
@@ -188,6 +189,8 @@ def plain_record(data: bytes, at: int) -> Record:
     headers = headers_of(data[at:close].split(b"\r\n")[1:])
     if not headers.get("content-length", "").isdigit():
         raise Broken("no length")
+    if not all(headers.get(name) for name in MANDATORY):
+        raise Broken("a mandatory header is missing")
     begin = close + 4
     end = begin + int(headers["content-length"])
     if data[end : end + 4] != END:

@@ -15,7 +15,8 @@ def payload(i):
 
 
 def ids(found):
-    return [int(x.headers["warc-record-id"][10:-1]) for x in found if isinstance(x, Record)]
+    names = [x.headers["warc-record-id"][10:-1] for x in found if isinstance(x, Record)]
+    return [int(x) if x.isdigit() else None for x in names]
 
 
 def gaps(found):
@@ -53,7 +54,8 @@ def test_one_damaged_record_costs_no_other(zipped):
         data = b"".join([*parts[:k], bytes(body), *parts[k + 1 :]])
         found = list(salvage(data))
         whole = [i for i in range(12) if i != k]
-        assert ids(found) in (whole, sorted([*whole, k])), (how, k, at)  # a changed header may still hold, say in the date
+        others = [x for x in found if not (isinstance(x, Record) and x.start == begin and x.end <= begin + len(body))]
+        assert ids(others) == whole, (how, k, at)  # a changed header may still hold, say in the date
         if ids(found) == whole:
             assert gaps(found) == [(begin, begin + len(body))] and [x.payload for x in found if isinstance(x, Record)] == [payload(i) for i in whole]
 
