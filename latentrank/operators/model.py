@@ -1,10 +1,12 @@
 """Fitting a linear model of judgements on embedding differences.
 
-Pairs and embeddings are joined once and written; a fit then reads the design
-in two or three jobs.  Up to ``TASK_CELLS`` numbers, each cross-validation fold
-is one task that walks the whole warm-started lambda path in numpy.  Beyond
-that every Newton step is an aggregate over the cluster (a p x p sum per fold)
-and no task holds the design.
+Pairs and embeddings are joined once and packed in blocks (``blocks.py``).  All
+folds of a cross-validation, and ten lambdas at a time, advance together: a pass
+over the blocks gives losses and gradients of every open problem, and problems
+share curvatures, so a whole path takes some hundred passes.  Up to
+``TASK_CELLS`` numbers the passes of a fold are made within a task that holds
+the blocks; beyond that each pass is a job and no task holds the design.  The
+solvers, and so the results, are the same.
 """
 
 from __future__ import annotations
@@ -19,10 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import draw, with_rank
 from ..functions.scalars import difference, label, not_tie
-from ..sources.cache import saved
-from .solvers import Moments, deviance, fit_path, lambda_path, linear_svm, newton, path_ends, sigmoid, statistics
+from .blocks import Block, Held, Spread, blocks_of, gram, packed, summed
+from .solvers import Moments, Standard, fit_paths, interior_svms, lambda_path, many_losses, sigmoid, Margins
 
 log = logging.getLogger(__name__)
 
@@ -71,169 +72,173 @@ def embedding_differences(comparisons: DataFrame, embeddings: DataFrame) -> Data
     return rows.select("doc_id_a", "doc_id_b", difference(F.col("ea"), F.col("eb")).alias("x"), label(F.col("winner")).alias("y"))
 
 
-def matrix(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    x = t.column("x")
-    x = x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
-    rows = len(t.column("y"))
-    flat = x.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(rows, -1) if rows else np.zeros((0, 0)), t.column("y").to_numpy() if isinstance(t, pa.Table) else t.column("y").to_numpy(zero_copy_only=False)
+def dimensions(embeddings: DataFrame) -> int:
+    row = embeddings.where("embedding IS NOT NULL").select(F.size("embedding")).first()
+    return row[0] if row else 0
 
 
-def summed(design: DataFrame, f, groups: str | None = None) -> dict[int, list[np.ndarray]]:
-    """Adds up the arrays that ``f(x, y)`` gives for every batch, by ``groups``
-    (an integer column).  Sums are formed in tasks and then by group, and only
-    the totals reach the driver."""
+def weights_at(b0: float, b: np.ndarray):
+    """p(1 - p) of a block's rows at the given coefficients."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            x, y = matrix(batch)
-            keys = batch.column(groups).to_numpy(zero_copy_only=False) if groups else np.zeros(len(y), int)
-            for k in np.unique(keys):
-                part = np.concatenate([np.ravel(a) for a in f(x[keys == k], y[keys == k], int(k))])
-                total[int(k)] = total.get(int(k), 0) + part
-        for k, v in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.astype(float).tobytes()], pa.binary())], names=["k", "body"])
+    def weights(block: Block) -> np.ndarray:
+        q = sigmoid(b0 + block.x @ b)
+        return q * (1 - q)
 
-    def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, float) for x in t.column("body").to_pylist())
-        return pa.table({"k": pa.array([t.column("k")[0].as_py()], pa.int32()), "body": pa.array([total.tobytes()], pa.binary())})
+    return weights
 
-    rows = design.select("x", "y", *([groups] if groups else [])).mapInArrow(run, "k int, body binary").groupBy("k").applyInArrow(add, "k int, body binary").collect()
-    return {r["k"]: np.frombuffer(r["body"], float) for r in rows}
 
+def fold_moments(blocks: DataFrame, p: int, folds: int = FOLDS) -> tuple[Moments, list[Moments], int]:
+    """(moments of all rows, of all but each fold, rows without an answer), in one pass."""
 
-def gram(design: DataFrame, b0: float, b: np.ndarray) -> np.ndarray:
-    """X'WX with W = p(1 - p) at the given coefficients."""
-    p = len(b)
+    def part(b: Block) -> list[np.ndarray]:
+        out = [np.array([np.isnan(b.y).sum()])]
+        for k in range(folds):
+            x, y = b.x[b.fold == k], b.y[b.fold == k]
+            out += [np.array([len(y), y.sum()]), x.sum(0), (x * x).sum(0), x.T @ y]
+        return out
 
-    def part(x, y, _k):
-        q = sigmoid(b0 + x @ b)
-        return [(x * (q * (1 - q))[:, None]).T @ x]
+    total = summed(blocks, part)
+    by_fold = total[1:].reshape(folds, 2 + 3 * p)
+    of = lambda v: Moments(v[0], v[2 : 2 + p], v[2 + p : 2 + 2 * p], v[1], v[2 + 2 * p :])
+    every = by_fold.sum(0)
+    with np.errstate(all="ignore"):  # a fold may hold everything
+        return of(every), [of(every - v) for v in by_fold], int(total[0])
 
-    return summed(design, part)[0].reshape(p, p)
 
+def standard_curvature(passes: Held | Spread, m: Moments):
+    """The mean curvature of standard columns, as a function of standard coefficients."""
+    standard = Standard(m)
+    turn = np.diag(np.concatenate([[1.0], 1 / m.scale]))  # [1, x] -> [1, (x - mean) / scale]
+    turn[0, 1:] = -m.mean / m.scale
 
-def moments(design: DataFrame) -> Moments:
-    total = summed(design, lambda x, y, _k: [[len(y)], x.sum(0), (x * x).sum(0), [y.sum()], x.T @ y])[0]
-    p = (len(total) - 2) // 3
-    return Moments(total[0], total[1 : 1 + p], total[1 + p : 1 + 2 * p], total[1 + 2 * p], total[2 + 2 * p :])
+    def curvature(v: np.ndarray) -> np.ndarray:
+        b = standard.raw(v[None])[0]
+        at = weights_at(b[0], b[1:])
+        return turn.T @ passes.gram(len(m.mean), lambda block: np.maximum(at(block), 1e-5)) @ turn / m.n
 
+    return curvature
 
-def _path_in_tasks(design: DataFrame, lambdas: np.ndarray, alpha: float, folds: int, solver: dict) -> tuple[list, np.ndarray]:
-    """(fits on all rows, held-out deviance sums by lambda), one task per fold."""
-    copies = design.withColumn("left_out", F.explode(F.sequence(F.lit(-1), F.lit(folds - 1))))
 
-    def run(t: pa.Table) -> pa.Table:
-        out = t.column("left_out")[0].as_py()
-        x, y = matrix(t)
-        held = t.column("fold").to_numpy() == out
-        fits = fit_path(x[~held], y[~held], lambdas, alpha, **solver)
-        if out < 0:
-            rows = [np.concatenate([[b0], b]) for b0, b in fits]
-        else:
-            rows = [np.array([deviance(x[held], y[held], f)]) for f in fits]
-        n = len(rows)
-        return pa.table({"left_out": pa.array([out] * n, pa.int32()), "at": pa.array(range(n), pa.int32()), "body": pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))})
-
-    rows = copies.groupBy("left_out").applyInArrow(run, "left_out int, at int, body array<double>").collect()
-    fits = [(r["body"][0], np.array(r["body"][1:])) for r in sorted((r for r in rows if r["left_out"] < 0), key=lambda r: r["at"])]
-    reached = min(sum(r["left_out"] == k for r in rows) for k in range(-1, folds) if any(r["left_out"] == k for r in rows))
-    total = np.zeros(reached)
-    for r in rows:
-        if r["left_out"] >= 0 and r["at"] < reached:
-            total[r["at"]] += r["body"][0]
-    return fits, total
-
-
-def _path_on_cluster(design: DataFrame, m: Moments, lambdas: np.ndarray, alpha: float, folds: int, solver: dict) -> tuple[list, np.ndarray]:
-    """The same with every Newton step summed over the cluster."""
-    p = len(m.mean)
-
-    def stat_without(out: int):
-        rows = design if out < 0 else design.where(F.col("fold") != out)
-
-        def stat(b0, b):
-            total = summed(rows, lambda x, y, _k: [*statistics(x, y, None, b0, b)[:2], [statistics(x, y, None, b0, b)[2]]])[0]
-            return total[: (p + 1) ** 2].reshape(p + 1, p + 1), total[(p + 1) ** 2 : -1], total[-1]
-
-        return stat, rows
-
-    start = (float(np.log(max(m.ybar, 1e-9) / max(1 - m.ybar, 1e-9))), np.zeros(p))
-    fits, total, reached = [], np.zeros(len(lambdas)), len(lambdas)
-    for out in range(-1, folds):
-        stat, rows = stat_without(out)
-        own = m if out < 0 else moments(rows)
-        at, path = start, []
-        empty, share = stat(*start)[2], 0.0
-        for k, lam in enumerate(lambdas):
-            at = newton(stat, own.n, own, lam, alpha, at, **({"tol": 1e-7} | solver))
-            path.append(at)
-            before, share = share, 1 - stat(*at)[2] / empty if empty > 0 else 1.0
-            if path_ends(k, before, share):
-                break
-        reached = min(reached, len(path))
-        if out < 0:
-            fits = path
-        else:
-            held = design.where(F.col("fold") == out)
-            total[: len(path)] += summed(held, lambda x, y, _k, path=path: [[deviance(x, y, f) for f in path]])[0]
-    return fits, total[:reached]
+def paths(passes: Held | Spread, every: Moments, without: list[Moments], sets: list[int], lambdas: np.ndarray, alpha: float, solver: dict) -> tuple[list, list]:
+    """(raw coefficients by lambda, held-out deviances by lambda) of each of ``sets``:
+    -1 is all rows, any other the rows without that fold."""
+    standard, p = Standard(every), len(every.mean)
+    own = [every if k < 0 else without[k] for k in sets]
+    out, size = np.array(sets), np.array([m.n for m in own])
+
+    def look(v: np.ndarray, of: np.ndarray):
+        b, leave = standard.raw(v), out[of]
+
+        def part(block: Block) -> list[np.ndarray]:
+            kept = leave[:, None] != block.fold[None, :]
+            loss, g, eta = many_losses(block.x, block.y, kept, b)
+            q = np.clip(sigmoid(eta), 1e-5, 1 - 1e-5)
+            missed = -2 * (~kept * (block.y * np.log(q) + (1 - block.y) * np.log(1 - q))).sum(1)
+            return [loss, missed, g]
+
+        total = passes.total(part)
+        k = len(v)
+        return total[:k] / size[of], standard.gradient(total[2 * k :].reshape(k, p + 1) / size[of][:, None]), total[k : 2 * k]
+
+    curvature = standard_curvature(passes, every)
+    return fit_paths(look, curvature, standard, own, lambdas, alpha, **solver)
+
+
+def _paths_in_tasks(blocks: DataFrame, every: Moments, without: list[Moments], sets: list[int], lambdas: np.ndarray, alpha: float, solver: dict) -> tuple[list, list]:
+    """The same, a task for each of ``sets``."""
+    copies = blocks.withColumn("set", F.explode(F.array(*[F.lit(k) for k in sets])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, held = None, []
+        for batch in batches:
+            k = batch.column("set")[0].as_py()
+            held += blocks_of([batch])
+        (fits,), (missed,) = paths(Held(sorted(held, key=lambda b: b.number)), every, without, [k], lambdas, alpha, solver)
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.column_stack([missed, fits]).tobytes()], pa.binary())], names=["set", "body"])
+
+    rows = {r["set"]: np.frombuffer(r["body"]).reshape(-1, len(every.mean) + 2) for r in copies.groupBy("set").applyInArrow(run, "set int, body binary").collect()}
+    return [rows[k][:, 1:] for k in sets], [rows[k][:, 0] for k in sets]
+
+
+def svms(passes: Held | Spread, p: int, problems: int = 1, c: float = 1.0, bias: float = 3.0, cases=None, **solver) -> np.ndarray:
+    """(problems, 1 + p): intercepts and coefficients.  The intercept is a constant
+    column of value ``bias``, so that its own penalty is all but nil; ``cases(block)``
+    gives the case weights (problems x rows) where there are several."""
+
+    def total(at: list[int], least: int, f) -> np.ndarray:
+        def part(block: Block) -> list[np.ndarray]:
+            z = np.column_stack([block.x, np.full(len(block.y), bias)])
+            weights = np.ones((problems, len(block.y))) if cases is None else cases(block)
+            return [np.concatenate([np.ravel(a) for a in f(r, lambda steps, r=r: Margins(z, block.y, weights[r], c, steps))]) for r in at]
+
+        def width() -> int:  # of one problem's arrays: from a row that stands for none
+            none = lambda steps: Margins(np.zeros((1, p + 1)), np.ones(1), np.ones(1), c, [])
+            return sum(np.size(a) for a in f(at[0], none))
+
+        places = np.array([i * width() + j for i in range(len(at)) for j in range(least)]) if least else None
+        return passes.total(part, places)
+
+    w = interior_svms(total, p + 1, problems, c, **solver)
+    return np.column_stack([w[:, -1] * bias, w[:, :-1]])
 
 
 def fit_model(comparisons: DataFrame, embeddings: DataFrame, method: str = "ridge", alpha: float = 0.5, nlambda: int = 200, lambda_min_ratio: float = 1e-9, refit: bool = False, *, folds: int = FOLDS, seed: int | None = None, lambda_: float | None = None, cost: float = 1.0, task_cells: int = TASK_CELLS, solver: dict | None = None) -> ScaleModel:
     """Fits on the train split, or on all pairs with ``refit``.
 
     ``lambda_`` fixes the penalty and skips cross-validation.  ``solver`` goes to
-    the solver as it is: tol and most (steps a lambda) for paths, bias, rounds and
-    seed for the SVM.
+    the solver as it is: tol, most (steps a lambda) and at_once for paths, bias,
+    tol and most (steps) for the SVM.
     """
     if method not in METHODS:
         raise ValueError(f"`method` should be one of {', '.join(METHODS)}, not {method!r}.")
     rows = usable(comparisons, None if refit else "train")
-    design = embedding_differences(rows, embeddings)
-    design = with_rank(design.withColumn("__h", draw(seed, "fold", "doc_id_a", "doc_id_b")), [], "__h", ["doc_id_a", "doc_id_b"], "__r")
-    design = saved(design.select("x", "y", ((F.col("__r") - 1) % folds).cast("int").alias("fold")))
-    shape = design.agg(F.count("*").alias("n"), F.count_if(F.col("y").isNull()).alias("missing"), F.max(F.size("x")).alias("p"), F.min("y").alias("low"), F.max("y").alias("high")).first()
-    if shape.missing:
-        raise ValueError(f"{shape.missing} pair(s) have no winner; annotate them or drop them before fitting.")
-    if not shape.n or shape.low == shape.high:
+    p = dimensions(embeddings)
+    blocks = packed(embedding_differences(rows, embeddings), seed, p, folds)
+    if not p or blocks.isEmpty():
         raise ValueError("Fitting needs pairs with either answer.")
-    n, p = shape.n, shape.p
+    m, without, missing = fold_moments(blocks, p, folds)
+    if missing:
+        raise ValueError(f"{missing} pair(s) have no winner; annotate them or drop them before fitting.")
+    if not 0 < m.ybar < 1:
+        raise ValueError("Fitting needs pairs with either answer.")
+    n = int(m.n)
     small = n * p <= task_cells
 
     if method == "svm":
-        log.info("Fitting linear SVM on %s pairs...", f"{n:,}")
+        log.info("Linear SVM of %s pairs.", f"{n:,}")
         if small:
-            def run(t: pa.Table) -> pa.Table:
-                b0, b = linear_svm(*matrix(t), c=cost, **(solver or {}))
-                return pa.table({"body": pa.array([[b0, *b.tolist()]], pa.list_(pa.float64()))})
 
-            body = design.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "body array<double>").first()["body"]
-            return ScaleModel("svm", np.array(body[1:]), body[0], n_pairs=n)
-        from pyspark.ml.classification import LinearSVC
-        from pyspark.ml.functions import array_to_vector
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                held = sorted(blocks_of(batches), key=lambda b: b.number)
+                yield pa.RecordBatch.from_arrays([pa.array([svms(Held(held), p, c=cost, **(solver or {}))[0].tolist()], pa.list_(pa.float64()))], names=["body"])
 
-        fit = LinearSVC(regParam=1 / (n * cost), standardization=False, maxIter=200).fit(design.select(array_to_vector("x").alias("features"), F.col("y").alias("label")))
-        return ScaleModel("svm", fit.coefficients.toArray(), fit.intercept, n_pairs=n)
+            found = np.array(blocks.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "body array<double>").first()["body"])
+        else:
+            found = svms(Spread(blocks), p, c=cost, **(solver or {}))[0]
+        return ScaleModel("svm", found[1:], float(found[0]), n_pairs=n)
 
     a = {"ridge": 0.0, "lasso": 1.0, "enet": alpha}[method]
-    m = moments(design)
     lambdas = np.array([lambda_]) if lambda_ is not None else lambda_path(m, a, nlambda, lambda_min_ratio)
     cv_folds = 0 if lambda_ is not None else folds
-    log.info("Running %d-fold CV (%s pairs, %d lambda values)...", cv_folds, f"{n:,}", len(lambdas))
-    fits, held = _path_in_tasks(design, lambdas, a, cv_folds, solver or {}) if small else _path_on_cluster(design, m, lambdas, a, cv_folds, solver or {})
+    log.info("%s pairs, %d lambda value(s), %d fold(s) of cross-validation.", f"{n:,}", len(lambdas), cv_folds)
+    sets = [-1, *(k for k in range(cv_folds) if without[k].n < n)]  # folds that hold rows
+    if small:
+        fits, missed = _paths_in_tasks(blocks, m, without, sets, lambdas, a, solver or {})
+    else:
+        fits, missed = paths(Spread(blocks), m, without, sets, lambdas, a, solver or {})
+    fits, held = fits[0], missed[1:]
     curve = []
     best = 0
     if cv_folds:
-        reached = min(len(fits), len(held))
-        best = int(np.argmin(held[:reached]))
+        reached = min(len(fits), *(len(h) for h in held))
+        held = sum(h[:reached] for h in held)
+        best = int(np.argmin(held))
         curve = list(zip(lambdas[:reached].tolist(), (held[:reached] / n).tolist()))
         if best == reached - 1:
-            warnings.warn("Optimal lambda is at the lower boundary of the search range. Consider decreasing `lambda_min_ratio`.", stacklevel=2)
+            warnings.warn("The best lambda lies at the lower boundary of those searched; a smaller `lambda_min_ratio` may fit better.", stacklevel=2)
     lam = float(lambdas[best])
-    b0, b = fits[best]
-    log.info("Optimal lambda: %.3g. Computing posterior covariance (%dx%d)...", lam, p, p)
+    b0, b = float(fits[best][0]), fits[best][1:]
+    log.info("Lambda %.3g; posterior covariance of %d x %d numbers.", lam, p, p)
     # the penalty enters unscaled by n and on the columns as they are
-    sigma = np.linalg.inv(gram(design, b0, b) + lam * np.eye(p))
+    sigma = np.linalg.inv(gram(blocks, p, weights_at(b0, b)) + lam * np.eye(p))
     return ScaleModel(method, b, b0, lam, a, sigma, curve, n)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.hashing import coin, draw, with_rank
-from ..operators import annotate, embeddings, layout, model, pairs, score, validate
+from ..operators import annotate, blocks, embeddings, layout, model, pairs, score, validate
 from ..sources import cache, datasets, providers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -371,7 +371,7 @@ def train_design(spark, sf_dir):
 def gram_matrix(spark, sf_dir):
     """Weighted sums of products at fixed coefficients: p x p numbers."""
     x = model.embedding_differences(model.usable(_judged(spark, sf_dir), "train"), _emb(spark, sf_dir))
-    g = model.gram(x, 0.0, np.array(V))
+    g = blocks.gram(blocks.packed(x, SEED, DIMS), DIMS, model.weights_at(0.0, np.array(V)), tile=24)
     rows = [(i, k, float(g[i, k])) for i in range(DIMS) for k in range(DIMS)]
     return spark.createDataFrame(rows, "i int, k int, value double").select("i", "k", (F.round("value", 5) + 0).alias("value"))
 
@@ -422,6 +422,77 @@ def bootstrap_draws(spark, sf_dir):
     return d.groupBy("r", coin(draw(SEED, "boot", "r", "i")).alias("heads")).agg(F.count("*").alias("n"))
 
 
+@query(
+    f"""WITH {E}, {SCORES}, q AS (SELECT doc_id, sqrt(list_sum(list_transform(generate_series(1, 64), lambda i: 0.02 * v[i] * v[i] + CASE WHEN i < 64 THEN 2 * 0.004 * v[i] * v[i + 1] ELSE 0 END))) AS se FROM e)
+    SELECT doc_id, round(score, 6) AS score, round(score - {Z!r} * se, 6) AS lower, round(score + {Z!r} * se, 6) AS upper FROM s JOIN q USING (doc_id)"""
+)
+def score_laplace_full(spark, sf_dir):
+    """Intervals from a covariance with entries beside its diagonal."""
+    sigma = 0.02 * np.eye(DIMS) + 0.004 * (np.eye(DIMS, k=1) + np.eye(DIMS, k=-1))
+    return score.laplace(_emb(spark, sf_dir), model.ScaleModel("ridge", np.array(BETA), sigma_post=sigma)).select("doc_id", *[F.round(c, 6).alias(c) for c in ("score", "lower", "upper")])
+
+
+# fits in a plane, where SQL can take the Newton steps
+
+PLANE_LAMBDA, PLANE_REPLICATES, PLANE_BETA = 0.05, 20, (1.0, 0.1)
+PLANE = f"pl AS (SELECT doc_id, round(list_dot_product(v, {_list(V)}), 9) AS e1, round(4 * v[1], 9) AS e2 FROM e)"
+PLANE_PAIRS = f"""{JUDGED}, {PLANE},
+x AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {_draw('fold', 'doc_id_a', 'doc_id_b')}, doc_id_a, doc_id_b) - 1 AS pair, a.e1 - b.e1 AS x1, a.e2 - b.e2 AS x2, (winner = 'A')::INT::DOUBLE AS y
+  FROM j JOIN pl a ON a.doc_id = doc_id_a JOIN pl b ON b.doc_id = doc_id_b WHERE split = 'train' AND winner != 'tie')"""
+DRAWN = f"(SELECT r, ('0x' || md5(concat_ws('_', '{SEED}', 'boot', r, i))[1:13])::BIGINT % n AS pair FROM (SELECT count(*) AS n FROM x), generate_series(0, {PLANE_REPLICATES - 1}) a(r), generate_series(0, n - 1) b(i))"
+
+
+def _newton_sql(weights: str, steps: int = 12) -> str:
+    """Tables n0 .. n<steps> of (r, c0, c1, c2): Newton steps of penalised logistic fits in the
+    plane for the case weights ``weights`` (r, pair, c)."""
+    lam = PLANE_LAMBDA
+    out = [
+        f"w AS MATERIALIZED ({weights})",
+        "z AS MATERIALIZED (SELECT r, c, x1, x2, y FROM w JOIN x USING (pair))",
+        "mo AS MATERIALIZED (SELECT r, n, s11 / n - (s1 / n) ** 2 AS v1, s22 / n - (s2 / n) ** 2 AS v2 FROM (SELECT r, sum(c) AS n, sum(c * x1) AS s1, sum(c * x2) AS s2, sum(c * x1 * x1) AS s11, sum(c * x2 * x2) AS s22 FROM z GROUP BY r))",
+        "n0 AS (SELECT r, 0.0::DOUBLE AS c0, 0.0::DOUBLE AS c1, 0.0::DOUBLE AS c2 FROM mo)",
+    ]
+    for k in range(steps):
+        out.append(f"""n{k + 1} AS MATERIALIZED (
+  SELECT r, c0 + ((d * f - e * e) * g0 + (c * e - b * f) * g1 + (b * e - c * d) * g2) / det AS c0, c1 + ((c * e - b * f) * g0 + (a * f - c * c) * g1 + (b * c - a * e) * g2) / det AS c1, c2 + ((b * e - c * d) * g0 + (b * c - a * e) * g1 + (a * d - b * b) * g2) / det AS c2
+  FROM (SELECT *, a * (d * f - e * e) + b * (c * e - b * f) + c * (b * e - c * d) AS det FROM (
+    SELECT r, c0, c1, c2, a, b, c, d + {lam} * n * v1 AS d, e, f + {lam} * n * v2 AS f, g0, g1 - {lam} * n * v1 * c1 AS g1, g2 - {lam} * n * v2 * c2 AS g2
+    FROM (SELECT r, sum(c * h) AS a, sum(c * h * x1) AS b, sum(c * h * x2) AS c, sum(c * h * x1 * x1) AS d, sum(c * h * x1 * x2) AS e, sum(c * h * x2 * x2) AS f, sum(c * (y - p)) AS g0, sum(c * (y - p) * x1) AS g1, sum(c * (y - p) * x2) AS g2
+      FROM (SELECT *, p * (1 - p) AS h FROM (SELECT z.*, 1 / (1 + exp(-(c0 + c1 * x1 + c2 * x2))) AS p FROM z JOIN n{k} USING (r))) GROUP BY r) JOIN mo USING (r) JOIN n{k} USING (r))))""")
+    return ", ".join(out)
+
+
+def _plane(spark, sf_dir):
+    e = _emb(spark, sf_dir)
+    return e.select("doc_id", F.array(F.round(S.dot(F.col("embedding"), S.literal(V)), 9), F.round(4 * F.col("embedding")[0], 9)).alias("embedding"))
+
+
+@query(f"WITH {PLANE_PAIRS}, {_newton_sql('SELECT 0 AS r, pair, 1 AS c FROM x')} SELECT unnest(['intercept', 'first', 'second']) AS term, round(unnest([c0, c1, c2]), 6) AS value FROM n12")
+def fit_plane(spark, sf_dir):
+    """A ridge fit at a fixed lambda, against Newton steps in SQL."""
+    m = model.fit_model(_stored(_judged(spark, sf_dir)), _plane(spark, sf_dir), "ridge", lambda_=PLANE_LAMBDA, seed=SEED)
+    return spark.createDataFrame([("intercept", m.intercept), ("first", float(m.beta[0])), ("second", float(m.beta[1]))], "term string, value double").select("term", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {PLANE_PAIRS} SELECT r, pair, count(*) AS times FROM {DRAWN} GROUP BY 1, 2")
+def bootstrap_weights(spark, sf_dir):
+    """How often each replicate draws each pair: as many draws as there are train pairs."""
+    n = model.usable(_judged(spark, sf_dir), "train").count()
+    return score.drawn(spark, n, 0, PLANE_REPLICATES, SEED).groupBy(F.col("b").alias("r"), F.col("at").alias("pair")).agg(F.count("*").alias("times"))
+
+
+@query(
+    f"""WITH {PLANE_PAIRS}, {_newton_sql(f'SELECT r, pair, count(*) AS c FROM {DRAWN} GROUP BY 1, 2')},
+    t AS (SELECT r, CASE WHEN c1 * {PLANE_BETA[0]} + c2 * {PLANE_BETA[1]} < 0 THEN -1 ELSE 1 END AS s, c1, c2 FROM n12)
+    SELECT doc_id, round({PLANE_BETA[0]} * e1 + {PLANE_BETA[1]} * e2, 6) AS score, round(quantile_cont(s * (c1 * e1 + c2 * e2), 0.025), 6) AS lower, round(quantile_cont(s * (c1 * e1 + c2 * e2), 0.975), 6) AS upper FROM pl, t GROUP BY doc_id, e1, e2"""
+)
+def bootstrap_plane(spark, sf_dir):
+    """Bootstrap intervals at a fixed lambda, draws and refits against SQL."""
+    m = model.ScaleModel("ridge", np.array(PLANE_BETA), 0.0, PLANE_LAMBDA, 0.0)
+    got = score.score_documents(m, _plane(spark, sf_dir), ci=True, ci_method="bootstrap", n_boot=PLANE_REPLICATES, comparisons=_stored(_judged(spark, sf_dir)), seed=SEED)
+    return got.select("doc_id", *[F.round(c, 6).alias(c) for c in ("score", "lower", "upper")])
+
+
 # --- validation --------------------------------------------------------------
 
 
@@ -721,6 +792,28 @@ def fit_svm(spark, sf_dir):
     return _coefficients(spark, _fit(spark, sf_dir, "svm")[0])
 
 
+@query(f"WITH {JUDGED} SELECT count(*) AS n_pairs, true AS is_least FROM j WHERE split = 'train' AND winner != 'tie'")
+def svm_optimum(spark, sf_dir):
+    """Whether the SVM, fitted by passes over the cluster, is the least of its objective: the
+    dual objective at the multipliers that its margins leave free comes up to it."""
+    comparisons, e = _stored(_judged(spark, sf_dir)), _emb(spark, sf_dir)
+    m = model.fit_model(comparisons, e, "svm", seed=SEED, task_cells=0)
+    x = model.embedding_differences(model.usable(comparisons, "train"), e)
+    sign = F.when(F.col("y") > 0.5, 1.0).otherwise(-1.0)
+    margin = sign * (S.dot(F.col("x"), S.literal(m.beta)) + m.intercept)
+    # at the least point w is the sum of rows below the margin, and of some part of those on it
+    below = x.select(sign.alias("s"), "x", margin.alias("m")).where("m < 1 + 1e-6")
+    rows = below.select(F.when(F.col("m") < 1 - 1e-6, 1.0).otherwise(0.0).alias("full"), F.transform("x", lambda v: v * F.col("s")).alias("z"), "s")
+    sums = rows.where("full = 1").select(F.posexplode(F.concat("z", F.array(3.0 * F.col("s")))).alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
+    rest = np.concatenate([m.beta, [m.intercept / 3]]) - np.array([v for _, v in sorted((r.i, r.v) for r in sums)])
+    on = np.array([[*r.z, 3.0 * r.s] for r in rows.where("full = 0").select("z", "s").collect()]).reshape(-1, DIMS + 1)  # at most some p + 1 rows lie on the margin
+    part, pull = np.full(len(on), 0.5), max(np.linalg.norm(on, 2) ** 2, 1e-9) if len(on) else 1.0
+    for _ in range(50_000):  # shares between 0 and 1 that make up the rest; rows may depend on one another
+        part = np.clip(part - on @ (on.T @ part - rest) / pull, 0, 1)
+    least = bool(np.abs(on.T @ part - rest).max() < 1e-3)
+    return x.agg(F.count("*").alias("n_pairs")).withColumn("is_least", F.lit(least))
+
+
 @query()
 def cv_curve(spark, sf_dir):
     m, _, _ = _fit(spark, sf_dir, "ridge")

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from latentrank.operators.model import ScaleModel, embedding_differences, fit_model, gram
+from latentrank.operators.blocks import gram, packed
+from latentrank.operators.model import ScaleModel, embedding_differences, fit_model, weights_at
 from latentrank.operators.score import score_documents
 from latentrank.operators.solvers import CubicSpline, Moments, fit_path, fit_smooth, lambda_path, linear_svm, sigmoid
 from latentrank.operators.validate import GRID, Validation, ValidationStopped, calibration_smooth, check_quality, validate_model
@@ -70,7 +71,9 @@ def test_cluster_steps_equal_task_steps(spark):
     design = embedding_differences(comp, emb)
     x = np.array([r.x for r in design.collect()])
     w = sigmoid(0.1 + x @ a.beta)
-    assert np.allclose(gram(design, 0.1, a.beta), (x * (w * (1 - w))[:, None]).T @ x)
+    want = (x * (w * (1 - w))[:, None]).T @ x
+    for tile in (512, 3):  # one tile, and rims of ten columns in tiles of three
+        assert np.allclose(gram(packed(design, 1, 10), 10, weights_at(0.1, a.beta), tile=tile), want)
 
 
 def test_errors(spark):
