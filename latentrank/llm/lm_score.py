@@ -108,9 +108,12 @@ def count_words(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
 
         def send():
             k, n, s = added(*(np.concatenate(x) for x in zip(*held)))
-            rest = np.zeros(len(k), SENT)
-            rest["n"], rest["signs"] = n, np.clip(s, -32767, 32767)
-            yield from packed(0, k, rest, buckets).to_batches()
+            while len(k):  # sums beyond 16 bits go in several entries: nothing is cut off
+                rest = np.zeros(len(k), SENT)
+                rest["n"], rest["signs"] = n, np.clip(s, -32767, 32767)
+                yield from packed(0, k, rest, buckets).to_batches()
+                more = (s > 32767).any(1) | (s < -32767).any(1)
+                k, n, s = k[more], np.zeros(more.sum(), np.int64), s[more] - rest["signs"][more]
 
         for batch in batches:
             for _, _, data, offsets in texts_of(pa.Table.from_batches([batch]), text_col):

@@ -105,3 +105,12 @@ def test_odd_rows(spark, odd_docs):
     assert lm_scores(odd_docs.limit(0)).count() == 0
     assert shifted(np.zeros(1, int), np.zeros(1, int), 1, 9).tolist() == [9]
     assert Encoded(np.array([0, 1]), np.array([TIERS + 2], np.uint16)).near == [[CLASSES]] * 4
+
+
+def test_signatures_of_frequent_words_are_whole(spark):
+    """Sums far beyond 16 bits, in one task or in several."""
+    rows = [(i, "tick tock tack " * 3000 + f"end {i}") for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    one, many = ({k: (n, s.tolist()) for k, (n, s) in vocabulary(count_words(docs.repartition(p), "text", 16)).items()} for p in (1, 12))
+    assert one == many and max(abs(x) for _, s in one.values() for x in s) > 65534
+    assert sorted(n for n, _ in one.values())[-3:] == [72000] * 3
