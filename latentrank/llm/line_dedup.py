@@ -174,26 +174,24 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def send_bytes(part: int, t: pa.Table, told: pa.Table) -> pa.Table:
         keys, many = held(t)
         known = Lookup(np.concatenate([entries(told)[0], keys[many]]))
-        first: dict[int, tuple[tuple[int, int], bytes]] = {}
-        clash = set()
+        first: dict[tuple[int, bytes], tuple[int, int]] = {}
         for _, _, data, _, c in blocks(t):
             hit, _ = known.find(c.name[c.fit])
             for k in c.fit[hit].tolist():
-                body, place, name = data[c.from_byte[k] : c.body_end[k]].tobytes(), (int(c.doc[k]), int(c.place[k])), int(c.name[k])
-                if name not in first:
-                    first[name] = (place, body)
-                elif first[name][1] != body:
-                    clash.add(name)  # other bytes of the same hash: such chunks stay, all of them
-                elif place < first[name][0]:
-                    first[name] = (place, body)
-        names = np.array(sorted(set(first) - clash), U64)
+                # other bytes of the same hash are another chunk
+                key, place = (int(c.name[k]), data[c.from_byte[k] : c.body_end[k]].tobytes()), (int(c.doc[k]), int(c.place[k]))
+                if key not in first or place < first[key]:
+                    first[key] = place
+        chunks = sorted(first)
+        names = np.array([name for name, _ in chunks], U64)
         cut = [0, *np.searchsorted(names, bucket_bounds(buckets)).tolist(), len(names)]
         out = []
         for b in range(buckets):
             part_names = names[cut[b] : cut[b + 1]]
             if len(part_names):
-                bodies = [first[int(x)][1] for x in part_names]
-                head = np.array([first[int(x)][0] for x in part_names], np.int64).tobytes() + np.array([len(x) for x in bodies], np.int64).tobytes()
+                mine = chunks[cut[b] : cut[b + 1]]
+                bodies = [body for _, body in mine]
+                head = np.array([first[x] for x in mine], np.int64).tobytes() + np.array([len(x) for x in bodies], np.int64).tobytes()
                 out.append((b, part, part_names.tobytes(), head + b"".join(bodies)))
         return pa.table({"bucket": pa.array([x[0] for x in out], pa.int32()), "part": pa.array([x[1] for x in out], pa.int32()), "keys": pa.array([x[2] for x in out], pa.binary()), "rest": pa.array([x[3] for x in out], pa.binary())})
 
@@ -217,14 +215,27 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             told[i] = least[(name, body)]
         return answers(np.array([x[0] for x in seen], np.int32), np.array([x[1] for x in seen], U64), told)
 
+    def ambiguous(keys: np.ndarray, t: pa.Table) -> dict[int, list[bytes]]:
+        """Names that several of the group's chunks share, with their bytes in the order sent."""
+        names, n = np.unique(keys, return_counts=True)
+        out: dict[int, set] = {int(x): set() for x in names[n > 1]}
+        if out:
+            for _, _, data, _, c in blocks(t):
+                for k in c.fit[np.isin(c.name[c.fit], names[n > 1])].tolist():
+                    out[int(c.name[k])].add(data[c.from_byte[k] : c.body_end[k]].tobytes())
+        return {name: sorted(bodies) for name, bodies in out.items()}
+
     def drop(part: int, t: pa.Table, told: pa.Table) -> pa.Table:
         keys, _, rest = entries(told, PLACE)
         order = np.argsort(keys, kind="stable")
         known, first = Lookup(keys), rest[order]
+        nth = ambiguous(keys[order], t)
         texts, n_lines, n_gone = [], [], []
         for a, b, data, offsets, c in blocks(t):
             hit, at = known.find(c.name[c.fit])
             k = c.fit[hit]
+            for i in np.flatnonzero(np.isin(c.name[k], list(nth))) if nth else ():
+                at[i] += nth[int(c.name[k[i]])].index(data[c.from_byte[k[i]] : c.body_end[k[i]]].tobytes())
             later = (first["doc"][at] < c.doc[k]) | ((first["doc"][at] == c.doc[k]) & (first["line"][at] + c.apart[k] < c.place[k]) & (c.doc[k] != NEVER))
             gone = k[later]
             edge = np.zeros(len(data) + 1, np.int32)

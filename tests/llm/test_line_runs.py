@@ -51,3 +51,22 @@ def test_odd_rows_stay(spark, odd_docs):
     got = line_dedup(odd_docs, whole_runs=True)
     assert got.count() == odd_docs.count() and odd_docs.select("text").exceptAll(got.select("text")).count() == 0
     assert line_dedup(odd_docs.limit(0), whole_runs=True).count() == 0
+
+
+def test_runs_of_one_hash_are_told_apart(spark):
+    """Structured lines whose polynomial hashes are equal modulo 2 ** 64: each run keeps its first copy."""
+    import numpy as np
+
+    from latentrank.llm.text import span_hash
+
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    a, b = ("".join("ab"[x ^ k] for x in bits) for k in (0, 1))
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    one, other = span_hash(data, np.array([0, 2048]), np.array([2048, 4096]))
+    assert a != b and one == other
+    tail = "one two three four five six seven eight"
+    rows = [(i, f"head {i}\n{a if i % 2 else b}\n{tail}\nfoot {i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in line_dedup(docs, counts=False, whole_runs=True).collect()}
+    assert sorted(i for i in got if got[i] == rows[i][1]) == [0, 1]
+    assert all(got[i] == f"head {i}\nfoot {i}" for i in range(2, 40))
