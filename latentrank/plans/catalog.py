@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.hashing import coin, draw, with_rank
-from ..operators import annotate, blocks, embeddings, layout, model, pairs, score, validate
+from ..operators import annotate, blocks, embeddings, layout, model, pairs, score, summary, validate
 from ..sources import cache, datasets, providers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -545,14 +545,30 @@ def calibration_bins(spark, sf_dir):
 def score_correlation(spark, sf_dir):
     e = _emb(spark, sf_dir)
     both = e.select(S.dot(F.col("embedding"), S.literal(BETA)).alias("a"), F.round(S.dot(F.col("embedding"), S.literal(V)), 9).alias("b"))
-    return both.agg(F.round(F.corr("a", "b"), 6).alias("correlation"), F.count("*").alias("n"))
+    return summary.correlation(summary.co_moments(both, "a", "b")).select(F.round("correlation", 6).alias("correlation"), "n")
+
+
+@query(f"WITH {E}, {SCORES}, g AS (SELECT source, CASE WHEN doc_id % 3 != 0 THEN score END AS a, CASE WHEN doc_id % 5 != 0 THEN n_chars::DOUBLE END AS b FROM documents LEFT JOIN s USING (doc_id)) SELECT source, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS n, round(corr(a, b), 6) AS correlation FROM g GROUP BY source HAVING count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) > 1")
+def complete_correlation(spark, sf_dir):
+    """By source, over rows that have both numbers, added up from parts by language."""
+    d = _docs(spark, sf_dir).join(score.score_linear(_emb(spark, sf_dir), BETA), "doc_id", "left")
+    rows = d.select("source", "lang", F.when(F.col("doc_id") % 3 != 0, F.col("score")).alias("a"), F.when(F.col("doc_id") % 5 != 0, F.col("n_chars")).alias("b"))
+    parts = summary.co_moments(rows, "a", "b", ["source", "lang"])
+    return summary.correlation(summary.added_moments(parts, ["source"])).where("n > 1").select("source", "n", F.round("correlation", 6).alias("correlation"))
 
 
 @query(f"WITH {E}, {SCORES} SELECT lang, round(min(score), 6) AS q0, round(quantile_cont(score, 0.25), 6) AS q1, round(quantile_cont(score, 0.5), 6) AS q2, round(quantile_cont(score, 0.75), 6) AS q3, round(max(score), 6) AS q4 FROM documents JOIN s USING (doc_id) GROUP BY lang")
 def score_boxplot(spark, sf_dir):
     d = _docs(spark, sf_dir).join(score.score_linear(_emb(spark, sf_dir), BETA), "doc_id")
-    q = d.groupBy("lang").agg(F.percentile("score", F.array(*[F.lit(i / 4) for i in range(5)])).alias("q"))
-    return q.select("lang", *[F.round(F.col("q")[i], 6).alias(f"q{i}") for i in range(5)])
+    q = summary.group_quantiles(d, ["lang"], "score", [i / 4 for i in range(5)])
+    return q.select("lang", *[F.round(F.col("quantiles")[i], 6).alias(f"q{i}") for i in range(5)])
+
+
+@query("SELECT l_returnflag, count(*) AS n, round(quantile_cont(l_quantity::DOUBLE, 0.1), 6) AS low, round(quantile_cont(l_quantity::DOUBLE, 0.5), 6) AS middle, round(quantile_cont(l_quantity::DOUBLE, 0.95), 6) AS high FROM lineitem GROUP BY l_returnflag")
+def heaped_quantiles(spark, sf_dir):
+    """Quantiles of few distinct values in large groups."""
+    q = summary.group_quantiles(_table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", [0.1, 0.5, 0.95])
+    return q.select("l_returnflag", "n", *[F.round(F.col("quantiles")[i], 6).alias(c) for i, c in enumerate(("low", "middle", "high"))])
 
 
 # --- page layout and captions -----------------------------------------------

@@ -85,3 +85,49 @@ def test_wrapped_lines_are_held_to_the_first(spark):
 def test_titles(spark):
     d = spark.createDataFrame([("O'BRIEN county-WEST 2nd",)], "s string")
     assert d.select(layout.title_case(F.col("s")).alias("t")).first().t == "O'Brien County-West 2Nd"
+
+
+def test_matches_equal_a_loop_over_all_pairs(spark):
+    """Crowded pages, equal heights, negative places, null columns, places on the rims of bands and cells."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    draw = random.Random(8)
+    spot = lambda: float(draw.choice([draw.randrange(-300, 900), draw.randrange(-2, 5) * 255, draw.randrange(6) * 40]))
+    entries = [(draw.choice([1, 2, 2, 2, None]), i, draw.choice(["L", "R", None]), spot()) for i in range(150)]
+    boxes = [(draw.choice([1, 2, 2, 3, None]), i, draw.choice(["L", "R", None]), spot(), f"label {i % 40:02d}") for i in range(120)]
+    e = spark.createDataFrame(entries, "page int, entry_id bigint, col string, y0 double")
+    b = spark.createDataFrame(boxes, "page int, box_id bigint, col string, y1 double, label string")
+    got = {(r.page, r.entry_id): (r.gap, r.box_id) for r in layout.nearest_above(e, b).collect()}
+    want = {}
+    for p, i, c, y in entries:
+        near = [(y - z, k) for q, k, d, z, _ in boxes if p is not None and p == q and c is not None and c == d and -5 <= y - z <= 250]
+        if near:
+            want[p, i] = min(near)
+    assert got == want and len(want) > 50
+    got = {(r.page, r.entry_id): r.label for r in layout.label_above(e, b).collect()}
+    want = {}
+    for p, i, c, y in entries:
+        above = [(c is not None and c == d, z, t) for q, _, d, z, t in boxes if p is not None and p == q and z <= y + 1]
+        if above:
+            want[p, i] = max(above)[2]
+    assert got == want and len(want) > 50
+    lines = [(draw.choice([1, 2, 2]), i, "t", float(draw.randrange(-90, 200)), y := spot(), y + draw.choice([8.0, 10.0, 95.0]), draw.random() < 0.4) for i in range(200)]
+    df = spark.createDataFrame(lines, "page int, line_id bigint, text string, x0 double, y0 double, y1 double, bold boolean")
+    got = {(r.page, r.line_id): r.next_id for r in layout.next_within(df).collect()}
+    want = {}
+    for p, i, _, x, y, z, _ in lines:
+        near = [(v, k) for q, k, _, u, v, _, bold in lines if p == q and k != i and not bold and v > y - 1 and v - z <= 20 and abs(u - x) <= 30]
+        if near:
+            want[p, i] = min(near)[1]
+    assert got == want and len(want) > 30
+
+
+def test_a_crowded_page_makes_no_pairs(spark):
+    """Rows of the match stay in proportion to a page's: all pairs would be 10 ** 10."""
+    n = 100_000
+    e = spark.range(n).selectExpr("1 AS page", "id AS entry_id", "'L' AS col", "CAST(id % 5000 AS double) AS y0")
+    b = spark.range(n).selectExpr("1 AS page", "id AS box_id", "'L' AS col", "CAST(id % 5000 AS double) AS y1")
+    assert layout.nearest_above(e, b).count() == n
+    assert layout.label_above(e, b.selectExpr("*", "CAST(box_id AS string) AS label")).count() == n
