@@ -2,7 +2,8 @@
 
 A cache is a parquet table partitioned by ``cache_key``, a hash of whatever
 determines the results, so that results of different settings live side by side
-and a read touches one key's files only.
+and a read touches one key's files only.  Entries grow by appended parts: what
+is written follows the new rows, and ``compact`` joins the parts of a key.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
@@ -96,8 +97,33 @@ def replace_table(rows: DataFrame, path: str, key: str, keep: bool = False) -> N
         fs.delete(at(old), True)
 
 
-def write_entry(rows: DataFrame, path: str, key: str) -> None:
-    """Replaces one key's rows; the others stay.  The rows may come from the
-    same table: they are written elsewhere first."""
-    ready = saved(rows.withColumn("cache_key", F.lit(key)))
+def append_entry(rows: DataFrame, path: str, key: str) -> None:
+    """Adds rows to one key's; all that is there stays as it is."""
+    rows.withColumn("cache_key", F.lit(key)).write.mode("append").partitionBy("cache_key").parquet(path)
+
+
+def compact(spark: SparkSession, path: str, key: str, distinct: list[str], files: int = 1) -> int:
+    """Writes one key's rows anew as ``files`` files, one row for each value of the
+    columns ``distinct`` (rows without nulls in the others first); the number of rows."""
+    rows = read_entry(spark, path, key)
+    if rows is None:
+        return 0
+    ready = saved(first_of(rows, distinct).repartition(files).withColumn("cache_key", F.lit(key)))
     ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cache_key").parquet(path)
+    return ready.count()
+
+
+def digest(*columns: str) -> list[Column]:
+    """Keys that stand for texts in joins and groups: SHA-256 of each, a null its own."""
+    return [F.coalesce(F.sha2(F.col(c), 256), F.lit("null")) for c in columns]
+
+
+def first_of(rows: DataFrame, distinct: list[str]) -> DataFrame:
+    """One row for each value of ``distinct``, one with a value in all other columns where there is one."""
+    rest = [c for c in rows.columns if c not in distinct]
+    whole = F.lit(True)
+    for c in rest:
+        whole = whole & F.col(c).isNotNull()
+    keys = [d.alias(f"__d{i}") for i, d in enumerate(digest(*distinct))]
+    best = rows.select("*", *keys, whole.alias("__whole")).groupBy(*[f"__d{i}" for i in range(len(keys))]).agg(F.max_by(F.struct(*rows.columns), F.col("__whole").cast("int")).alias("r"))
+    return best.select("r.*").select(*rows.columns)

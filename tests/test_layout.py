@@ -131,3 +131,10 @@ def test_a_crowded_page_makes_no_pairs(spark):
     b = spark.range(n).selectExpr("1 AS page", "id AS box_id", "'L' AS col", "CAST(id % 5000 AS double) AS y1")
     assert layout.nearest_above(e, b).count() == n
     assert layout.label_above(e, b.selectExpr("*", "CAST(box_id AS string) AS label")).count() == n
+
+
+def test_pages_without_a_gap_are_split_in_the_middle(spark):
+    rows = [(1, 10.0, 600.0), (1, 300.0, 600.0), (2, 10.0, 500.0), (2, 14.0, 500.0), (3, 7.0, 90.0)]
+    df = spark.createDataFrame(rows, "page int, x double, w double")
+    assert {r.page: r.threshold for r in layout.column_split(df, width="w").collect()} == {1: 155.0, 2: 250.0, 3: 45.0}
+    assert {r.page: r.threshold for r in layout.column_split(df).collect()} == {1: 155.0, 2: None, 3: None}

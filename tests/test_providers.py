@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from latentrank.operators.annotate import annotate_comparisons, cache_key, cost_estimate, system_prompt
-from latentrank.operators.embeddings import embedding_cache_key, get_embeddings
+from latentrank.operators.embeddings import Unanswered, embedding_cache_key, get_embeddings
 from latentrank.plans.pipeline import scale_documents
-from latentrank.sources.cache import ForeignCache
+from latentrank.sources.cache import ForeignCache, append_entry, compact
 from latentrank.sources.providers import HttpEmbedder, RuleAnnotator, ServiceError, TableAnnotator, image_uris
 from latentrank.streaming.scoring import score_stream
 
@@ -187,3 +187,79 @@ def test_other_statuses_are_errors(monkeypatch):
     for status in (403, 404, 501):
         with pytest.raises(ServiceError, match=str(status)):
             HttpEmbedder(lambda b, h, status=status: (status, ""), wait=lambda s: None)(["d"])
+
+
+def test_a_failing_service_is_asked_for_the_rest_only(spark, tmp_path):
+    path, seen = str(tmp_path / "cache"), tmp_path / "seen"
+    seen.mkdir()
+    texts = [f"text {i}" for i in range(300)] + [None]
+
+    def service(texts, broken=False, **options):
+        if broken and any(t and t.endswith("7") for t in texts) and len(list(seen.iterdir())) >= 8:
+            raise TimeoutError("no answer")
+        (seen / f"{abs(hash(tuple(texts)))}-{broken}").write_text(json.dumps(texts))
+        return [[float(len(t or "")), 0.0] for t in texts]
+
+    with pytest.raises(Unanswered, match="TimeoutError: no answer"):
+        get_embeddings(docs(spark, texts), path, embedder=lambda t, **kw: service(t, True), chunk_size=5)
+    first = [t for f in seen.iterdir() for t in json.loads(f.read_text())]
+    assert 0 < len(first) < len(texts)
+    got = get_embeddings(docs(spark, texts), path, embedder=service, chunk_size=5)
+    assert got.count() == len(texts)
+    every = [t for f in seen.iterdir() for t in json.loads(f.read_text())]
+    assert len(every) == len(set(every)) == len(texts)  # each text was answered once, over both runs
+    assert get_embeddings(docs(spark, texts), path, embedder=refuse).count() == len(texts)
+    assert [p.name for p in tmp_path.iterdir() if "asked" in p.name] == []
+
+
+def test_caches_grow_by_parts(spark, tmp_path):
+    path = tmp_path / "e"
+    one = lambda texts, **kw: [[float(len(t)), 1.0] for t in texts]
+    files = lambda: {p: p.stat().st_size for p in path.rglob("*.parquet")}
+    get_embeddings(docs(spark, [f"{'long ' * 200}{i}" for i in range(200)]), str(path), embedder=one)
+    before = files()
+    get_embeddings(docs(spark, [f"{'long ' * 200}{i}" for i in range(201)]), str(path), embedder=one)
+    after = files()
+    added = [str(p) for p in after.keys() - before.keys()]
+    assert before.items() <= after.items() and spark.read.parquet(*added).count() == 1
+    get_embeddings(docs(spark, [f"{'long ' * 200}{i}" for i in range(201)]), str(path), embedder=refuse)
+    assert files() == after  # nothing new, nothing written
+    key = embedding_cache_key("text", None, {})
+    append_entry(spark.createDataFrame([("again", [1.0]), ("again", None), ("again", [1.0])], "text string, embedding array<double>"), str(path), key)
+    assert get_embeddings(docs(spark, ["again", "again"]), str(path), embedder=refuse).count() == 2
+    assert compact(spark, str(path), key, ["text"]) == 202 and len(files()) == 1
+    assert get_embeddings(docs(spark, ["again"]), str(path), embedder=refuse).first().embedding == [1.0]
+
+
+def test_annotations_grow_by_parts(spark, tmp_path):
+    path = tmp_path / "a"
+    files = lambda: {p: p.stat().st_size for p in path.rglob("*.parquet")}
+    annotate_comparisons(pairs(spark).limit(2), annotator=always(None), cache=str(path))
+    before = files()
+    annotate_comparisons(pairs(spark), annotator=always("A"), cache=str(path))
+    after = files()
+    assert before.items() <= after.items() and len(after) > len(before)
+    assert [r.winner for r in annotate_comparisons(pairs(spark), annotator=refuse, cache=str(path)).collect()] == ["A"] * 3
+    assert files() == after
+    same = spark.createDataFrame([(0, 1, None, "y"), (0, 2, "null", "y")], "doc_id_a bigint, doc_id_b bigint, text_a string, text_b string")
+    by_text = lambda prompts, system, model, **kw: ["A" if p.startswith("A: NA") else "B" for p in prompts]
+    got = annotate_comparisons(same, annotator=by_text, cache=str(path)).collect()
+    assert {r.doc_id_b: r.winner for r in got} == {1: "A", 2: "B"}
+
+
+def test_options_reach_the_services(spark):
+    texts = [f"{'x' * (i % 9)} {i}" for i in range(12)]
+    told = {}
+
+    def embedder(texts, **options):
+        if options.get("dimensions") != 2:
+            raise ValueError("dimensions are missing")
+        return [[float(len(t)), float(t.count("1"))] for t in texts]
+
+    def annotator(prompts, system, model, **options):
+        if options.get("effort") != "low":
+            raise ValueError("effort is missing")
+        return ["A" if len(p.split("\n")[0]) > len(p.split("\n")[1]) else "B" for p in prompts]
+
+    r = scale_documents(docs(spark, texts), "Which is longer?", seed=1, annotator=annotator, embedder=embedder, validate=False, ci=False, embed_options={"dimensions": 2}, annotate_options={"effort": "low"}, lambda_=0.1, **told)
+    assert r.scores.count() == 12
