@@ -1,16 +1,18 @@
 """Sampling of comparison pairs, with optional holdout and blocks.
 
 Documents are rows (doc_id, text, ...).  Only pairs within a split and, with
-blocks, within a block are made.  Where a group's budget is below half of its
-pairs, pairs are drawn by index and never enumerated; otherwise the group's
-pairs are listed by an equi-join and the first by a seeded hash are taken.
+blocks, within a block are made.  A group's pairs have numbers; a keyed
+permutation of the numbers makes its first images a sample without replacement,
+exactly as large as asked for and in one pass whatever the budget
+(``permuted_pairs``).  ``sample_pairs`` ranks pairs by a seeded hash instead:
+listed by an equi-join for budgets of half and more, else drawn by index.
 """
 
 from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import below, coin, draw, with_rank
@@ -161,6 +163,85 @@ def sample_pairs(docs: DataFrame, targets: DataFrame, groups: list[str], seed: i
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+#: Rounds of the permutation, and how often a number outside is permuted again at most.
+ROUNDS, WALKS = 4, 40
+#: The two largest primes below 2 ** 31, so that squares and products fit in 64 bits.
+PRIMES = (2147483647, 2147483629)
+
+
+def permuted(i: Column, n: Column, side: Column, keys: list[tuple[Column, Column]]) -> Column:
+    """A bijection of 0 .. n - 1, for ``side`` = ceil(sqrt(n)) and two seeded numbers a round.
+
+    A number is two digits of base ``side``; rounds add a function of one digit to
+    the other in turn, which permutes 0 .. side ** 2 - 1.  Images of n and more
+    are permuted again; as fewer than 2 side are outside, hardly any are, and
+    null (``WALKS`` in a row) is all but impossible.
+    """
+
+    rounds = F.array(*[F.struct(a.alias("a"), b.alias("b")) for a, b in keys])
+
+    def turn(at: Column, key: Column) -> Column:  # the two digits change places at every round
+        t = (at["r"] + key["b"]) % PRIMES[0]
+        return F.struct(at["r"].alias("l"), ((at["l"] + (t * t % PRIMES[0] * key["a"] + t) % PRIMES[1]) % side).alias("r"))
+
+    def once(x: Column) -> Column:
+        return F.aggregate(rounds, F.struct(F.call_function("div", x, side).alias("l"), (x % side).alias("r")), turn, lambda at: at["l"] * side + at["r"])
+
+    walk = lambda x: F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), x, lambda x, _: F.when(x < n, x).otherwise(once(x)), lambda x: F.when(x < n, x))
+    return _let(once(i), lambda first: F.when(first < n, first).otherwise(walk(first)))
+
+
+def permutation_keys(seed: int | None, groups: list[str]) -> list[tuple[Column, Column]]:
+    """Two numbers of 28 bits for each round, by seed and group."""
+    number = lambda role, r: F.conv(F.substring(draw(seed, f"{role}{r}", *[F.coalesce(F.col(g).cast("string"), F.lit("")) for g in groups]), 1, 7), 16, 10).cast("bigint")
+    return [(number("times", r), number("plus", r)) for r in range(ROUNDS)]
+
+
+def _let(value: Column, f) -> Column:
+    """``f(value)`` with the value worked out once, however often ``f`` uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def unranked(m: Column) -> Column:
+    """The m-th of the pairs (0, 1), (0, 2), (1, 2), (0, 3), ...: a struct (low, high)."""
+
+    def pair(m: Column) -> Column:
+        guess = F.floor((1 + F.sqrt(1 + 8 * m.cast("double"))) / 2).cast("bigint")  # the root is a float: one up or down
+        near = lambda g: F.when(_below(g) > m, g - 1).when(_below(g + 1) <= m, g + 1).otherwise(g)
+        return _let(_let(guess, near), lambda high: F.struct((m - _below(high)).alias("low"), high.alias("high")))
+
+    return _let(m, pair)
+
+
+def _below(high: Column) -> Column:
+    """Pairs with a smaller high: high (high - 1) / 2, in whole numbers."""
+    return F.when(high % 2 == 0, F.shiftright(high, 1) * (high - 1)).otherwise(high * F.shiftright(high - 1, 1))
+
+
+def permuted_pairs(docs: DataFrame, targets: DataFrame, groups: list[str], seed: int | None = None) -> DataFrame:
+    """(groups..., lo, hi): ``target`` distinct pairs of every group in ``targets``
+    (n_docs, n_possible, target): the images of the first numbers.  No pair is
+    listed beyond those, none is ranked, and none is drawn twice."""
+    index = with_rank(docs.select(*groups, "doc_id").withColumn("__h", draw(seed, "index", "doc_id")), groups, "__h", ["doc_id"], "place").select(*groups, (F.col("place") - 1).alias("at"), F.col("doc_id").alias("id"))
+    keyed = targets.where("target > 0")
+    for r, pair in enumerate(permutation_keys(seed, groups)):
+        keyed = keyed.withColumn(f"__a{r}", pair[0]).withColumn(f"__b{r}", pair[1])
+    root = F.ceil(F.sqrt(F.col("n_possible").cast("double"))).cast("bigint")
+    keyed = keyed.withColumn("__side", F.greatest(root, F.lit(1)) + 1)  # one more, lest the float root is short
+    chunks = keyed.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("target") - 1) / DRAWS)))).repartition(*groups, "chunk")
+    numbers = chunks.withColumn("i", F.explode(F.sequence(F.col("chunk") * DRAWS, F.least((F.col("chunk") + 1) * DRAWS, F.col("target")) - 1)))
+    image = permuted(F.col("i"), F.col("n_possible"), F.col("__side"), [(F.col(f"__a{r}"), F.col(f"__b{r}")) for r in range(ROUNDS)])
+    image = F.coalesce(image, F.raise_error(F.lit(f"a number left the range {WALKS} times")).cast("bigint"))
+    pairs = numbers.select(*groups, unranked(image).alias("p")).select(*groups, "p.low", "p.high")
+    for side in ("low", "high"):
+        i = index.select(*[F.col(g).alias(f"__{g}") for g in groups], F.col("at").alias("__at"), F.col("id").alias(f"{side}_id"))
+        on = F.col(side) == F.col("__at")
+        for g in groups:
+            on = on & F.col(g).eqNullSafe(F.col(f"__{g}"))
+        pairs = pairs.join(i, on).drop("__at", *[f"__{g}" for g in groups])
+    return pairs.select(*groups, F.least("low_id", "high_id").alias("lo"), F.greatest("low_id", "high_id").alias("hi"))
+
+
 def swap_slots(pairs: DataFrame, seed: int | None = None) -> DataFrame:
     """(lo, hi) as (doc_id_a, doc_id_b), turned for half of all pairs."""
     turn = coin(draw(seed, "swap", "lo", "hi"))
@@ -179,11 +260,12 @@ def small_blocks(docs: DataFrame, block: str = "block") -> DataFrame:
     return docs.where(F.col(block).isNotNull()).groupBy(F.col(block).cast("string").alias("block")).agg(F.count("*").alias("n_docs")).where("n_docs < 2")
 
 
-def generate_comparisons(docs: DataFrame, n_train: int | None = 10000, n_test: int | None = 5000, prop: float | None = None, holdout: str | None = None, blocks: str | None = None, seed: int | None = None) -> DataFrame:
+def generate_comparisons(docs: DataFrame, n_train: int | None = 10000, n_test: int | None = 5000, prop: float | None = None, holdout: str | None = None, blocks: str | None = None, seed: int | None = None, sampler=permuted_pairs) -> DataFrame:
     """doc_id_a, doc_id_b, text_a, text_b [, split] [, block].
 
     ``holdout`` and ``blocks`` name columns of ``docs``.  Without a split,
-    ``n_train`` is the whole budget.  None takes all pairs.
+    ``n_train`` is the whole budget.  None takes all pairs.  ``sampler`` is
+    ``permuted_pairs`` or ``sample_pairs``.
     """
     if docs.limit(2).count() < 2:
         raise ValueError("`documents` must contain at least 2 elements.")
@@ -206,9 +288,10 @@ def generate_comparisons(docs: DataFrame, n_train: int | None = 10000, n_test: i
     has_split = prop is not None or holdout is not None
 
     if blocks is not None:
-        small = sorted(r.block for r in small_blocks(docs, blocks).limit(1000).collect())
-        if small:
-            log.warning("Skipping %d block(s) with fewer than 2 documents: %s", len(small), ", ".join(small))
+        few = small_blocks(docs, blocks)
+        named = sorted(r.block for r in few.limit(1000).collect())  # of more blocks, not all are named
+        if named:
+            log.warning("Skipping %d block(s) with fewer than 2 documents: %s", len(named) if len(named) < 1000 else few.count(), ", ".join(named))
 
     rows = split_documents(docs, prop, holdout, seed).withColumn("block", F.col(blocks).cast("string") if blocks else F.lit(None).cast("string"))
     rows = rows.select("doc_id", "split", "block")
@@ -223,6 +306,6 @@ def generate_comparisons(docs: DataFrame, n_train: int | None = 10000, n_test: i
             log.warning("`n_%s` (%d) exceeds the number of unique %s pairs (%d). Using all %d.", kind, asked, kind, r.n, r.n)
     budgets = docs.sparkSession.createDataFrame([(k, v) for k, v in budget.items()], "for_split string, budget bigint")
     targets = allocate(sizes, budgets, seed).where("target > 0")
-    pairs = swap_slots(sample_pairs(rows, targets, groups, seed), seed)
+    pairs = swap_slots(sampler(rows, targets, groups, seed), seed)
     out = with_texts(pairs, docs)
     return out.select("doc_id_a", "doc_id_b", "text_a", "text_b", *(["split"] if has_split else []), *(["block"] if blocks is not None else []))

@@ -178,7 +178,38 @@ def sample_pairs_blocked(spark, sf_dir):
 )
 def sample_pairs_sparse(spark, sf_dir):
     """Far fewer pairs than possible: drawn by index, never listed."""
-    return pairs.generate_comparisons(_docs(spark, sf_dir).select("doc_id", "text"), n_train=2000, seed=SEED).select("doc_id_a", "doc_id_b")
+    return pairs.generate_comparisons(_docs(spark, sf_dir).select("doc_id", "text"), n_train=2000, seed=SEED, sampler=pairs.sample_pairs).select("doc_id_a", "doc_id_b")
+
+
+_KEY = lambda role, r: f"('0x' || md5(concat_ws('_', '{SEED}', '{role}{r}', source))[1:7])::BIGINT"
+
+
+def _permuted_sql() -> str:
+    """Recursive walk (source, i, n, side, x, ready) of a permutation of pair numbers."""
+    digits, steps = ["x // side", "x % side"], []
+    for r in range(pairs.ROUNDS):
+        steps.append(f"SELECT source, i, n, side, {'d0' if r % 2 else f'(d0 + ((d1 + b{r}) % {pairs.PRIMES[0]} * ((d1 + b{r}) % {pairs.PRIMES[0]}) % {pairs.PRIMES[0]} * a{r} + (d1 + b{r}) % {pairs.PRIMES[0]}) % {pairs.PRIMES[1]}) % side'} AS d0, "
+                     f"{f'(d1 + ((d0 + b{r}) % {pairs.PRIMES[0]} * ((d0 + b{r}) % {pairs.PRIMES[0]}) % {pairs.PRIMES[0]} * a{r} + (d0 + b{r}) % {pairs.PRIMES[0]}) % {pairs.PRIMES[1]}) % side' if r % 2 else 'd1'} AS d1 FROM ({{}}) JOIN k USING (source)")
+    query = f"SELECT source, i, n, side, {digits[0]} AS d0, {digits[1]} AS d1 FROM walk WHERE fresh OR x >= n"
+    for s in steps:
+        query = s.format(query)
+    keys = ", ".join(f"{_KEY('times', r)} AS a{r}, {_KEY('plus', r)} AS b{r}" for r in range(pairs.ROUNDS))
+    return f"""WITH RECURSIVE g AS (SELECT source, count(*) AS docs, count(*) * (count(*) - 1) // 2 AS n FROM documents GROUP BY source),
+    k AS (SELECT source, {keys} FROM g), t AS (SELECT source, n, ceil(sqrt(n))::BIGINT + 1 AS side, 2 * n // 5 AS target FROM g WHERE n > 0),
+    walk AS (SELECT source, i, n, side, i AS x, true AS fresh FROM t, generate_series(0, target - 1) a(i)
+      UNION ALL SELECT source, i, n, side, d0 * side + d1 AS x, false FROM ({query})),
+    m AS (SELECT source, x AS m FROM walk WHERE NOT fresh AND x < n),
+    u AS (SELECT source, m, h FROM (SELECT *, ((1 + sqrt(1 + 8 * m)) / 2 + o)::BIGINT AS h FROM (SELECT *, floor((1 + sqrt(1 + 8 * m)) / 2) - (1 + sqrt(1 + 8 * m)) / 2 AS o FROM m))),
+    ix AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY {_draw('index', 'doc_id')}, doc_id) - 1 AS place FROM documents)
+    SELECT u.source AS block, least(a.doc_id, b.doc_id) AS lo, greatest(a.doc_id, b.doc_id) AS hi FROM u JOIN ix a ON a.source = u.source AND a.place = m - h * (h - 1) // 2 JOIN ix b ON b.source = u.source AND b.place = h"""
+
+
+@query(_permuted_sql())
+def sample_pairs_permuted(spark, sf_dir):
+    """Two fifths of each source's pairs: the images of the first pair numbers."""
+    d = _docs(spark, sf_dir).withColumn("block", F.col("source"))
+    t = pairs.group_sizes(d, ["block"]).withColumn("target", F.expr("n_possible * 2 div 5"))
+    return pairs.permuted_pairs(d, t, ["block"], SEED)
 
 
 @query(f"WITH {W}, {TURNED} SELECT doc_id_a, doc_id_b, split, block FROM p")
