@@ -515,13 +515,13 @@ def bootstrap_weights(spark, sf_dir):
 @query(
     f"""WITH {PLANE_PAIRS}, {_newton_sql(f'SELECT r, pair, count(*) AS c FROM {DRAWN} GROUP BY 1, 2')},
     t AS (SELECT r, CASE WHEN c1 * {PLANE_BETA[0]} + c2 * {PLANE_BETA[1]} < 0 THEN -1 ELSE 1 END AS s, c1, c2 FROM n12)
-    SELECT doc_id, round({PLANE_BETA[0]} * e1 + {PLANE_BETA[1]} * e2, 6) AS score, round(quantile_cont(s * (c1 * e1 + c2 * e2), 0.025), 6) AS lower, round(quantile_cont(s * (c1 * e1 + c2 * e2), 0.975), 6) AS upper FROM pl, t GROUP BY doc_id, e1, e2"""
+    SELECT doc_id, round({PLANE_BETA[0]} * e1 + {PLANE_BETA[1]} * e2, 4) AS score, round(quantile_cont(s * (c1 * e1 + c2 * e2), 0.025), 4) AS lower, round(quantile_cont(s * (c1 * e1 + c2 * e2), 0.975), 4) AS upper FROM pl, t GROUP BY doc_id, e1, e2"""
 )
 def bootstrap_plane(spark, sf_dir):
     """Bootstrap intervals at a fixed lambda, draws and refits against SQL."""
     m = model.ScaleModel("ridge", np.array(PLANE_BETA), 0.0, PLANE_LAMBDA, 0.0)
     got = score.score_documents(m, _plane(spark, sf_dir), ci=True, ci_method="bootstrap", n_boot=PLANE_REPLICATES, comparisons=_stored(_judged(spark, sf_dir)), seed=SEED)
-    return got.select("doc_id", *[F.round(c, 6).alias(c) for c in ("score", "lower", "upper")])
+    return got.select("doc_id", *[F.round(c, 4).alias(c) for c in ("score", "lower", "upper")])
 
 
 # --- validation --------------------------------------------------------------
@@ -855,8 +855,11 @@ def svm_optimum(spark, sf_dir):
     rest = np.concatenate([m.beta, [m.intercept / 3]]) - np.array([v for _, v in sorted((r.i, r.v) for r in sums)])
     on = np.array([[*r.z, 3.0 * r.s] for r in rows.where("full = 0").select("z", "s").collect()]).reshape(-1, DIMS + 1)  # at most some p + 1 rows lie on the margin
     part, pull = np.full(len(on), 0.5), max(np.linalg.norm(on, 2) ** 2, 1e-9) if len(on) else 1.0
-    for _ in range(50_000):  # shares between 0 and 1 that make up the rest; rows may depend on one another
-        part = np.clip(part - on @ (on.T @ part - rest) / pull, 0, 1)
+    ahead, turn = part, 0
+    for _ in range(50_000):  # shares between 0 and 1 that make up the rest, by projected steps with momentum
+        new = np.clip(ahead - on @ (on.T @ ahead - rest) / pull, 0, 1)
+        turn = 0 if (ahead - new) @ (new - part) > 0 else turn + 1
+        ahead, part = new + turn / (turn + 3) * (new - part), new
     least = bool(np.abs(on.T @ part - rest).max() < 1e-3)
     return x.agg(F.count("*").alias("n_pairs")).withColumn("is_least", F.lit(least))
 
