@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from latentrank.operators.blocks import gram, packed
-from latentrank.operators.model import ScaleModel, embedding_differences, fit_model, weights_at
-from latentrank.operators.score import score_documents
+from latentrank.operators.blocks import blocks_of, gram, packed
+from latentrank.operators.model import ScaleModel, embedding_differences, fit_model, usable, weights_at
+from latentrank.operators.score import bootstrap_betas, drawn, score_documents
 from latentrank.operators.solvers import CubicSpline, Moments, fit_path, fit_smooth, lambda_path, linear_svm, sigmoid
 from latentrank.operators.validate import GRID, Validation, ValidationStopped, calibration_smooth, check_quality, validate_model
 
@@ -170,3 +170,39 @@ def test_solver_arguments_reach_the_solver(spark):
     assert not np.allclose(rough, fine, rtol=1e-3) and np.allclose(fine, fit_model(comp, emb, lambda_=0.05, seed=1).beta, rtol=1e-3)
     with pytest.raises(Exception, match="nonsense"):
         fit_model(comp, emb, "svm", solver={"nonsense": 1})
+
+
+def test_bootstrap_over_blocks_equals_refits_of_the_drawn_pairs(spark):
+    _, emb, comp = planted(spark, ties=30)
+    m = fit_model(comp, emb, lambda_=0.05, seed=1)
+    design = packed(embedding_differences(usable(comp, None), emb), 4, 10)
+    held = sorted(blocks_of(design.toArrow().to_batches()), key=lambda b: b.number)
+    x, y = np.concatenate([b.x for b in held]), np.concatenate([b.y for b in held])
+    times = np.zeros((6, len(y)))
+    for r in drawn(spark, len(y), 0, 6, 4).collect():
+        times[r.b, r["at"]] += 1
+    assert (times.sum(1) == len(y)).all() and times.max() > 1
+    for method, alpha in (("ridge", 0.0), ("enet", 0.5)):
+        model = ScaleModel(method, m.beta, m.intercept, 0.05, alpha)
+        got = bootstrap_betas(model, comp, emb, 6, seed=4)
+        want = np.array([fit_path(x, y, np.array([0.05]), alpha, w, tol=1e-10)[0][1] for w in times])
+        want = np.where((want @ m.beta < 0)[:, None], -want, want)
+        assert np.allclose(got, want, atol=1e-5)
+    got = bootstrap_betas(ScaleModel("svm", m.beta), comp, emb, 3, seed=4)
+    for beta, w in zip(got, times):
+        again = np.repeat(np.arange(len(y)), w.astype(int))
+        _, other = linear_svm(x[again], y[again], rounds=4000)
+        other = -other if other @ m.beta < 0 else other
+        assert np.allclose(beta, other, atol=2e-2 * np.abs(other).max())
+
+
+def test_svm_is_one_objective_at_every_size(spark):
+    _, emb, comp = planted(spark, ties=10)
+    here, there = (fit_model(comp, emb, "svm", seed=1, task_cells=c) for c in (1 << 40, 0))
+    assert np.allclose(here.beta, there.beta, atol=1e-6) and abs(here.intercept - there.intercept) < 1e-6
+    rows = embedding_differences(usable(comp, None), emb).collect()
+    x, y = np.array([r.x for r in rows]), np.array([r.y for r in rows])
+    z, s = np.column_stack([x, np.full(len(y), 3.0)]), np.where(y > 0.5, 1.0, -1.0)
+    value = lambda b, b0: (b @ b + (b0 / 3) ** 2) / 2 + np.maximum(1 - s * (z @ np.append(b, b0 / 3)), 0).sum()
+    b0, b = linear_svm(x, y, rounds=4000)
+    assert value(here.beta, here.intercept) <= value(b, b0) + 1e-6
