@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.hashing import coin, draw, with_rank
 from ..operators import annotate, blocks, embeddings, layout, model, pairs, score, summary, validate
-from ..sources import cache, datasets, providers
+from ..functions.svg import calibration_svg, points_of
+from ..sources import cache, datasets, images, providers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -572,6 +573,15 @@ def calibration_bins(spark, sf_dir):
     return b.select("bin", F.round("mean_pred", 6).alias("mean_pred"), F.round("obs_prop", 6).alias("obs_prop"), "n")
 
 
+@query(f"WITH {FOLDED} SELECT greatest(1, ceil((prob - 0.5) * 20))::INTEGER AS bin, round(avg(prob), 6) AS mean_pred, round(avg(result), 6) AS obs_prop, count(*) AS n FROM f GROUP BY 1")
+def calibration_plot(spark, sf_dir):
+    """The points of the calibration plot, read back from its SVG."""
+    b = validate.reliability_bins(validate.calibration(_probabilities(spark, sf_dir)))
+    points = points_of(calibration_svg([(r.bin, r.mean_pred, r.obs_prop, r.n) for r in b.collect()]))  # ten bins
+    drawn = spark.createDataFrame(points, "bin int, mean_pred double, obs_prop double, n bigint")
+    return drawn.select("bin", F.round("mean_pred", 6).alias("mean_pred"), F.round("obs_prop", 6).alias("obs_prop"), "n")
+
+
 @query(f"WITH {E}, {SCORES}, {LATENT} SELECT round(corr(score, l.s), 6) AS correlation, count(*) AS n FROM s JOIN l USING (doc_id)")
 def score_correlation(spark, sf_dir):
     e = _emb(spark, sf_dir)
@@ -764,6 +774,33 @@ def crop_boxes(spark, sf_dir):
     return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[c.alias(a) for c, a in zip(box, ("x0", "y0", "x1", "y1"))])
 
 
+@query(
+    """WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > -1e6 AND x < 1e6 THEN least(255, greatest(0, floor((x::DOUBLE + 1) * 127.5)))::INT ELSE 0 END) AS px FROM embeddings WHERE len(embedding) = 64 AND vec_id IS NOT NULL),
+    b AS (SELECT vec_id, px, greatest(0, (vec_id % 5)::INT - 2) AS x0, greatest(0, (vec_id % 4)::INT - 1) AS y0, least(8, (vec_id % 5)::INT + 3) AS x1, least(8, (vec_id % 4)::INT + 5) AS y1 FROM p)
+    SELECT vec_id, x1 - x0 AS width, y1 - y0 AS height, array_to_string(flatten(list_transform(range(y0, y1), lambda y: list_transform(range(x0, x1), lambda x: px[8 * y + x + 1]))), ',') AS pixels FROM b"""
+)
+def png_crops(spark, sf_dir):
+    """Embeddings drawn as images of 8 x 8 pixels, cut, written as a file each, and read back."""
+    import uuid
+
+    def shown(contents):
+        return contents.map(lambda c: ",".join(map(str, images.decode_png(c).ravel().tolist())))
+
+    pixel = lambda x: F.when((x > -1e6) & (x < 1e6), F.least(F.lit(255), F.greatest(F.lit(0), F.floor((x.cast("double") + 1) * 127.5))).cast("int")).otherwise(0)
+    e = _table(spark, sf_dir, "embeddings").where("size(embedding) = 64 AND vec_id IS NOT NULL")
+    drawn = e.select(F.col("vec_id").alias("image"), images.png_of(F.transform("embedding", pixel), 8, 8).alias("content"))
+    col, row = F.col("vec_id") % 5, F.col("vec_id") % 4
+    box = layout.crop_box(col - 2, row - 1, col + 3, row + 5, 1.0, 1.0, 8, 8)
+    boxes = e.select(F.col("vec_id").alias("box_id"), F.col("vec_id").alias("image"), *[c.alias(a) for c, a in zip(box, ("x0", "y0", "x1", "y1"))])
+    at = f"{cache.shared_folder(spark)}/latentrank-images-{uuid.uuid4().hex}"
+    crops = images.crop_images(drawn, boxes)
+    cache._written.append((spark, at))
+    cut = cache.saved(crops)
+    images.write_images(cut.select(F.concat(F.col("box_id").cast("string"), F.lit(".png")).alias("file"), "content"), at)
+    read = spark.read.format("binaryFile").load(f"{at}/*.png").select(F.regexp_extract("path", r"([0-9]+)\.png$", 1).cast("bigint").alias("box_id"), F.pandas_udf(shown, "string")("content").alias("pixels"))
+    return cut.select("box_id", "width", "height").join(read, "box_id").select(F.col("box_id").alias("vec_id"), "width", "height", "pixels")
+
+
 @query(
     """WITH t AS (SELECT event_id, event_type, upper(substr(event_type, 1, 1)) || substr(event_type, 2) AS title, value > 50 AS bold FROM events), a AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN upper(event_type) WHEN 1 THEN title ELSE event_type END AS text, bold FROM t)
     SELECT event_id, bold AND upper(text) = text AND lower(text) != text AS label, bold AND NOT (upper(text) = text AND lower(text) != text) AND upper(text) != text AS name FROM a"""
