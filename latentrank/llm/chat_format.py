@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .text import WORD, plain
 
 BUDGET, HISTORY, MIN_STRIDE, TURN_TOKENS = 1024, 256, 128, 4
+#: Starts of spans in a block of the list of starts.
+STARTS = 256
 ESCAPES = (("\\", "\\b"), ("<", "\\l"), ('"', "\\q"))
 
 
@@ -57,26 +59,35 @@ def format_windows(conversations: DataFrame, conv_col: str = "conv_id", turn_col
     lead = F.when(F.col("all")[0]["role"] == "system", 1).otherwise(0)
     talks = talks.select("c", "all", lead.alias("lead"), (lead * F.col("all")[0]["tokens"]).cast("bigint").alias("lead_tokens"))
     talks = talks.withColumn("stride", F.greatest(F.lit(budget - history) - F.col("lead_tokens"), F.lit(min_stride)))
-    # places of the turns at which spans begin, from 1; tokens are summed along the turns
+    # places of the turns at which spans begin, from 1; tokens are summed along the turns.
+    # Starts are gathered in blocks, as adding to one long list would copy it each time.
+    kept = lambda at, total: F.struct((at["i"] + 1).alias("i"), total.alias("sum"), at["recent"].alias("recent"), at["done"].alias("done"))
+    fresh = lambda at: F.array(at["i"] + 1)
     spans = F.aggregate(
         F.transform("all", lambda t: t["tokens"]),
-        F.struct(F.lit(0).alias("i"), F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<int>").alias("starts")),
-        lambda at, n: F.when(at["i"] < F.col("lead"), F.struct((at["i"] + 1).alias("i"), at["sum"].alias("sum"), at["starts"].alias("starts")))
-        .when((F.size(at["starts"]) > 0) & (at["sum"] + n <= F.col("stride")), F.struct((at["i"] + 1).alias("i"), (at["sum"] + n).alias("sum"), at["starts"].alias("starts")))
-        .otherwise(F.struct((at["i"] + 1).alias("i"), n.alias("sum"), F.concat(at["starts"], F.array(at["i"] + 1)).alias("starts"))),
-        lambda at: at["starts"],
+        F.struct(F.lit(0).alias("i"), F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<int>").alias("recent"), F.array().cast("array<array<int>>").alias("done")),
+        lambda at, n: F.when(at["i"] < F.col("lead"), kept(at, at["sum"]))
+        .when((F.size(at["recent"]) > 0) & (at["sum"] + n <= F.col("stride")), kept(at, at["sum"] + n))
+        .when(F.size(at["recent"]) < STARTS, F.struct((at["i"] + 1).alias("i"), n.alias("sum"), F.concat(at["recent"], fresh(at)).alias("recent"), at["done"].alias("done")))
+        .otherwise(F.struct((at["i"] + 1).alias("i"), n.alias("sum"), fresh(at).alias("recent"), F.concat(at["done"], F.array(at["recent"])).alias("done"))),
+        lambda at: F.flatten(F.concat(at["done"], F.array(at["recent"]))),
     )
     # a leading system turn alone is a window too
     talks = talks.withColumn("starts", F.when(F.size(spans) > 0, spans).otherwise(F.array(F.lit(2))))
     total = lambda turns: F.aggregate(F.transform(turns, lambda t: t["tokens"]), F.lit(0).cast("bigint"), lambda a, n: a + n)
 
+    def turns_of(start, end):
+        """Turns from ``start`` to before ``end``, by their places: a slice would copy the whole conversation first."""
+        return F.when(start < end, F.transform(F.sequence(start, end - 1), lambda i: F.get("all", i - 1))).otherwise(F.slice("all", 1, 0))
+
     def window_of(start, w):
         end = F.coalesce(F.get("starts", w + 1), F.size("all") + 1)
-        own = F.slice("all", start, end - start)
         before = F.greatest(start - history // TURN_TOKENS, F.col("lead") + 1)
-        return F.struct(w.alias("window"), own.alias("own"), F.slice("all", before, start - before).alias("earlier"))
+        return F.struct(w.alias("window"), turns_of(start, end).alias("own"), turns_of(before, start).alias("earlier"))
 
-    cut = talks.select("c", "lead", "lead_tokens", F.col("all")[0].alias("first"), F.explode(F.transform("starts", window_of)).alias("w")).select("c", "lead", "lead_tokens", "first", "w.*")
+    # the opener is taken before, so that no window carries the whole conversation
+    talks = talks.withColumn("first", F.col("all")[0])
+    cut = talks.select("c", "lead", "lead_tokens", "first", F.explode(F.transform("starts", window_of)).alias("w")).select("c", "lead", "lead_tokens", "first", "w.*")
     cut = cut.withColumn("room", F.least(F.lit(history).cast("bigint"), F.lit(budget) - F.col("lead_tokens") - total("own")))
     # the last earlier turns whose tokens together fit into the room
     fit = F.aggregate(

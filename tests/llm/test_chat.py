@@ -1,6 +1,8 @@
 import hashlib
+import random
+import re
 
-from latentrank.llm.chat_format import format_windows, read_back
+from latentrank.llm.chat_format import STARTS, format_windows, read_back
 
 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
@@ -51,6 +53,28 @@ def test_only_single_long_turns_exceed_the_budget(spark):
     assert [r.formatted.count(" repeated>") for r in got] == [0, 0, 1, 0, 0]
 
 
+def test_a_long_conversation(spark):
+    """More spans than a block of starts holds, against a plain walk; no window carries the whole conversation."""
+    rng = random.Random(6)
+    sizes = [5, *(rng.randint(0, 60) for _ in range(6000))]
+    rows = [(1, i, "system" if i == 0 else "user" if i % 2 else "assistant", " ".join(f"w{i}" for _ in range(n))) for i, n in enumerate(sizes)]
+    windows = format_windows(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"), budget=100, history=20, min_stride=10)
+    starts, held = [], None
+    for i, n in list(enumerate(sizes))[1:]:
+        if held is None or held + n + 4 > 100 - 20 - 9:
+            starts.append(i)
+            held = 0
+        held += n + 4
+    assert len(starts) > 2 * STARTS
+    got = windows.orderBy("window").collect()
+    assert [int(re.search(r'<turn role="(?:user|assistant)">w(\d+)|$', r.formatted).group(1) or -1) if sizes[s] else s for r, s in zip(got, starts)] == starts and len(got) == len(starts)
+    told = read_back(windows).first()
+    assert (told.n_turns, told.turns_sha256) == (len(rows), sha("".join(f"{r[2]}\n{r[3]}\n" for r in rows)))
+    plan = windows._jdf.queryExecution().executedPlan().toString()
+    generate = next(line for line in plan.split("\n") if "Generate explode" in line)
+    assert "all#" not in generate.split("), [")[-1]
+
+
 def test_plan_has_no_python(spark):
     plan = read_back(format_windows(conversations(spark)))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
