@@ -3,12 +3,14 @@ import re
 
 import itertools
 import time
+import tracemalloc
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from latentrank.llm.pii import KINDS, STATES, Base, Field, Graph, digest, find, find_personal_data, fit, luhn
+from latentrank.llm import pii
+from latentrank.llm.pii import KINDS, STATES, Base, Field, Graph, digest, find, find_personal_data, fit, luhn, repeats
 
 SF = "/root/testdata/sf0.001"
 PATTERNS = {
@@ -101,5 +103,47 @@ def test_messages_equal_enumeration_on_a_tree():
     assert np.allclose(field.marginals(g), total / total.sum(1, keepdims=True), atol=1e-4)
 
 
+def test_blocks_of_edges_change_nothing(monkeypatch):
+    rng = np.random.default_rng(8)
+    text = " ".join(series(rng, 4))
+    g = Graph(text, Base().spans(text))
+    field = Field(*[rng.normal(size=t.shape) / 2 for t in Field().tables()])
+    field.chain, field.skip = (field.chain + field.chain.T) / 2, (field.skip + field.skip.T) / 2
+    whole = field.marginals(g)
+    monkeypatch.setattr(pii, "EDGES", 3)
+    assert len(g.chain) + len(g.skip) > 20 and np.allclose(field.marginals(g), whole, atol=1e-12)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 30)), max_size=40))
+def test_repeats_are_linked_to_the_last_and_the_first(found):
+    found = sorted({(i, k) for k, i in found})
+    first, last, want = {}, {}, set()
+    for i, k in found:
+        if k in last:
+            want |= {(last[k], i), (first[k], i)}
+        last[k] = i
+        first.setdefault(k, i)
+    got = repeats(np.array([k for _, k in found], np.uint64), np.array([i for i, _ in found], np.int64))
+    assert [tuple(e) for e in got.tolist()] == sorted(want)
+
+
+def test_a_long_text_of_numbers_takes_little_memory():
+    """A megabyte of numbers, half of them repeats."""
+    rng = np.random.default_rng(4)
+    numbers = rng.integers(10**6, 10**8, 60_000)
+    text = " ".join(map(str, np.concatenate([numbers, rng.permutation(numbers)]).tolist())) + " +19745553436"
+    field = Field(*[rng.normal(size=t.shape) / 4 for t in Field().tables()])
+    field.chain, field.skip = (field.chain + field.chain.T) / 2, (field.skip + field.skip.T) / 2
+    assert len(text) > 1_000_000
+    tracemalloc.start()
+    base = Base().spans(text)
+    tracemalloc.reset_peak()
+    field.added(text, base)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100_000_000
+
+
 def test_empty(spark, odd_docs):
     assert digest(find_personal_data(odd_docs.limit(0))).count() == 0
