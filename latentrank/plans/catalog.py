@@ -367,7 +367,7 @@ def json_response(spark, sf_dir):
 
 @query(f"WITH {JUDGED} SELECT split, count(*) AS n_total, count(*) FILTER (winner = 'tie') AS n_ties FROM j GROUP BY split")
 def winner_counts(spark, sf_dir):
-    return _judged(spark, sf_dir).groupBy("split").agg(F.count("*").alias("n_total"), F.count_if(F.col("winner") == "tie").alias("n_ties"))
+    return annotate.winner_counts(_judged(spark, sf_dir), "split")
 
 
 @query(
@@ -901,6 +901,42 @@ def svm_optimum(spark, sf_dir):
     return x.agg(F.count("*").alias("n_pairs")).withColumn("is_least", F.lit(least))
 
 
+#: Penalised fits: (method, alpha, cells that a task may hold: none, or the default), at one lambda.
+PENALISED = [("ridge", 0.0, model.TASK_CELLS), ("lasso", 1.0, model.TASK_CELLS), ("enet", 0.5, model.TASK_CELLS), ("enet", 0.5, 0)]
+PENALTY = 0.01
+
+
+@query(
+    f"""WITH {JUDGED}, n AS (SELECT count(*) AS n_pairs FROM j WHERE split = 'train' AND winner != 'tie')
+    SELECT method, over_cluster, n_pairs, true AS is_least, true AS covariance_holds FROM n, (VALUES ('ridge', false), ('lasso', false), ('enet', false), ('enet', true)) m(method, over_cluster)"""
+)
+def penalised_optimum(spark, sf_dir):
+    """Whether ridge, lasso and elastic net within a task, and the last by passes over the cluster
+    too, are the least of their objective (its conditions hold in sums taken here from the pairs), and whether
+    their covariance undoes the weighted Gram matrix with the penalty, off the diagonal too."""
+    comparisons, e = _stored(_judged(spark, sf_dir)), _emb(spark, sf_dir)
+    fits = [model.fit_model(comparisons, e, m, a, seed=SEED, lambda_=PENALTY, task_cells=cells) for m, a, cells in PENALISED]
+    x = model.embedding_differences(model.usable(comparisons, "train"), e)
+    probe = np.array(V) + 0.5
+    won = [S.logistic(S.dot(F.col("x"), S.literal(f.beta)) + float(f.intercept)) for f in fits]
+    ahead = S.dot(F.col("x"), S.literal(probe.tolist()))
+    rows = x.select("x", *[(q - F.col("y")).alias(f"g{i}") for i, q in enumerate(won)], *[(q * (1 - q) * ahead).alias(f"h{i}") for i, q in enumerate(won)])
+    names = [f"{k}{i}" for k in "gh" for i in range(len(fits))]
+    cells = rows.select(F.posexplode(F.concat("x", F.array(F.lit(1.0)))).alias("i", "v"), *names)
+    sums = cells.groupBy("i").agg(F.count("*").alias("n"), F.sum("v").alias("sx"), F.sum(F.col("v") * F.col("v")).alias("sxx"), *[F.sum(F.col("v") * F.col(k)).alias(k) for k in names]).orderBy("i").toPandas()
+    n, at = int(sums["n"][0]), sums.iloc[:DIMS]
+    mean = at["sx"].to_numpy() / n
+    scale = np.sqrt(at["sxx"].to_numpy() / n - mean**2)
+    out = []
+    for i, ((m, a, task), f) in enumerate(zip(PENALISED, fits)):
+        free = sums[f"g{i}"][DIMS] / n  # the intercept's condition
+        g = (at[f"g{i}"].to_numpy() / n - mean * free) / scale + PENALTY * (1 - a) * np.asarray(f.beta) * scale
+        off = np.where(np.asarray(f.beta) != 0, np.abs(g + PENALTY * a * np.sign(f.beta)), np.maximum(np.abs(g) - PENALTY * a, 0))
+        undone = f.sigma_post @ (at[f"h{i}"].to_numpy() + f.lambda_ * probe)
+        out.append((m, task == 0, n, bool(max(abs(free), off.max()) < 1e-4), bool(np.abs(undone - probe).max() < 1e-6)))
+    return spark.createDataFrame(out, "method string, over_cluster boolean, n_pairs bigint, is_least boolean, covariance_holds boolean")
+
+
 @query()
 def cv_curve(spark, sf_dir):
     m, _, _ = _fit(spark, sf_dir, "ridge")
