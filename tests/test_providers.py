@@ -263,3 +263,28 @@ def test_options_reach_the_services(spark):
 
     r = scale_documents(docs(spark, texts), "Which is longer?", seed=1, annotator=annotator, embedder=embedder, validate=False, ci=False, embed_options={"dimensions": 2}, annotate_options={"effort": "low"}, lambda_=0.1, **told)
     assert r.scores.count() == 12
+
+
+def test_cost_of_all_needs_no_pairs(spark):
+    from latentrank.functions.scalars import interpolate
+    from latentrank.operators.annotate import PROMPT, cost_of_all
+    from latentrank.operators.pairs import generate_comparisons
+
+    d = spark.createDataFrame([(i, None if i == 3 else "x" * i, "b" if i % 2 else "c") for i in range(9)], "doc_id bigint, text string, block string")
+    c = generate_comparisons(d, None, blocks="block")
+    want = cost_estimate(c.withColumn("prompt", interpolate(PROMPT, c.columns)), "system").first()
+    got = cost_of_all(d, ["block"], "system").first()
+    assert (got.n, got.cost) == (want.n, pytest.approx(want.cost))
+
+
+def test_probe_by_keys_of_texts(spark):
+    from latentrank.operators.annotate import probe
+    from latentrank.operators.pairs import generate_comparisons, with_text_keys
+
+    d = spark.createDataFrame([(0, "x"), (1, "y"), (2, "x"), (3, None)], "doc_id bigint, text string")
+    c = generate_comparisons(with_text_keys(d).drop("text"), None, columns=["key"])
+    assert "text_a" not in c.columns
+    known = c.where("doc_id_a = 0 OR doc_id_b = 0").withColumn("winner", F.lit("A")).withColumn("text_a", F.lit(None)).withColumn("text_b", F.lit(None))
+    got = probe(c, known).collect()
+    have = {(r.key_a, r.key_b) for r in known.collect()}
+    assert len(got) == 6 and all((r.winner == "A") == ((r.key_a, r.key_b) in have) for r in got)
