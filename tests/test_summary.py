@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from latentrank.operators.summary import added_moments, co_moments, correlation, group_quantiles
 from latentrank.operators.validate import quantiles
@@ -50,3 +51,15 @@ def test_moments_add_up_over_parts_groups_and_nulls(spark):
     total = correlation(added_moments(co_moments(df, "x", "y", ["part"]))).first()
     both = np.array([r[2:] for r in rows if r[2] is not None and r[3] is not None])
     assert total.n == len(both) and abs(total.correlation - np.corrcoef(both.T)[0, 1]) < 1e-9
+
+
+def test_rounding_is_that_of_sql(spark):
+    import duckdb
+
+    from latentrank.functions.scalars import rounded
+
+    values = [(2 * k + 1) / 2e6 + 0.5 for k in range(2000)] + [-1.0000005, 0.0, 1e-9]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double")
+    got = [r.y for r in rows.select("i", rounded(F.col("x"), 6).alias("y")).orderBy("i").collect()]
+    assert got == [r[0] for r in duckdb.execute("SELECT round(unnest($1::DOUBLE[]), 6)", [values]).fetchall()]
+    assert got != [r.y for r in rows.select("i", F.round("x", 6).alias("y")).orderBy("i").collect()]
