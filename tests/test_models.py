@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from latentrank.operators.blocks import blocks_of, gram, packed
-from latentrank.operators.model import ScaleModel, embedding_differences, fit_model, usable, weights_at
+from latentrank.operators.blocks import blocks_of, celled, gram, packed
+from latentrank.operators.model import ScaleModel, embedding_differences, fit_model, fold_moments, usable, weights_at
 from latentrank.operators.score import bootstrap_betas, drawn, score_documents
 from latentrank.operators.solvers import CubicSpline, Moments, fit_path, fit_smooth, lambda_path, linear_svm, sigmoid
 from latentrank.operators.validate import GRID, Validation, ValidationStopped, calibration_smooth, check_quality, validate_model
@@ -206,3 +206,15 @@ def test_svm_is_one_objective_at_every_size(spark):
     value = lambda b, b0: (b @ b + (b0 / 3) ** 2) / 2 + np.maximum(1 - s * (z @ np.append(b, b0 / 3)), 0).sum()
     b0, b = linear_svm(x, y, rounds=4000)
     assert value(here.beta, here.intercept) <= value(b, b0) + 1e-6
+
+
+def test_cells_give_the_sums_of_rows(spark):
+    _, emb, comp = planted(spark)
+    rows = usable(comp, None)
+    want = packed(embedding_differences(rows, emb), 4, 10)
+    for buckets in (1, 3):
+        cells = celled(rows.select("doc_id_a", "doc_id_b", (F.col("winner") == "A").cast("byte").alias("y")), emb, 4, 10, buckets, 10)
+        assert "x" not in cells.columns and cells.count() == buckets**2
+        a, b = fold_moments(want, 10), fold_moments(cells, 10)
+        assert a[2] == b[2] == 0 and all(np.allclose(u.score, v.score) and u.n == v.n for u, v in zip([a[0], *a[1]], [b[0], *b[1]]))
+        assert np.allclose(gram(want, 10, weights_at(0.1, np.ones(10)), tile=4), gram(cells, 10, weights_at(0.1, np.ones(10)), tile=4))
