@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from latentrank.functions.hashing import draws
 from latentrank.operators.blocks import blocks_of, celled, gram, packed
 from latentrank.operators.model import ScaleModel, embedding_differences, fit_model, fold_moments, usable, weights_at
 from latentrank.operators.score import bootstrap_betas, drawn, score_documents
@@ -196,6 +197,29 @@ def test_bootstrap_over_blocks_equals_refits_of_the_drawn_pairs(spark):
         assert np.allclose(beta, other, atol=2e-2 * np.abs(other).max())
 
 
+def test_draws_within_tasks_are_those_of_their_digests(spark):
+    import hashlib
+
+    for seed, key, low, high in ((42, 0, 0, 12_003), (None, 19, 95, 1203), (7, 499, 999_990, 1_010_003), (10**19, 10**16, 99_990, 100_010), (3, 1, 5, 5)):
+        want = [int(hashlib.md5(f"{seed or 0}_boot_{key}_{j}".encode()).hexdigest()[:13], 16) for j in range(low, high)]
+        assert draws(seed, "boot", key, low, high).tolist() == want
+
+
+def test_counts_of_draws_are_the_same_in_any_pieces(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from latentrank.operators import score
+
+    want = {(r.b, r["at"], r.times) for r in drawn(spark, 300, 2, 3, 4).groupBy("b", "at").agg(F.count("*").alias("times")).collect()}
+    for pieces, counts in ((64, 90), (300, 7)):
+        monkeypatch.setattr(score, "DRAWS", pieces)
+        monkeypatch.setattr(score, "COUNTS", counts)
+        assert {(r.b, r["at"], r.times) for r in score.times_drawn(spark, 300, 2, 3, 4).collect()} == want
+    assert score.times_drawn(spark, 0, 0, 3, 4).count() == 0
+    plan = score.times_drawn(spark, 300, 2, 3, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan and plan.count("RepartitionByExpression") == 1  # draws are no rows, and none is shuffled by itself
+
+
 def test_svm_is_one_objective_at_every_size(spark):
     _, emb, comp = planted(spark, ties=10)
     here, there = (fit_model(comp, emb, "svm", seed=1, task_cells=c) for c in (1 << 40, 0))
