@@ -197,6 +197,25 @@ def test_bootstrap_over_blocks_equals_refits_of_the_drawn_pairs(spark):
         assert np.allclose(beta, other, atol=2e-2 * np.abs(other).max())
 
 
+def test_pairs_are_not_shuffled_for_their_scores(spark, monkeypatch):
+    from latentrank.operators import validate
+
+    scores = spark.createDataFrame([(i, i / 7) for i in range(30)], "doc_id bigint, score double")
+    rows = spark.createDataFrame([(i, (3 * i + 1) % 30, "A") for i in range(30)], "doc_id_a bigint, doc_id_b bigint, winner string")
+    monkeypatch.setattr(validate, "SENT_SCORES", 0)
+    want = sorted(validate.pair_probabilities(scores, rows).collect())
+    monkeypatch.undo()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = validate.pair_probabilities(scores, rows)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+        assert sorted(got.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_draws_within_tasks_are_those_of_their_digests(spark):
     import hashlib
 
