@@ -9,7 +9,7 @@ import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.scalars import prompt_hash
@@ -94,15 +94,17 @@ def asked(texts: DataFrame, ledger: str, embedder: Embedder, model: str | None =
     rest = texts
     if store.exists(spark, ledger):
         rest = misses(texts, spark.read.parquet(ledger))
-    rest = store.saved(rest.select("text"))
+    rest = rest.select("text")
     turns = min(MOST_TURNS, max(1, -(-rest.count() // (chunk_size * partitions))))
+    # a folder for each turn, so that a turn reads its own texts only
+    parts = store.saved(rest.withColumn("turn", F.pmod(F.xxhash64("text"), F.lit(turns)).cast("int")), "turn")
     for turn in range(turns):
-        part = rest.where(F.pmod(F.xxhash64("text"), F.lit(turns)) == turn)
-        got = store.saved(fetch(part, embedder, model, chunk_size, partitions, **options))
+        told = Observation()
+        got = fetch(parts.where(F.col("turn") == turn), embedder, model, chunk_size, partitions, **options).observe(told, F.max("failure").alias("failure"))
         got.where("failure IS NULL").select("text", "embedding").write.mode("append").parquet(ledger)
-        failed = got.where("failure IS NOT NULL").select("failure").first()
+        failed = told.get["failure"]
         if failed is not None:
-            raise Unanswered(f"{failed.failure}; answers so far are kept in '{ledger}' and taken up by the next call.")
+            raise Unanswered(f"{failed}; answers so far are kept in '{ledger}' and taken up by the next call.")
     return spark.read.parquet(ledger)
 
 

@@ -35,12 +35,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, *by: str) -> DataFrame:
     """``df`` written to the shared folder and read again: a cut of the lineage
-    that outlives lost executors."""
+    that outlives lost executors.  Rows of a value of ``by`` lie in a folder of
+    their own, so that others are not read for them."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/latentrank-table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from latentrank.operators.annotate import annotate_comparisons, cache_key, cost_estimate, system_prompt
-from latentrank.operators.embeddings import Unanswered, embedding_cache_key, get_embeddings
+from latentrank.operators.embeddings import Unanswered, asked, embedding_cache_key, get_embeddings
 from latentrank.plans.pipeline import scale_documents
 from latentrank.sources.cache import ForeignCache, append_entry, compact
 from latentrank.sources.providers import HttpEmbedder, RuleAnnotator, ServiceError, TableAnnotator, image_uris
@@ -189,6 +189,19 @@ def test_other_statuses_are_errors(monkeypatch):
             HttpEmbedder(lambda b, h, status=status: (status, ""), wait=lambda s: None)(["d"])
 
 
+def test_a_turn_reads_its_own_texts_and_asks_once(spark, tmp_path):
+    texts = spark.createDataFrame([(f"text {i}",) for i in range(400)], "text string")
+    status, scanned = spark.sparkContext.statusTracker(), []
+    spark.sparkContext.setJobGroup("turns", "turns of a ledger")
+    try:
+        got = asked(texts, str(tmp_path / "ledger"), lambda part, **o: [[float(len(t))] for t in part], chunk_size=10)
+        scanned = status.getJobIdsForGroup("turns")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got.count() == got.distinct().count() == 400
+    assert len(scanned) < 3 * 8 + 4  # eight turns: a job or two each, and the few before them
+
+
 def test_a_failing_service_is_asked_for_the_rest_only(spark, tmp_path):
     path, seen = str(tmp_path / "cache"), tmp_path / "seen"
     seen.mkdir()
