@@ -24,6 +24,8 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 COLOUR_TYPE = {1: 0, 2: 4, 3: 2, 4: 6}
 #: Boxes of an image that are cut in one go; an image with more is read once for each lot.
 LOT = 1024
+#: Images or boxes that a task takes, about, and tasks at most.
+TASK_IMAGES, TASKS = 500, 2000
 
 
 class DamagedImage(ValueError):
@@ -128,6 +130,12 @@ def decode_png(data: bytes) -> np.ndarray:
     return rows.reshape((height, width) if channels == 1 else (height, width, channels))
 
 
+def spread(rows: DataFrame, *by: str, n: int | None = None) -> DataFrame:
+    """``rows`` in as many tasks as their number (or ``n``) asks for: few bytes of them are much work."""
+    n = rows.count() if n is None else n
+    return rows.repartition(min(TASKS, max(1, -(-n // TASK_IMAGES))), *by)
+
+
 def png_of(pixels: Column, width: Column | int, height: Column | int) -> Column:
     """Grey PNG bytes of a column of pixels (array<int> from 0 to 255, row by row)."""
 
@@ -158,7 +166,8 @@ def crop_images(images: DataFrame, boxes: DataFrame, image_col: str = "image", i
     sizes = named.groupBy("__image").agg(F.ceil(F.count("*") / LOT).cast("bigint").alias("__lots"))
     lot = F.pmod(F.xxhash64("__id", *corners), F.col("__lots"))
     lots = named.join(sizes, "__image").groupBy("__image", lot.alias("__lot")).agg(F.collect_list(F.struct("__id", *corners)).alias("boxes"))
-    work = lots.join(images.select(F.col(image_col).alias("__image"), F.col(content_col).alias("content")), "__image").select("__image", "content", "boxes")
+    work = lots.join(images.select(F.col(image_col).alias("__image"), F.col(content_col).alias("content")), "__image")
+    work = spread(work, "__image", "__lot", n=boxes.count()).select("__image", "content", "boxes")
     kinds = dict(boxes.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,4 +233,4 @@ def write_images(rows: DataFrame, path: str, file_col: str = "file", content_col
 
     from .cache import saved
 
-    return saved(chosen.mapInArrow(run, "file string, bytes bigint, sha256 string"))
+    return saved(spread(chosen, "file").mapInArrow(run, "file string, bytes bigint, sha256 string"))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from latentrank.functions.svg import calibration_svg, points_of
 from latentrank.sources import images
@@ -81,6 +82,16 @@ def test_crops_of_odd_boxes(spark, monkeypatch):
     assert crop_images(table.limit(0), boxes).count() == crop_images(table, boxes.limit(0)).count() == 0
 
 
+def test_small_images_are_spread_over_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(images, "TASK_IMAGES", 20, raising=False)
+    drawn = spark.range(200).select(F.col("id").alias("image"), images.png_of(F.transform(F.sequence(F.lit(1), F.lit(64)), lambda x: (x + 0).cast("int")), 8, 8).alias("content"))
+    boxes = spark.range(200).select(F.col("id").alias("box_id"), F.col("id").alias("image"), *[F.lit(v).alias(c) for c, v in zip(("x0", "y0", "x1", "y1"), (1, 1, 5, 5))])
+    cut = images.crop_images(drawn, boxes).withColumn("task", F.spark_partition_id())
+    assert cut.agg(F.count_distinct("task")).first()[0] > 4 and cut.count() == 200
+    written = images.write_images(cut.coalesce(1).select(F.concat(F.col("box_id").cast("string"), F.lit(".png")).alias("file"), "content"), str(tmp_path / "out"))
+    assert len(written.inputFiles()) > 4 and len(list((tmp_path / "out").glob("*.png"))) == 200
+
+
 def test_one_file_a_row(spark, tmp_path):
     rows = [(f"r{i % 3}/p {i}.png", encode_png(np.full((2, 2), i, np.uint8))) for i in range(20)]
     table = spark.createDataFrame(rows, "file string, content binary").repartition(5)
