@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from latentrank.operators.annotate import annotate_comparisons, cache_key, cost_estimate, system_prompt
 from latentrank.operators.embeddings import Unanswered, asked, embedding_cache_key, get_embeddings
 from latentrank.plans.pipeline import scale_documents
-from latentrank.sources.cache import ForeignCache, append_entry, compact
+from latentrank.sources.cache import ForeignCache, _written, append_entry, compact
 from latentrank.sources.providers import HttpEmbedder, RuleAnnotator, ServiceError, TableAnnotator, image_uris
 from latentrank.streaming.scoring import score_stream
 
@@ -244,6 +244,26 @@ def test_caches_grow_by_parts(spark, tmp_path):
     assert get_embeddings(docs(spark, ["again"]), str(path), embedder=refuse).first().embedding == [1.0]
 
 
+def test_texts_are_written_once_for_a_run_and_once_for_its_cache(spark, tmp_path):
+    path, before = str(tmp_path / "a"), set(_written)
+    twice = pairs(spark).unionByName(pairs(spark).withColumn("doc_id_a", F.col("doc_id_a") + 10))
+    asked = spark.sparkContext.accumulator(0)
+
+    def judge(prompts, system, model, **kw):
+        asked.add(len(prompts))
+        return ["A"] * len(prompts)
+
+    got = annotate_comparisons(twice, annotator=judge, cache=path)
+    tables = [spark.read.parquet(at) for _, at in set(_written) - before]
+    assert len([t for t in tables if "text_a" in t.columns]) == 1
+    assert asked.value == 3 and sorted(got.columns) == ["doc_id_a", "doc_id_b", "text_a", "text_b", "winner"]
+    assert got.where("winner = 'A'").count() == 6 and spark.read.parquet(path).count() == 3
+    more = twice.unionByName(spark.createDataFrame([(7, 8, "y", "x")], twice.schema))
+    again = annotate_comparisons(more, annotator=always("B"), cache=path)
+    assert {(r.text_a, r.winner) for r in again.where("doc_id_a = 7").collect()} == {("y", "B")}
+    assert again.where("winner = 'A'").count() == 6 and spark.read.parquet(path).count() == 4
+
+
 def test_annotations_grow_by_parts(spark, tmp_path):
     path = tmp_path / "a"
     files = lambda: {p: p.stat().st_size for p in path.rglob("*.parquet")}
