@@ -261,3 +261,34 @@ def test_cells_give_the_sums_of_rows(spark):
         a, b = fold_moments(want, 10), fold_moments(cells, 10)
         assert a[2] == b[2] == 0 and all(np.allclose(u.score, v.score) and u.n == v.n for u, v in zip([a[0], *a[1]], [b[0], *b[1]]))
         assert np.allclose(gram(want, 10, weights_at(0.1, np.ones(10)), tile=4), gram(cells, 10, weights_at(0.1, np.ones(10)), tile=4))
+
+
+def test_deviances_are_worked_out_on_held_out_cases_only(monkeypatch):
+    from latentrank.operators import model, solvers
+    from latentrank.operators.blocks import Block, Held
+
+    rng, cells = np.random.default_rng(5), {"curve": 0, "losses": 0}
+    x, fold = rng.standard_normal((400, 3)), np.arange(400) % 10
+    y = (rng.random(400) < sigmoid(x @ [1.0, -1.0, 0.5])).astype(float)
+
+    def curve(z):
+        cells["curve"] += z.size if z.ndim == 2 else 0
+        return sigmoid(z)
+
+    def losses(x, y, w, b):
+        cells["losses"] += w.size
+        return many(x, y, w, b)
+
+    many = solvers.many_losses
+    for at in (model, solvers):
+        monkeypatch.setattr(at, "sigmoid", curve)
+    monkeypatch.setattr(model, "many_losses", losses)
+    without = [Moments.of(x[fold != k], y[fold != k]) for k in range(10)]
+    every, sets = Moments.of(x, y), [-1, *range(10)]
+    fits, missed = model.paths(Held([Block(0, x, y, fold)]), every, without, sets, lambda_path(every, 0.0, 5, 1e-3), 0.0, {})
+    assert 0 < cells["curve"] < cells["losses"] / 5
+    assert (missed[0] == 0).all()
+    for k in range(10):
+        q = np.clip(sigmoid(fits[k + 1][:, :1] + fits[k + 1][:, 1:] @ x[fold == k].T), 1e-5, 1 - 1e-5)
+        one = y[fold == k]
+        assert np.allclose(missed[k + 1], -2 * (one * np.log(q) + (1 - one) * np.log(1 - q)).sum(1), rtol=1e-12)
